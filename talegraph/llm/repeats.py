@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Blocks
 from .bytescan import U64, RunHash, Words, byte_runs, mix, pieces, signed, value_runs
-from .scratch import Scratch, join_checked
+from .scratch import Scratch
 
 LAST_ID = (1 << 63) - 1
 #: Bytes of open blocks that one extension step takes at a time.
@@ -355,7 +355,7 @@ def remove_repeats(df: DataFrame, unit: Unit, id_col: str, text_col: str) -> Dat
         )
     )
     opened = per_doc.where(F.size("opened") > 0).select("doc", "opened")
-    inner = join_checked(keyed, opened, "doc", "inner", weight=F.size("opened") * 8 + 24).select("doc", "text", "opened")
+    inner = keyed.join(opened, "doc").select("doc", "text", "opened")
     bodies = inner.mapInArrow(_open_rows(unit), "gram long, doc long, key long, lo long, place int, content long, body binary")
     bodies = bodies.repartition("gram").sortWithinPartitions("gram", "doc", "key", "lo")
     masks = bodies.mapInArrow(_extension(unit), "doc long, content long, mask binary")
@@ -366,5 +366,5 @@ def remove_repeats(df: DataFrame, unit: Unit, id_col: str, text_col: str) -> Dat
         F.concat(F.transform(F.coalesce("again", F.array().cast("array<long>")), lambda _: F.lit(None).cast("binary")), F.coalesce(F.col("masks.mask"), F.array().cast("array<binary>"))).alias("marks"),
     ).where(F.size("contents") > 0)
     both = scratch.save(both)
-    found = join_checked(docs.withColumn("doc", F.coalesce("id", F.lit(LAST_ID))), both, "doc", "left", weight=F.size("contents") * 12 + 24)
+    found = docs.withColumn("doc", F.coalesce("id", F.lit(LAST_ID))).join(both, "doc", "left")
     return found.select("id", "text", "contents", "marks").mapInArrow(_cover(unit), "id long, n_units long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
