@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from .op1_jaccard import op1_jaccard
 from .op2_suffix_array import op2_suffix_array
+from .op4_decontaminate import op4_decontaminate
 from .op5_substring import op5_substring
-
+from .op6_mix import OP6_SQL, op6_mix
+from .op8_lines import OP8_SQL, op8_lines
 
 def llm_queries() -> dict:
     return {
+        "op1_jaccard": op1_jaccard,
         "op2_suffix_array": op2_suffix_array,
+        "op4_decontaminate": op4_decontaminate,
         "op5_substring": op5_substring,
+        "op6_mix": op6_mix,
+        "op8_lines": op8_lines,
     }
 
-
 def llm_oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mix": OP6_SQL, "op8_lines": OP8_SQL}
