@@ -16,6 +16,11 @@ BUILD_BEAM, BATCH = 48, 512
 CELLS = 1 << 24  # visited marks held at once
 
 
+def _dots(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """(b, d) and (b, k, d) -> (b, k)."""
+    return (x @ q[:, :, None])[:, :, 0]
+
+
 def _diverse(sims: np.ndarray, ids: np.ndarray, x: np.ndarray, m: int) -> np.ndarray:
     """Rows of candidates (-1: none) -> m neighbours each: nearest first, skipping any that lies
     nearer to one already picked; places left are filled with the nearest skipped."""
@@ -25,7 +30,7 @@ def _diverse(sims: np.ndarray, ids: np.ndarray, x: np.ndarray, m: int) -> np.nda
     ok = ids >= 0
     ok[:, 1:] &= ids[:, 1:] != ids[:, :-1]
     vec = x[np.maximum(ids, 0)]
-    between = np.einsum("bkd,bjd->bkj", vec, vec)
+    between = vec @ vec.transpose(0, 2, 1)
     picked = np.zeros(ids.shape, bool)
     n = np.zeros(len(ids), np.int64)
     for j in range(k):
@@ -55,7 +60,7 @@ class Layer:
         ids = np.full((b, max(ef, entry.shape[1])), -1, np.int64)
         sims = np.full(ids.shape, -2.0, np.float32)
         ids[:, : entry.shape[1]] = entry
-        sims[:, : entry.shape[1]] = np.einsum("bd,bkd->bk", q, self.x[entry])
+        sims[:, : entry.shape[1]] = _dots(q, self.x[entry])
         seen[rows, entry] = True
         done = np.zeros(ids.shape, bool)
         live = np.arange(b)
@@ -78,8 +83,7 @@ class Layer:
             fresh &= ~seen[at, np.maximum(nb, 0)]
             r, c = np.nonzero(fresh)
             seen[live[r], nb[r, c]] = True
-            s = np.full(nb.shape, -2.0, np.float32)
-            s[r, c] = np.einsum("nd,nd->n", q[live[r]], self.x[nb[r, c]])
+            s = np.where(fresh, _dots(q[live], self.x[np.maximum(nb, 0)]), np.float32(-2.0))
             all_s = np.concatenate([sims[live], s], 1)
             all_i = np.concatenate([ids[live], np.where(fresh, nb, -1)], 1)
             all_d = np.concatenate([done[live], np.zeros(nb.shape, bool)], 1)
@@ -96,7 +100,7 @@ class Layer:
         mates = np.argpartition(-own, k - 1, axis=1)[:, :k]
         ids = np.concatenate([found, np.where(np.take_along_axis(own, mates, 1) > -2.0, new[mates], -1)], 1)
         ids[ids == new[:, None]] = -1
-        sims = np.where(ids >= 0, np.einsum("bd,bkd->bk", x[new], x[np.maximum(ids, 0)]), -2.0)
+        sims = np.where(ids >= 0, _dots(x[new], x[np.maximum(ids, 0)]), -2.0)
         self.near[new] = _diverse(sims, ids, x, self.links)
         src = np.repeat(new, self.links)
         dst = self.near[new].reshape(-1)
@@ -112,7 +116,7 @@ class Layer:
         ids = np.concatenate([self.near[node].astype(np.int64), come], 1)
         for a in range(0, len(node), BATCH):
             i = ids[a : a + BATCH]
-            s = np.where(i >= 0, np.einsum("bd,bkd->bk", x[node[a : a + BATCH]], x[np.maximum(i, 0)]), -2.0)
+            s = np.where(i >= 0, _dots(x[node[a : a + BATCH]], x[np.maximum(i, 0)]), -2.0)
             self.near[node[a : a + BATCH]] = _diverse(s, i, x, self.links)
 
 
@@ -121,7 +125,7 @@ class Graph:
 
     def __init__(self, x: np.ndarray, seed: int = 7):
         n = len(x)
-        self.x, self.ef = x, 32
+        self.ef, self.links = 32, None
         level = np.floor(-np.log(np.random.default_rng(seed).random(n)) / np.log(LINKS)).astype(int)
         self.order = np.argsort(-level, kind="stable")  # upper nodes first
         self.x = np.ascontiguousarray(x[self.order])
@@ -153,6 +157,17 @@ class Graph:
             at = new[-1] + 1
         self.layers.append(layer)
 
+    def _both_ways(self) -> tuple[np.ndarray, np.ndarray]:
+        """Links of the base layer in both directions: offsets and nodes."""
+        if self.links is None:
+            near = self.layers[-1].near
+            a = np.repeat(np.arange(len(near)), near.shape[1])
+            b = near.reshape(-1).astype(np.int64)
+            a, b = a[b >= 0], b[b >= 0]
+            key = np.unique(np.concatenate([a * len(near) + b, b * len(near) + a]))
+            self.links = np.searchsorted(key // len(near), np.arange(len(near) + 1)), key % len(near)
+        return self.links
+
     @staticmethod
     def _entry(q: np.ndarray, layers: list[Layer], width: int) -> np.ndarray:
         """Go down the layers, each begun from the best of the one above."""
@@ -166,9 +181,12 @@ class Graph:
     def within(self, q: np.ndarray, least: float, ef: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) pairs found with similarity of at least ``least``.
 
-        Where a whole beam lies within, it is widened: from all of it, by the links of nodes
-        within, until no new one is met."""
+        Where a whole beam lies within, it is widened: from all of it, by the links to and from
+        nodes within, until no new one is met.  A beam of the whole shard is a plain scan."""
         ef = ef or self.ef
+        if ef >= len(self.x):
+            found = [np.nonzero(q[a : a + 256] @ self.x.T >= least) for a in range(0, len(q), 256)]
+            return np.concatenate([r + 256 * i for i, (r, _) in enumerate(found)] or [np.zeros(0, np.int64)]), np.concatenate([c for _, c in found] or [np.zeros(0, np.int64)])
         base, out = self.layers[-1], []
         step = max(1, min(1024, CELLS // max(1, len(base.x))))
         for a in range(0, len(q), step):
@@ -187,12 +205,12 @@ class Graph:
             r, node = r[mine], node[mine]
             while len(r):
                 nr, nn = [], []
-                for b in range(0, len(r), 1 << 15):
-                    nb = base.near[node[b : b + (1 << 15)]]
-                    rr = np.repeat(r[b : b + (1 << 15)], nb.shape[1])
-                    nb = nb.reshape(-1)
-                    ok = nb >= 0
-                    rr, nb = rr[ok], nb[ok]
+                offsets, linked = self._both_ways()
+                for b in range(0, len(r), 1 << 14):
+                    some = node[b : b + (1 << 14)]
+                    count = offsets[some + 1] - offsets[some]
+                    rr = np.repeat(r[b : b + (1 << 14)], count)
+                    nb = linked[np.repeat(offsets[some] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
                     ok = ~seen[rr, nb]
                     key = np.unique(rr[ok].astype(np.int64) * len(base.x) + nb[ok])
                     rr, nb = key // len(base.x), key % len(base.x)
@@ -216,7 +234,7 @@ class Graph:
             recall = got / true if true else 1.0
             if recall >= goal or self.ef >= len(self.x):
                 return recall
-            self.ef = min(2 * self.ef, len(self.x))
+            self.ef = 2 * self.ef if 8 * self.ef < len(self.x) else len(self.x)
 
     def dump(self) -> bytes:
         return pickle.dumps((self.ef, self.order, self.x, [layer.near for layer in self.layers]), protocol=5)
@@ -224,6 +242,7 @@ class Graph:
     @classmethod
     def load(cls, data: bytes) -> Graph:
         g = cls.__new__(cls)
+        g.links = None
         g.ef, g.order, g.x, near = pickle.loads(data)
         g.layers = []
         for links in near:

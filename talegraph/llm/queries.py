@@ -8,6 +8,8 @@ from .op4_decontaminate import op4_decontaminate
 from .op5_substring import op5_substring
 from .op6_mix import OP6_SQL, op6_mix
 from .op8_lines import OP8_SQL, op8_lines
+from .op10_embeddings import op10_embeddings
+
 
 def llm_queries() -> dict:
     return {
@@ -17,7 +19,9 @@ def llm_queries() -> dict:
         "op5_substring": op5_substring,
         "op6_mix": op6_mix,
         "op8_lines": op8_lines,
+        "op10_embeddings": op10_embeddings,
     }
 
+
 def llm_oracle_sql() -> dict[str, str]:
     return {"op6_mix": OP6_SQL, "op8_lines": OP8_SQL}
