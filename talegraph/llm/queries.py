@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from .op1_jaccard import op1_jaccard
 from .op2_suffix_array import op2_suffix_array
+from .op3_quality import op3_quality
 from .op4_decontaminate import op4_decontaminate
 from .op5_substring import op5_substring
 from .op6_mix import OP6_SQL, op6_mix
+from .op7_lm import op7_lm
 from .op8_lines import OP8_SQL, op8_lines
+from .op9_secrets import op9_secrets
 from .op10_embeddings import op10_embeddings
 
 
@@ -15,10 +18,13 @@ def llm_queries() -> dict:
     return {
         "op1_jaccard": op1_jaccard,
         "op2_suffix_array": op2_suffix_array,
+        "op3_quality": op3_quality,
         "op4_decontaminate": op4_decontaminate,
         "op5_substring": op5_substring,
         "op6_mix": op6_mix,
+        "op7_lm": op7_lm,
         "op8_lines": op8_lines,
+        "op9_secrets": op9_secrets,
         "op10_embeddings": op10_embeddings,
     }
 
