@@ -12,8 +12,9 @@ taken in blocks of columns.  A pair can only reach the threshold if each side ha
   ``n - ceil(0.8 n) + 1`` n-grams of each; those that only this set has come first and use
   up that allowance.  Sets with a common n-gram there form a bucket.
 * A bucket is first joined to one of its members, the one with the fewest n-grams of its
-  own, as the centre of copies tends to be; pairs that fail the size bound are left out,
-  the overlaps of the rest are counted over whole sets.  Links join components, and pairs
+  own, as the centre of copies tends to be.  The places of the shared n-gram in both orders
+  bound the overlap of a pair; pairs below what their sizes ask for are discarded in the
+  join, the overlaps of the rest are counted over whole sets.  Links join components, and pairs
   inside a component need no more work, so a group of many copies costs a row for each.
   What is still open goes on in rounds in which 8, 64, 512... members of each bucket meet
   the others; once the open pairs are few beside the incidence itself, all are done.
@@ -43,8 +44,8 @@ from .scratch import Scratch, join_checked
 SIZE = 5
 #: Share of the hash range in the first block.
 FIRST_BLOCK = 0.3
-#: Open pairs that are done at once, as a multiple of the rows in buckets.
-ALL_PAIRS_X = 16
+#: Open pairs that are compared by bounds at once, as a multiple of the rows in buckets.
+ALL_PAIRS_X = 256
 
 _STEPS = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) | U64(1)
 
@@ -180,27 +181,28 @@ def _bucket_links(common: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (u, v) between sets: enough of them to join all that are linked."""
     spark = common.sparkSession
     links = spark.createDataFrame([], "u long, v long")
-    members = common.select("c", "n", "own", F.explode("prefix").alias("g"))
+    members = common.select("c", "n", "own", F.posexplode("prefix").alias("at", "g")).withColumn("left", F.col("n") - F.col("own") - F.col("at"))
     several = members.groupBy("g").agg(F.count("*").alias("k")).where("k > 1")
     # turn: a fixed place of each member in its bucket, from 0 to k
     turn = (F.pmod(F.xxhash64("c", "g"), F.lit(1 << 30)) / float(1 << 30) * F.col("k")).alias("turn")
-    open_ = scratch.save(members.join(several, "g").select("g", "c", "n", "own", "k", turn, F.col("c").alias("label")))
+    open_ = scratch.save(members.join(several, "g").select("g", "c", "n", "own", "left", "k", turn, F.col("c").alias("label")))
     cells = open_.count()
     upto = 0  # members with a smaller turn have met all others of their buckets
     while cells:
         tally = open_.groupBy("g").agg(F.count("*").alias("k")).agg(F.sum(F.col("k").cast("decimal(38,0)") * (F.col("k") - 1) / 2)).first()[0]
-        last = float(tally or 0) <= ALL_PAIRS_X * cells
-        other = open_.select("g", F.col("c").alias("u"), F.col("n").alias("un"), F.col("label").alias("ul"), F.col("turn").alias("ut"))
-        if not last and not upto:
-            centre = open_.groupBy("g").agg(F.min(F.struct("own", "c", "n", "label")).alias("m"))
-            pairs = open_.join(centre.select("g", F.col("m.c").alias("u"), F.col("m.n").alias("un"), F.col("m.label").alias("ul")), "g").where("c != u")
+        last = bool(upto) and float(tally or 0) <= ALL_PAIRS_X * cells
+        other = open_.select("g", F.col("c").alias("u"), F.col("n").alias("un"), F.col("label").alias("ul"), F.col("turn").alias("ut"), F.col("left").alias("uleft"))
+        if not upto:
+            centre = open_.groupBy("g").agg(F.min(F.struct("own", "c", "n", "label", "left")).alias("m"))
+            pairs = open_.join(centre.select("g", F.col("m.c").alias("u"), F.col("m.n").alias("un"), F.col("m.label").alias("ul"), F.col("m.left").alias("uleft")), "g").where("c != u")
             after = 1
         else:
             # all that have their turn now meet all whose turn is not over
             after = upto * 8
             pairs = open_.join(other if last else other.where(F.col("ut") < after), "g").where(F.col("c") < F.col("u") if last else (F.col("turn") >= after) | (F.col("c") < F.col("u")))
-        # inside a component nothing is open, and sizes must be near
-        pairs = pairs.where("label != ul and n * 5 >= un * 4 and un * 5 >= n * 4")
+        # inside a component nothing is open; and if this is the first n-gram that a pair shares, it
+        # shares no more than what either side has from here on, which must reach the bound
+        pairs = pairs.where("label != ul and least(left, uleft) * 9 >= (n + un) * 4")
         pairs = scratch.save(pairs.select("c", "u").distinct())
         grams = common.select("c", "n", "grams")
         found = (
@@ -216,9 +218,9 @@ def _bucket_links(common: DataFrame, scratch: Scratch) -> DataFrame:
         label = scratch.save(components(links, scratch))
         rest = open_.drop("label").where(F.col("turn") >= after) if upto else open_.drop("label")
         rest = rest.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-        rest = scratch.save(rest.select("g", "c", "n", "own", "k", "turn", "label"))
+        rest = scratch.save(rest.select("g", "c", "n", "own", "left", "k", "turn", "label"))
         apart = rest.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("g")
-        kept = scratch.save(rest.join(apart, "g").select("g", "c", "n", "own", "k", "turn", "label"))
+        kept = scratch.save(rest.join(apart, "g").select("g", "c", "n", "own", "left", "k", "turn", "label"))
         scratch.drop(rest)
         scratch.drop(open_)
         open_, upto = kept, after
