@@ -116,9 +116,11 @@ def checked(body: str, **more: str) -> str:
     ctes = ", ".join(f"{name} AS ({views[name]})" for name in need)
     lead = "WITH RECURSIVE "
     body = body.strip()
+    if not need:
+        return re.sub(r"@(\w+)", r"\1", body)
     if body.upper().startswith(lead):
         body = ", " + body[len(lead):]
     elif body.upper().startswith("WITH "):
         body = ", " + body[5:]
-    text = f"{lead}{ctes} {body}" if need else body
+    text = f"{lead}{ctes} {body}"
     return re.sub(r"@(\w+)", r"\1", text)
