@@ -153,7 +153,7 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
     # block 2: whole sets of those left, the n-grams that no other of them has
-    texts = join_checked(docs, left.select(F.col("rep").alias("id"), "c", "rows"), "id").select("text", "c", "rows")
+    texts = docs.join(left.select(F.col("rep").alias("id"), "c", "rows"), "id").select("text", "c", "rows")
     whole = scratch.save(texts.mapInArrow(_whole_sets(size), "c long, rows long, n long, grams array<long>"))
     whole = whole.where("rows = 1").union(whole.where("rows > 1").dropDuplicates(["c"])).drop("rows")  # repeated rows
     cells = whole.select("c", F.explode("grams").alias("g"))
