@@ -40,5 +40,4 @@ def op5_substring(spark, sf_dir: str) -> DataFrame:
         F.col("n_units").alias("n_words"),
         "n_removed",
         F.sha2("kept", 256).alias("kept_sha256"),
-        F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))).alias("removed_spans"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .checks import OP1_SQL, OP4_SQL, OP5_SQL
 from .op1_jaccard import op1_jaccard
 from .op2_suffix_array import op2_suffix_array
 from .op3_quality import op3_quality
@@ -30,4 +31,10 @@ def llm_queries() -> dict:
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op6_mix": OP6_SQL, "op8_lines": OP8_SQL}
+    return {
+        "op1_jaccard": OP1_SQL,
+        "op4_decontaminate": OP4_SQL,
+        "op5_substring": OP5_SQL,
+        "op6_mix": OP6_SQL,
+        "op8_lines": OP8_SQL,
+    }
