@@ -76,3 +76,21 @@ def job_finish_rollup(jobs: DataFrame) -> DataFrame:
     s = F.col("status")
     item = F.when(F.bool_or(s == "failed"), "blocked").when(F.bool_and(s == "skipped"), "cutoff").when(F.bool_and(s.isin("done", "skipped")), "proposed").otherwise("waiting")
     return jobs.groupBy("run", "node").agg(item.alias("item"))
+
+
+def typed_changed(then: DataFrame, now: DataFrame, columns: list[str]) -> DataFrame:
+    """then (node, columns), now (node, columns) -> node, changed: whether the typed part of a node differs; one that is gone changed."""
+
+    def digest(df: DataFrame, name: str) -> DataFrame:
+        return df.select("node", F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256).alias(name))
+
+    both = digest(then, "a").join(digest(now, "b"), "node", "left")
+    return both.select("node", (~F.col("a").eqNullSafe(F.col("b"))).alias("changed"))
+
+
+def job_staleness(jobs: DataFrame, current: DataFrame) -> DataFrame:
+    """jobs (job, target, target_rev, sources array<struct<node, rev>>), current (node, rev) -> job, stale."""
+    now = current.select("node", F.col("rev").alias("now"))
+    asked = jobs.select("job", F.explode(F.array_append("sources", F.struct(F.col("target").alias("node"), F.col("target_rev").alias("rev")))).alias("x")).select("job", "x.node", "x.rev")
+    met = asked.join(now, "node", "left")
+    return met.groupBy("job").agg(F.bool_or(F.col("now").isNull() | (F.col("now") != F.col("rev"))).alias("stale"))

@@ -172,3 +172,14 @@ def branch_track(log: DataFrame) -> DataFrame:
     accepted = F.when(F.col("status") == "accepted", F.col("commit_seq"))
     last = F.max_by("status", "commit_seq")
     return log.groupBy("session").agg(F.min("ts").alias("first_ts"), F.min(accepted).alias("base"), F.max(accepted).alias("head"), F.when(last == "rejected", "conflicted").otherwise("active").alias("status"))
+
+
+def provenance(revisions: DataFrame, origin: str = "agent") -> DataFrame:
+    """Revisions -> node, rev, field, generated_by, derived_from, origin: one row for each version and field."""
+    return revisions.select("node", "rev", F.coalesce("field", F.lit("*")).alias("field"), F.col("proposal").alias("generated_by"), F.when(F.col("derived_from") > 0, F.col("derived_from")).alias("derived_from"), F.lit(origin).alias("origin"))
+
+
+def review_queue(ops: DataFrame, risks: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Proposals not accepted, newest first by last_ts, with their risk and their operations in order."""
+    listed = ops.groupBy("proposal").agg(F.max("ts").alias("last_ts"), F.sort_array(F.collect_list(F.struct("seq", "verb", "target", "field"))).alias("ops"))
+    return listed.join(accepted.select("proposal"), "proposal", "left_anti").join(risks, "proposal", "left")

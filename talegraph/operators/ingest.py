@@ -129,3 +129,9 @@ def edge_refs_check(nodes: DataFrame, edges: DataFrame, rels: DataFrame) -> Data
     e = e.join(F.broadcast(rels.select("rel", "src_kind", "dst_kind")), "rel", "left")
     problem = F.when(F.col("sk").isNull() | F.col("dk").isNull(), "end is missing").when(F.col("sk") != F.col("src_kind"), "kind of source").when((F.col("dk") != F.col("dst_kind")) & (F.col("dst_kind") != "span"), "kind of target")
     return e.select("src", "rel", "dst", problem.alias("problem")).where("problem is not null")
+
+
+def payload_refs(nodes: DataFrame) -> DataFrame:
+    """nodes (id, props) -> id, ref: every id named inside the properties of a node."""
+    ids = F.regexp_extract_all("props", F.lit('"([a-z]+/[^"]+)"'), 1)
+    return nodes.select("id", F.explode(F.array_distinct(ids)).alias("ref"))

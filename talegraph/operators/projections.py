@@ -167,3 +167,17 @@ def ced_by_model(g: Graph, touched: DataFrame, findings: DataFrame) -> DataFrame
     found = t.join(findings.select("fingerprint", F.col("node").alias("scene")), "scene").groupBy("model").agg(F.countDistinct("fingerprint").alias("n"))
     out = base.join(found, "model", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return out.select("model", "scenes", F.round(F.col("n") * 10000.0 / F.nullif(F.col("words"), F.lit(0)), 6).alias("ced"))
+
+
+def open_diag_counts(findings: DataFrame) -> DataFrame:
+    """findings (rule, nodes) -> node, n."""
+    return findings.select(F.explode("nodes").alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+
+
+def node_detail(g: Graph) -> DataFrame:
+    """id, kind, n_in, n_out, n_soft: how each live node is referred to, soft edges included."""
+    e = g.live_edge.select("src", "dst", "hard")
+    ends = e.select(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o"), "hard").unionAll(e.select(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o"), "hard"))
+    n = ends.groupBy("id").agg(F.sum("i").alias("i"), F.sum("o").alias("o"), F.count_if(~F.col("hard")).alias("s"))
+    out = g.live_node.select("id", "kind").join(n, "id", "left")
+    return out.select("id", "kind", *(F.coalesce(c, F.lit(0)).alias(name) for c, name in (("i", "n_in"), ("o", "n_out"), ("s", "n_soft"))))

@@ -755,3 +755,86 @@ def _(spark, sf):
 @query("activity_windows", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(spark, sf):
     return leases.activity_windows(source(spark, sf, "SELECT CAST(ts AS TIMESTAMP) AS ts, event_type FROM @events"))
+
+
+# --- more views of the log and the graph -----------------------------------------------------------------
+@query(
+    "provenance",
+    "SELECT o.target AS node, CAST(coalesce(c.rev, 0) + row_number() OVER w AS INT) AS rev, coalesce(o.field, '*') AS field, o.proposal AS generated_by, CASE WHEN coalesce(c.rev, 0) + row_number() OVER w > 1 THEN CAST(coalesce(c.rev, 0) + row_number() OVER w - 1 AS INT) END AS derived_from, 'agent' AS origin FROM ops o LEFT JOIN cur c ON c.node = o.target WINDOW w AS (PARTITION BY o.target ORDER BY o.ts, o.proposal, o.seq)",
+    **LOG, cur=CURRENT,
+)
+def _(spark, sf):
+    return editlog.provenance(editlog.bump_revisions(ops(spark, sf), source(spark, sf, CURRENT)))
+
+
+@query("review_queue", "SELECT proposal, max(ts) AS last_ts, string_agg(verb || ':' || target, ',' ORDER BY seq) AS ops FROM ops WHERE proposal NOT IN (SELECT proposal FROM reads WHERE rev = 1) GROUP BY proposal", **LOG)
+def _(spark, sf):
+    o = ops(spark, sf)
+    out = editlog.review_queue(o, editlog.risk_assess(graph(spark, sf), o, rel_dim(spark)).select("proposal", "risk"), read_set(spark, sf).where("rev = 1"))
+    return out.select("proposal", "last_ts", F.array_join(F.transform("ops", lambda x: F.concat_ws(":", x["verb"], x["target"])), ",").alias("ops"))
+
+
+@query("proposal_state", "SELECT proposal, CASE WHEN count(*) > 1 THEN 'bad' ELSE 'warn' END AS state FROM reads GROUP BY proposal", **LOG)
+def _(spark, sf):
+    n = read_set(spark, sf).groupBy("proposal").agg((F.count("*") - 1).alias("n_conflicts")).withColumn("risk", F.lit("review"))
+    return n.select("proposal", projections.proposal_state().alias("state"))
+
+
+@query("proposal_impact")
+def _(spark, sf):
+    asked = ops(spark, sf).where("verb != 'ADD'").select(F.col("proposal").alias("run"), F.col("target").alias("id")).distinct()
+    return traverse.impact(graph(spark, sf), asked, 2).select("run", "affected")
+
+
+@query("agg_open_diag_counts", f"SELECT node, count(*) AS n FROM (SELECT id AS node FROM live_node WHERE kind = 'Promise' AND coalesce(json_extract_string(props, '$.status'), 'hypothetical') = 'hypothetical' UNION ALL SELECT node FROM ({RULE_SQL['plot.causeless']}) c) q GROUP BY node")
+def _(spark, sf):
+    return projections.open_diag_counts(rules.check(graph(spark, sf), ["plot.abandoned", "plot.causeless"]))
+
+
+@query(
+    "node_detail",
+    "SELECT n.id, n.kind, (SELECT count(*) FROM live_edge e WHERE e.dst = n.id) AS n_in, (SELECT count(*) FROM live_edge e WHERE e.src = n.id) AS n_out, (SELECT count(*) FROM live_edge e WHERE e.dst = n.id AND NOT e.hard) + (SELECT count(*) FROM live_edge e WHERE e.src = n.id AND NOT e.hard) AS n_soft FROM live_node n",
+)
+def _(spark, sf):
+    return projections.node_detail(graph(spark, sf))
+
+
+@query("typed_changed", "SELECT id AS node, coalesce(story_from % 2 = 1 OR id LIKE '%9', id LIKE '%9') AS changed FROM live_node")
+def _(spark, sf):
+    n = graph(spark, sf).live_node.select(F.col("id").alias("node"), "kind", "story_from", "reveal_at")
+    now = n.where("node not like '%9'").withColumn("story_from", F.when(F.col("story_from") % 2 == 1, F.col("story_from") + 1).otherwise(F.col("story_from")))
+    return cascade.typed_changed(n, now, ["kind", "story_from", "reveal_at"])
+
+
+WORK = "SELECT CAST(event_id AS STRING) AS job, 'character/c' || CAST(user_id AS STRING) AS target, CAST(1 + user_id % 3 AS INT) AS target_rev, 'character/c' || CAST(user_id + event_id % 3 AS STRING) AS other, CAST(1 AS INT) AS other_rev FROM @events"
+
+
+@query("job_staleness", "SELECT j.job, a.rev IS NULL OR b.rev IS NULL OR a.rev <> j.target_rev OR b.rev <> j.other_rev AS stale FROM work j LEFT JOIN cur a ON a.node = j.target LEFT JOIN cur b ON b.node = j.other", work=WORK, cur=CURRENT)
+def _(spark, sf):
+    jobs = source(spark, sf, WORK).withColumn("sources", F.array(F.struct(F.col("other").alias("node"), F.col("other_rev").alias("rev"))))
+    return cascade.job_staleness(jobs, source(spark, sf, CURRENT))
+
+
+@query("payload_refs", "SELECT DISTINCT id, unnest(regexp_extract_all(props, '\"([a-z]+/[^\"]+)\"', 1)) AS ref FROM live_node")
+def _(spark, sf):
+    return ingest.payload_refs(graph(spark, sf).live_node)
+
+
+@query("history_last50", "SELECT node, rev, lag(rev) OVER (PARTITION BY node ORDER BY rev) AS derived_from FROM (SELECT target AS node, CAST(row_number() OVER (PARTITION BY target ORDER BY ts, proposal, seq) AS INT) AS rev FROM ops) q QUALIFY row_number() OVER (PARTITION BY node ORDER BY rev DESC) <= 50", **LOG)
+def _(spark, sf):
+    r = editlog.bump_revisions(ops(spark, sf), spark.createDataFrame([], "node string, rev int"))
+    return reads.history(r.select("node", "rev", "tx_from")).select("node", "rev", "derived_from")
+
+
+@query("lease_conflicts")
+def _(spark, sf):
+    held = leases.lease_state(source(spark, sf, LEASES), F.lit("2024-01-20 00:00:00").cast("timestamp"))
+    return leases.lease_conflicts(held)
+
+
+@query("manifest_validate", "SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS file, CASE WHEN doc_id % 5 = 0 THEN 'hash differs' ELSE '' END || CASE WHEN doc_id % 15 = 0 THEN ',' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN 'unresolved names' ELSE '' END AS errors FROM documents")
+def _(spark, sf):
+    files = source(spark, sf, FILES)
+    n = F.substring("file", 5, 20).cast("long")
+    made = files.select("file", F.when(n % 5 == 0, F.lit("0")).otherwise(F.sha2("content", 256)).alias("source_sha256"), F.when(n % 3 == 0, F.array(F.lit("someone"))).otherwise(F.array().cast("array<string>")).alias("unresolved"), F.array("file").alias("ids"))
+    return ingest.manifest_validate(files, made).withColumn("errors", F.array_join("errors", ","))
