@@ -19,18 +19,19 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.save(
         edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
     )
+    rows = now.count()
     while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = scratch.save(large)
+        large = scratch.save(large, rows)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
             large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(least.select("a", F.col("m").alias("b")))
             .distinct()
         )
-        small = scratch.save(small)
+        small = scratch.save(small, rows)
         scratch.drop(now)
         scratch.drop(large)
         now = small

@@ -203,7 +203,7 @@ def _bucket_links(common: DataFrame, scratch: Scratch) -> DataFrame:
         # inside a component nothing is open; and if this is the first n-gram that a pair shares, it
         # shares no more than what either side has from here on, which must reach the bound
         pairs = pairs.where("label != ul and least(left, uleft) * 9 >= (n + un) * 4")
-        pairs = scratch.save(pairs.select("c", "u").distinct())
+        pairs = scratch.save(pairs.select("c", "u").distinct(), cells)
         grams = common.select("c", "n", "grams")
         found = (
             pairs.join(grams, "c")
@@ -212,15 +212,15 @@ def _bucket_links(common: DataFrame, scratch: Scratch) -> DataFrame:
             .where("100 * both >= 80 * (n + un - both)")
             .select(F.col("c").alias("u"), F.col("u").alias("v"))
         )
-        links = scratch.save(links.union(found))
+        links = scratch.save(links.union(found), cells)
         if last:
             break
-        label = scratch.save(components(links, scratch))
+        label = scratch.save(components(links, scratch), cells)
         rest = open_.drop("label").where(F.col("turn") >= after) if upto else open_.drop("label")
         rest = rest.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-        rest = scratch.save(rest.select("g", "c", "n", "own", "left", "k", "turn", "label"))
+        rest = scratch.save(rest.select("g", "c", "n", "own", "left", "k", "turn", "label"), cells)
         apart = rest.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("g")
-        kept = scratch.save(rest.join(apart, "g").select("g", "c", "n", "own", "left", "k", "turn", "label"))
+        kept = scratch.save(rest.join(apart, "g").select("g", "c", "n", "own", "left", "k", "turn", "label"), cells)
         scratch.drop(rest)
         scratch.drop(open_)
         open_, upto = kept, after

@@ -18,14 +18,22 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Rows of a few numbers each that make a file worth its task.
+FILE_ROWS = 100_000
+
+
 class Scratch:
     """Writes tables that cut lineage; a lost executor costs no more than the step at hand."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """rows: about how many there are, where known, so a small table gets few files."""
         self.n += 1
+        if rows is not None:
+            most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            df = df.coalesce(max(1, min(most, rows // FILE_ROWS + 1)))
         path = f"{self.at}/{self.n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
