@@ -102,7 +102,8 @@ def contamination(docs, bench, window=10):
     return out
 
 
-def lines(docs, window=3):
+def left_lines(docs, window=3):
+    """The lines that stay of each document."""
     seen, out = {}, {}
     for i, t in sorted(docs, key=lambda d: d[0]):
         ls = t.split("\n") if t else []
@@ -115,5 +116,11 @@ def lines(docs, window=3):
                 gone[p : p + window] = [True] * window
             else:
                 seen[s] = (i, p)
-        out[i] = (len(ls), sum(gone), digest("\n".join(x for x, g in zip(ls, gone) if not g)))
+        out[i] = [x for x, g in zip(ls, gone) if not g]
     return out
+
+
+def lines(docs, window=3):
+    left = left_lines(docs, window)
+    sizes = {i: len(t.split("\n")) if t else 0 for i, t in docs}
+    return {i: (sizes[i], sizes[i] - len(ls), digest("\n".join(ls))) for i, ls in left.items()}
