@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .bytescan import U64, Words, mix, signed, words_of
 from .components import components
-from .scratch import Scratch, join_checked
+from .scratch import COMBINED_ROWS, Scratch, arrow_rows, join_checked
 
 SIZE = 5
 #: Share of the hash range in the first block.
@@ -138,6 +138,7 @@ def _allowed(n):
 def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """(id, n_shingles, set_id, component_id), one row for each of df."""
     spark = df.sparkSession
+    arrow_rows(spark, COMBINED_ROWS)
     scratch = Scratch(spark, "jaccard")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = scratch.save(docs.mapInArrow(_sets(size), "id long, n long, c long"))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import Words, pieces
-from .scratch import Scratch
+from .scratch import TEXT_ROWS, Scratch, arrow_rows
 
 SAMPLE_ROWS = 20_000
 TREES, DEPTH = 24, 3
@@ -164,6 +164,7 @@ def fit_rules(sample: DataFrame) -> tuple[list[tuple[Rule, float]], float]:
 def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", carry: tuple[str, ...] = (), sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(id, held_out, score, predicted, carry_0...), one row for each of df."""
     scratch = Scratch(df.sparkSession, "quality")
+    arrow_rows(df.sparkSession, TEXT_ROWS)
     extra = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
     docs = df.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"), *extra)
     kinds = ", ".join(f"{c} {kind}" for c, kind in docs.drop("text").dtypes)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import IS_ALNUM, U64, RunHash, Words, signed, sliding_min, value_runs, words_of
-from .scratch import Scratch
+from .scratch import TEXT_ROWS, Scratch, arrow_rows
 
 WINDOW = 10
 GRAM = 5
@@ -212,6 +212,7 @@ def _compare(window: int, gram: int):
 def contaminated(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, carry: tuple[str, ...] = (), index_bytes: int = INDEX_BYTES) -> DataFrame:
     """(id, carry_0..., n_words, n_hit, items, spans of words), one row for each of df."""
     spark = df.sparkSession
+    arrow_rows(spark, TEXT_ROWS)
     gram = min(GRAM, window)
     items = bench.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text).cast("string").alias("text")).where("length(text) > 0").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item") + 40), F.lit(0))).first()[0]

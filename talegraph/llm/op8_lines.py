@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .bytescan import IS_WORD, U64, hash_words, mix, pieces, signed
 from .repeats import LAST_ID, _lists, match_lists
-from .scratch import Scratch, join_checked
+from .scratch import TEXT_ROWS, Scratch, arrow_rows, join_checked
 
 WINDOW = 3
 
@@ -103,6 +103,7 @@ def _cut(window: int):
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_lines, n_removed, removed_lines array<long>, kept text, then the columns of ``carry`` as carry_0...)."""
     scratch = Scratch(df.sparkSession, "lines")
+    arrow_rows(df.sparkSession, TEXT_ROWS)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
     docs = docs.withColumn("doc", F.coalesce("id", F.lit(LAST_ID)))
     rows = scratch.save(docs.select("doc", "text").mapInArrow(_windows(window), "w long, doc long"))

@@ -18,6 +18,15 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Rows in a batch that goes to a Python task: few where whole texts come back, the default where a batch is combined.
+TEXT_ROWS, COMBINED_ROWS = 2_000, 10_000
+
+
+def arrow_rows(spark: SparkSession, rows: int) -> None:
+    """Bound what one batch holds, for the jobs that follow."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 #: Rows of a few numbers each that make a file worth its task.
 FILE_ROWS = 100_000
 
