@@ -225,16 +225,12 @@ class Graph:
             return z, z
         return tuple(np.concatenate(z) for z in zip(*out, strict=True))
 
-    def audit(self, rows: np.ndarray, least: float, goal: float) -> float:
-        """Widen the beam until the recall of these nodes against brute force reaches the goal."""
-        q = self.x[rows]
-        true = sum(int((q[a : a + 256] @ self.x.T >= least).sum()) for a in range(0, len(q), 256))
-        while True:
-            got = len(self.within(q, least)[0])
-            recall = got / true if true else 1.0
-            if recall >= goal or self.ef >= len(self.x):
-                return recall
-            self.ef = 2 * self.ef if 8 * self.ef < len(self.x) else len(self.x)
+    def widen(self) -> bool:
+        """A beam twice as wide, or of the whole shard from an eighth of it on; False if it was that already."""
+        if self.ef >= len(self.x):
+            return False
+        self.ef = 2 * self.ef if 8 * self.ef < len(self.x) else len(self.x)
+        return True
 
     def dump(self) -> bytes:
         return pickle.dumps((self.ef, self.order, self.x, [layer.near for layer in self.layers]), protocol=5)

@@ -1,9 +1,12 @@
 """Embedding near-dedup: a navigable small-world graph for each shard.
 
 Method: equal vectors are one node.  Nodes are dealt by hash over shards; one task builds
-the graph of a shard (``hnsw.py``) and audits it: nodes whose id is divisible by 20 are
-searched and compared with brute force, and the beam is widened until the recall reaches
-``RECALL``.  Then every node queries every shard, in blocks.  Similarities found are
+the graph of a shard (``hnsw.py``).  Then every shard is audited: the nodes of all shards
+whose id is divisible by 20 (and where a shard has none, some of its own by hash) query it,
+in blocks, and what the beam finds is compared with brute force, a node's match with itself
+left out.  The beam of a shard is widened until each block's recall of real pairs reaches
+``RECALL``; a shard in which brute force finds no pair of an audited node keeps the first
+beam.  Then every node queries every shard, in blocks.  Similarities found are
 verified as cosines in double precision.  What leaves a task for a query and shard is the
 number of its links there and one node of each local component it meets, not its pairs, so
 a large group of near copies stays linear; components are then joined by Spark.
@@ -49,14 +52,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _build(cosine: float, recall: float):
+def _build(cosine: float):
     def run(key: tuple, t: pa.Table) -> pa.Table:
         exact = _unit(_matrix(t["v"]))
         g = Graph(exact.astype(np.float32))
         k = t["k"].to_numpy()[g.order]
         times = t["times"].to_numpy()[g.order]
-        audited = np.flatnonzero(t["audit"].to_numpy(zero_copy_only=False)[g.order])
-        reached = g.audit(audited, cosine - SLACK, recall) if len(audited) else 1.0
         # components of the shard by its own links
         label = np.arange(len(k))
         exact = exact[g.order]
@@ -71,7 +72,7 @@ def _build(cosine: float, recall: float):
             if (low == label).all():
                 break
             label = low
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "dim": pa.array([key[1].as_py()], pa.int32()), "recall": pa.array([reached]), "beam": pa.array([g.ef], pa.int32()), "graph": pa.array([g.dump()], pa.binary()), "k": pa.array([k.tobytes()], pa.binary()), "times": pa.array([times.tobytes()], pa.binary()), "label": pa.array([k[label].tobytes()], pa.binary()), "exact": pa.array([exact.tobytes()], pa.binary())})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "dim": pa.array([key[1].as_py()], pa.int32()), "graph": pa.array([g.dump()], pa.binary()), "k": pa.array([k.tobytes()], pa.binary()), "times": pa.array([times.tobytes()], pa.binary()), "label": pa.array([k[label].tobytes()], pa.binary()), "exact": pa.array([exact.tobytes()], pa.binary())})
 
     return run
 
@@ -83,28 +84,64 @@ def _cosines(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.n
     return out
 
 
+def _opened(row: dict) -> tuple[Graph, np.ndarray, np.ndarray]:
+    """A shard's graph, its nodes' keys and exact vectors."""
+    k = np.frombuffer(row["k"], np.int64)
+    return Graph.load(row["graph"]), k, np.frombuffer(row["exact"], np.float64).reshape(len(k), -1)
+
+
+def _links(g: Graph, k: np.ndarray, exact: np.ndarray, mine: np.ndarray, q: np.ndarray, cosine: float, ef: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) pairs found and verified, without a node's match with itself."""
+    a, b = g.within(q.astype(np.float32), cosine - SLACK, ef)
+    ok = (_cosines(q, a, exact, b) >= cosine) & (mine[a] != k[b])
+    return a[ok], b[ok]
+
+
+def _audit(cosine: float, recall: float):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = pa.table({"shard": pa.array([], pa.int32()), "dim": pa.array([], pa.int32()), "beam": pa.array([], pa.int32())})
+        if not len(left) or not len(right):
+            return out
+        row = right.slice(0, 1).to_pylist()[0]
+        g, k, exact = _opened(row)
+        mine, q = left["k"].to_numpy(), _unit(_matrix(left["v"]))
+
+        def found(ef: int) -> int:
+            return sum(len(_links(g, k, exact, mine[s : s + 256], q[s : s + 256], cosine, ef)[0]) for s in range(0, len(mine), 256))
+
+        true = found(len(k))
+        while found(g.ef) < recall * true and g.widen():
+            pass
+        return pa.table([pa.array([row["shard"]], pa.int32()), pa.array([row["dim"]], pa.int32()), pa.array([g.ef], pa.int32())], out.schema)
+
+    return run
+
+
 def _query(cosine: float):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             return pa.table({"k": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "others": pa.array([], pa.list_(pa.int64()))})
         row = right.slice(0, 1).to_pylist()[0]
-        g = Graph.load(row["graph"])
-        k, times, label = (np.frombuffer(row[c], np.int64) for c in ("k", "times", "label"))
-        exact = np.frombuffer(row["exact"], np.float64).reshape(len(k), -1)
+        g, k, exact = _opened(row)
+        g.ef = row["beam"]
+        times, label = (np.frombuffer(row[c], np.int64) for c in ("times", "label"))
         mine, q = left["k"].to_numpy(), _unit(_matrix(left["v"]))
         links, others = np.zeros(len(mine), np.int64), [None] * len(mine)
+        # a node of this shard belongs to its local component, whether or not its own search meets it
+        order = np.argsort(k)
+        at = order[np.minimum(np.searchsorted(k, mine, sorter=order), len(k) - 1)]
+        for i in np.flatnonzero((k[at] == mine) & (label[at] != mine)).tolist():
+            others[i] = [int(label[at[i]])]
         for s in range(0, len(mine), 1024):
             part = q[s : s + 1024]
-            a, b = g.within(part.astype(np.float32), cosine - SLACK)
-            ok = (_cosines(part, a, exact, b) >= cosine) & (mine[s + a] != k[b])
-            a, b = a[ok], b[ok]
+            a, b = _links(g, k, exact, mine[s : s + 1024], part, cosine)
             links[s : s + len(part)] = np.bincount(a, times[b], len(part)).astype(np.int64)
             pair = np.unique(np.stack([a, label[b]]), axis=1)
             for i, other in zip(pair[0].tolist(), pair[1].tolist(), strict=True):
                 if others[s + i] is None:
                     others[s + i] = []
                 others[s + i].append(other)
-        some = np.flatnonzero(links)
+        some = np.flatnonzero([x is not None for x in others])
         return pa.table({"k": pa.array(mine[some]), "links": pa.array(links[some]), "others": pa.array([others[i] for i in some], pa.list_(pa.int64()))})
 
     return run
@@ -123,12 +160,28 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     shards = max(shards, -(-n // shard_rows))
     blocks = max(1, -(-n // BLOCK_ROWS))
     shard = F.pmod(F.xxhash64("k", F.lit(1)), F.lit(shards)).cast("int")
-    built = nodes.withColumn("shard", shard).select("shard", "dim", "k", "times", "audit", "v")
-    built = built.groupBy("shard", "dim").applyInArrow(_build(cosine, recall), "shard int, dim int, recall double, beam int, graph binary, k binary, times binary, label binary, exact binary")
+    nodes = nodes.withColumn("shard", shard)
+    built = nodes.select("shard", "dim", "k", "times", "v")
+    built = built.groupBy("shard", "dim").applyInArrow(_build(cosine), "shard int, dim int, graph binary, k binary, times binary, label binary, exact binary")
     built = scratch.save(built)
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+
+    def copies(blocks: int, *more: str) -> DataFrame:
+        return built.select("shard", "dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "graph", "k", "exact", *more)
+
+    # audit: where a shard has no node to audit, those that a hash picks and the first by it
+    lot = F.xxhash64("k", F.lit(3))
+    bare = scratch.save(nodes.groupBy("shard", "dim").agg(F.max("audit").alias("some"), F.min(lot).alias("first")).where("not some").drop("some"))
+    asked = join_checked(nodes, bare, ["shard", "dim"], "left").where(F.col("audit") | (F.col("first").isNotNull() & ((F.pmod(lot, F.lit(20)) == 0) | (lot == F.col("first")))))
+    asked = scratch.save(asked.select("k", "v", "dim"))
+    parts = max(1, -(-asked.count() // BLOCK_ROWS))
+    asked = asked.select("k", "v", "dim", F.pmod(F.xxhash64("k", F.lit(2)), F.lit(parts)).cast("int").alias("block"), every)
+    beams = asked.groupBy("shard", "dim", "block").cogroup(copies(parts).groupBy("shard", "dim", "block")).applyInArrow(_audit(cosine, recall), "shard int, dim int, beam int")
+    beams = scratch.save(beams.groupBy("shard", "dim").agg(F.max("beam").alias("beam")))
+    built = join_checked(built, beams, ["shard", "dim"])
     block = F.pmod(F.xxhash64("k", F.lit(2)), F.lit(blocks)).cast("int").alias("block")
-    queries = nodes.select("k", "v", "dim", block, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    copies = built.select("shard", "dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "graph", "k", "times", "label", "exact")
+    queries = nodes.select("k", "v", "dim", block, every)
+    copies = copies(blocks, "times", "label", "beam")
     found = queries.groupBy("shard", "dim", "block").cogroup(copies.groupBy("shard", "dim", "block")).applyInArrow(_query(cosine), "k long, links long, others array<long>")
     found = scratch.save(found)
     links = found.groupBy("k").agg(F.sum("links").alias("links"))

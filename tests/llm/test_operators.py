@@ -7,10 +7,12 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from talegraph.llm import op1_jaccard, op2_suffix_array, op3_quality, op4_decontaminate, op5_substring, op6_mix, op7_lm, op8_lines, op9_secrets, op10_embeddings
+from talegraph.llm.hnsw import Graph
 
 SCHEMA = "doc_id long, text string, id string, doc string, source string, n_chars long"
 
@@ -191,6 +193,25 @@ def test_vectors(spark):
     assert all(out[i].n_links == 0 and out[i].component_id == i and out[i].kept for i in range(500, 506))
 
 
+def test_audit_counts_real_pairs_of_other_shards():
+    """Five nodes that no link leads to: their copies, in other shards, are missed until the beam is the whole shard."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1000, 16))
+    shard = pa.table({"k": pa.array(np.arange(1000)), "times": pa.array(np.ones(1000, np.int64)), "v": pa.array(x.tolist())})
+    built = op10_embeddings._build(0.9)((pa.scalar(0), pa.scalar(16)), shard)
+    g = Graph.load(built["graph"][0].as_py())
+    lost = np.arange(995, 1000)
+    for layer in g.layers:
+        layer.near[np.isin(layer.near, lost)] = -1
+    cut = built.set_column(built.schema.get_field_index("graph"), "graph", pa.array([g.dump()], pa.binary()))
+    copies = g.x[lost] + rng.normal(scale=0.01, size=(5, 16))
+    own = pa.table({"k": pa.array(np.arange(900)), "v": pa.array(x[:900].tolist())})
+    others = pa.concat_tables([own, pa.table({"k": pa.array(np.arange(5000, 5005)), "v": pa.array(copies.tolist())})])
+    audit = op10_embeddings._audit(0.9, 0.99)
+    assert audit(others, cut)["beam"].to_pylist() == [1000]
+    assert audit(others, built)["beam"].to_pylist()[0] < 1000
+
+
 def test_empty_tables(spark):
     e = table(spark, [])
     bench = spark.createDataFrame([], "item_id long, text string")
