@@ -15,7 +15,7 @@ from talegraph.llm.op3_quality import quality_scores
 from talegraph.llm.op4_decontaminate import contaminated
 from talegraph.llm.op6_mix import mix_sources
 from talegraph.llm.op8_lines import dedup_lines
-from talegraph.llm.scratch import Scratch
+from talegraph.llm.scratch import Scratch, join_checked
 
 
 def _restored(out: DataFrame, docs: DataFrame) -> DataFrame:
@@ -49,14 +49,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays, and one row of it.
-
-    Documents without words or with a null id have no copies and stay."""
-    groups = similar_components(docs).where("set_id is not null and id is not null")
-    lost = groups.where("id != component_id").select(F.col("id").alias("_lost"), "set_id")
-    lost = Scratch(spark, "near").save(lost.select("_lost").distinct())
-    kept = docs.join(lost, docs["doc_id"] == lost["_lost"], "left_anti")
-    return kept
+    """Of each group of near copies one row stays: of the least id, null last; then of the least row name.
+
+    A row's name is a 64-bit hash of its columns, so rows that share an id are rows of their own, and
+    repeated rows share a name.  Documents without words have no copies and stay."""
+    scratch = Scratch(spark, "near")
+    hashed = [docs[f"`{c}`"] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    named = docs.withColumn("_row", F.xxhash64(docs["doc_id"].isNull(), *hashed))
+    groups = similar_components(named, "_row").where("set_id is not null").groupBy(F.col("id").alias("_row")).agg(F.min("component_id").alias("group"))
+    rows = named.groupBy("_row").agg(F.min("doc_id").alias("doc"), F.count("*").alias("times"))
+    rows = scratch.save(rows.join(groups, "_row"))
+    first = F.min(F.struct(F.col("doc").isNull(), "doc", F.col("_row").alias("row")))["row"]
+    first = scratch.save(rows.groupBy("group").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1").select("group", "first"))
+    lost = scratch.save(join_checked(rows, first, "group").where("_row != first").select("_row"))
+    kept = named.join(lost, "_row", "left_anti")
+    again = scratch.save(rows.where("times > 1").select("_row"))
+    if not again.isEmpty():
+        kept = kept.join(again, "_row", "left_anti").unionByName(kept.join(again, "_row", "left_semi").dropDuplicates(["_row"]))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

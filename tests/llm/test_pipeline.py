@@ -50,3 +50,20 @@ def test_stages(spark):
     rows = out.collect()
     assert {r.doc_id: r["size"] for r in rows} == {i: len(brute.WORD.findall(t)) for i, t in before.items()}
     assert all(0 <= r.taken <= 2 * r["size"] for r in rows)
+
+
+def test_near_duplicates_by_row(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    near, other, lone = text + " more", " ".join(f"other{i}" for i in range(60)), " ".join(f"lone{i}" for i in range(60))
+    rows = [
+        (1, text, "a"), (1, text, "a"),  # repeated rows: one stays
+        (5, near, "b"), (5, lone, "b"),  # an id with a copy of 1 and a clean text: the clean row stays
+        (None, other, "c"), (None, other + " more", "d"), (None, other, "c"),  # copies among null ids: one stays
+        (None, near, "e"),  # a copy of 1
+        (8, None, "f"), (None, "", "g"), (None, "", "g"),  # without words: all stay
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    left = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(r for r in left if r[0] is not None and r[1]) == [(1, text, "a"), (5, lone, "b")]
+    assert [r[2] for r in left if r[0] is None and r[1]] in (["c"], ["d"])
+    assert sorted(r[2] for r in left if not r[1]) == ["f", "g", "g"]
