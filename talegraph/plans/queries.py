@@ -584,7 +584,7 @@ def _commit_inputs(spark, sf):
     order = source(spark, sf, f"SELECT {week} AS proposal, min(event_id) AS commit_seq FROM @events GROUP BY 1")
     current = source(spark, sf, CURRENT).withColumn("fields", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")))
     mine = f"SELECT DISTINCT {week} AS proposal, 'character/c' || CAST(user_id AS STRING) AS node, CAST(1 + user_id % 3 AS INT) AS rev FROM @events"
-    return source(spark, sf, log).where("verb != 'LINK' and verb != 'UNLINK'"), source(spark, sf, mine), order, current
+    return source(spark, sf, log), source(spark, sf, mine), order, current
 
 
 @query("commit_batch")

@@ -1,14 +1,18 @@
 """Small graphs with expectations worked out by hand."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from talegraph.catalog import kind_dim, rel_dim
 from talegraph.model import Graph
 from talegraph.operators import editlog, ingest, projections, reads, rules, search, traverse
+from talegraph.plans import queries
 from talegraph.sources.corpus import parse_frontmatter
 from talegraph.streaming import leases
 
+SF = "/root/testdata/sf0.001"
 NODE = "id string, kind string, title string, summary string, props string, story_from int, story_to int, reveal_at int, tx_from timestamp, tx_to timestamp, origin string, locked boolean, rev int"
 EDGE = "src string, dst string, rel string, hard boolean, story_from int, story_to int, tx_to timestamp, confidence double"
 
@@ -213,3 +217,30 @@ def test_pack_skips_what_does_not_fit(spark, base):
 
 def test_public_counts(spark, base):
     assert reads.public_nodes(base, kind_dim(spark)).count() == 4
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not there")
+def test_commit_batch_takes_the_whole_log(spark):
+    ops, seen, order, current = queries._commit_inputs(spark, SF)
+    log = ops.collect()
+    assert {"LINK", "UNLINK"} <= {o.verb for o in log}
+    by, read = {}, {}
+    for o in log:
+        by.setdefault(o.proposal, []).append(o)
+    for r in seen.collect():
+        read.setdefault(r.proposal, []).append((r.node, r.rev))
+    rev, moved, want = {r.node: r.rev for r in current.collect()}, {}, {}
+    for r in sorted(order.collect(), key=lambda r: r.commit_seq):
+        mine = by[r.proposal]
+
+        def fine(node, at, mine=mine):
+            own = [o for o in mine if o.target == node]
+            apart = own and all(o.verb == "UPDATE" for o in own) and all(moved.get((node, o.field), 0) <= at for o in own)
+            return rev.get(node, 0) == at or apart
+
+        want[r.proposal] = "accepted" if all(fine(*x) for x in read.get(r.proposal, [])) else "rejected"
+        if want[r.proposal] == "accepted":
+            for o in mine:
+                rev[o.target] = rev.get(o.target, 0) + 1
+            moved |= {(o.target, o.field): rev[o.target] for o in mine if o.field}
+    assert {r.proposal: r.status for r in editlog.commit_batch(ops, seen, order, current).collect()} == want
