@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests on one machine), a folder of our own."""
+    """spark.checkpoint.dir of the session; only where it is unset on a local master (tests), a folder of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         at = "file://" + tempfile.mkdtemp(prefix="talegraph-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
