@@ -1,13 +1,20 @@
 """Suffix-array dedup: cut every byte that a long repeated byte string covers.
 
-Method: distributed prefix doubling.  Ranks of short prefixes are paired at growing offsets
-(25, 50, 100 bytes) until they pass the threshold.  Sorting every position of a corpus
-once for each doubling would shuffle some thirty times the input, so the sort is narrowed
-first, without loss: positions are grouped by the winnowed anchor of their window (see
-``repeats.py``), groups whose whole content repeats are settled at once, and groups with
-a unique anchor are dropped, as their positions are unique already.  Spark then sorts what
-is left by anchor, and the ranks double within each anchor's range of the suffix order.
-Ranks are content names (Karp, Miller, Rosenberg), so they agree between partitions.
+Method: distributed prefix doubling.  A position's rank orders the first bytes of its suffix.
+Spark pairs the rank at each position with the rank at a growing offset, sorts the pairs and
+reranks by their place, so prefixes of 25 bytes become 50, then 100, the threshold.  A pair
+that one position alone has is unique: it leaves the sort, and so does every pair it would be
+part of.  Positions whose rank at the threshold an earlier position has too are repeats.
+
+Sorting every byte position of a corpus once for each doubling would shuffle some hundred
+times the input, so the sort is narrowed first, without loss (``repeats.py``): positions are
+grouped by the winnowed anchor of their window, anchors that are unique end there with all
+positions around them, and blocks of positions whose whole content repeats are settled at
+once.  What is left lies around the ends of repeats.
+
+Only distinct pairs are sorted, so a passage in many documents is one row for each of its
+positions; the first ranks are places in a sort of the prefixes' 64-bit hashes, as no order
+of texts is needed, only which are equal.
 
 Results for odd input: null text counts as empty; a null id as the largest id; texts
 shorter than the threshold keep all bytes; rows that share an id do not match each other,
@@ -17,35 +24,50 @@ ignored.
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytescan import U64, byte_runs, mix
-from .repeats import Unit, remove_repeats
+from .repeats import WINDOWS, Unit, open_windows, remove_repeats
+from .scratch import Scratch
 
 THRESHOLD = 100
-ANCHOR = 20
+ANCHOR = 40
+#: Bytes of the first ranks are at most the threshold halved so often.
+DOUBLINGS = 2
+
+
+def reranked(positions: DataFrame, pair: list[str], scratch: Scratch) -> DataFrame:
+    """Positions whose ``pair`` (columns of ranks) other positions have too, with its place in the sort as rank."""
+    place = F.xxhash64("row", "place")
+    pairs = positions.groupBy(*pair).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").select(*pair)
+    ranks = scratch.save(pairs.sort(*pair).withColumn("new_rank", F.monotonically_increasing_id()))
+    out = positions.join(ranks.hint("merge"), pair).drop(*pair).withColumnRenamed("new_rank", "rank")
+    return scratch.save(out)
 
 
-def doubled_ranks(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Ranks of the ``length`` bytes at each place of ``at``, by pairing ranks at growing offsets."""
-    size = length
-    while size > 32:
-        size = (size + 1) // 2
-    every = np.arange(len(data) - size + 1)
-    rank = byte_runs(data, 3).of(every, every + size)
-    while size < length:
-        step = min(size, length - size)
-        rank = mix(rank[: len(rank) - step] * U64(0x9E3779B97F4A7C15) + rank[step:])
-        size += step
-    return rank[at]
+def doubled(opened: DataFrame, unit: Unit, scratch: Scratch) -> DataFrame:
+    """(row, content, at): positions in open blocks whose rank at the threshold an earlier position has too."""
+    size = -(-unit.length // (1 << DOUBLINGS))
+    positions = opened.mapInArrow(open_windows(unit, size), WINDOWS)
+    # a first rank has two hashes, of the prefix and of the anchor of the block: equal windows have equal anchors
+    positions = reranked(scratch.save(positions), ["gram", "name"], scratch)
+    while size < unit.length:
+        step = min(size, unit.length - size)
+        ahead = Window.partitionBy("row", "content").orderBy("at").rangeBetween(step, step)
+        paired = positions.withColumn("next", F.first("rank").over(ahead)).where("next is not null").withColumnRenamed("rank", "own")
+        after = reranked(paired, ["own", "next"], scratch)
+        scratch.drop(positions)
+        positions, size = after, size + step
+    firsts = positions.groupBy("rank").agg(F.min("doc").alias("first"))
+    in_text = positions.groupBy("rank", "row").agg(F.min("place").alias("first_place"))
+    met = positions.join(firsts.hint("merge"), "rank").join(in_text.hint("merge"), ["rank", "row"])
+    return met.where((F.col("doc") > F.col("first")) | (F.col("place") > F.col("first_place"))).select("row", "content", "at")
 
 
 def dedup_suffixes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """(id, n_units bytes, n_removed, spans of removed bytes, kept binary), one row for each of df."""
-    unit = Unit(threshold, min(ANCHOR, threshold), 1, True, doubled_ranks)
-    return remove_repeats(df, unit, id_col, text_col)
+    unit = Unit(threshold, min(ANCHOR, threshold), 1, True)
+    return remove_repeats(df, unit, lambda opened, scratch: doubled(opened, unit, scratch), id_col, text_col)
 
 
 def op2_suffix_array(spark, sf_dir: str) -> DataFrame:

@@ -6,8 +6,10 @@ each path from a root to a node is a rule, a conjunction of thresholds.  A logis
 regression with a lasso penalty weighs the rules, most fall to zero, and those left are
 compiled into one Spark column expression, so scoring is a projection.
 
-The sample is all labelled rows up to ``SAMPLE_ROWS``; beyond that, those whose hash is
-below the share that gives this number.
+The sample is all labelled rows up to ``SAMPLE_ROWS``; beyond that, those whose id's hash is
+below the share that gives this number (an id with many rows is in with all or none).  Ids
+are counted and drawn first, so only the texts drawn are read to learn, and every text is
+then measured and scored in one pass in which nothing is written.
 
 Results for odd input: a null text counts as empty and is scored like any other; a null id
 is never learned from and is not held out; several labels of one id count as the least;
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import Words, pieces
-from .scratch import TEXT_ROWS, Scratch, arrow_rows
+from .scratch import TEXT_ROWS, Scratch, arrow_rows, drawn, join_checked
 
 SAMPLE_ROWS = 20_000
 TREES, DEPTH = 24, 3
@@ -105,6 +107,11 @@ def _measure(carried: int):
     return run
 
 
+def _measured_columns(docs: DataFrame) -> str:
+    kinds = (f"`{c}` {kind}" for c, kind in docs.drop("text").dtypes)
+    return ", ".join([*kinds, *(f"{c} double" for c in STATISTICS)])
+
+
 Rule = tuple[tuple[int, bool, float], ...]
 
 
@@ -165,20 +172,20 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """(id, held_out, score, predicted, carry_0...), one row for each of df."""
     scratch = Scratch(df.sparkSession, "quality")
     arrow_rows(df.sparkSession, TEXT_ROWS)
-    extra = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
-    docs = df.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"), *extra)
-    kinds = ", ".join(f"{c} {kind}" for c, kind in docs.drop("text").dtypes)
-    measured = docs.mapInArrow(_measure(1 + len(carry)), f"{kinds}, {', '.join(f'{c} double' for c in STATISTICS)}")
-    measured = scratch.save(measured)
     fold = F.coalesce(F.crc32(F.col("id").cast("string")) % 4, F.lit(0))
+    ids = df.select(F.col(id_col).alias("id"))
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).where("id is not null and label is not null")
     known = known.where(fold != 2).groupBy("id").agg(F.min("label").alias("label"))
-    learn = scratch.save(measured.select("id", *STATISTICS).where(fold != 2).join(known, "id"))
-    n = learn.count()
-    share = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_rows / max(n, 1)))
-    sample = scratch.save(learn.where(share).repartition(6, "id").sortWithinPartitions("id", *STATISTICS).select(*STATISTICS, "label"))
+    n = ids.where(fold != 2).join(known, "id").count()
+    chosen = scratch.save(known.where(drawn(F.col("id"), sample_rows, n, 3)))
+    learn = join_checked(df.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id")), chosen, "id").select("text", "id", "label")
+    measured = learn.mapInArrow(_measure(2), _measured_columns(learn))
+    sample = scratch.save(measured.repartition(6, "id").sortWithinPartitions("id", *STATISTICS).select(*STATISTICS, "label"))
     rules, intercept = fit_rules(sample)
     score = score_column(rules, intercept)
+    extra = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
+    docs = df.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"), *extra)
+    measured = docs.mapInArrow(_measure(1 + len(carry)), _measured_columns(docs))
     out = measured.select("id", (fold == 2).alias("held_out"), score.alias("score"), *(c for c in measured.columns if c.startswith("carry_")))
     return out.withColumn("predicted", F.when(F.col("score") >= CUT, 1).otherwise(0))
 

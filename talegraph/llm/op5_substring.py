@@ -1,8 +1,12 @@
 """Substring dedup over words: seed and extend.
 
-Seeds are winnowed anchors of 18 words, joined between documents by Spark; around each
-seed the match is extended left and right over all partners at once (``repeats.py``), and
-the matched windows merge into the maximal repeats over the threshold.
+Seeds are winnowed anchors of 18 words, joined between documents by Spark.  A block of
+windows around a seed that is the same as in an earlier document is a match as a whole.
+Where the surroundings of a seed differ, the match is extended to the left and right, as far
+as a window of 50 words around the seed reaches, over all partners at once: what the seed
+grows to is named for each step, the least document of each name is found by Spark, and the
+names that a smaller document has too are the extensions that match.  Matched windows merge
+into the maximal repeats over the threshold.
 
 Results for odd input: as for ``op2_suffix_array``, but only a smaller id counts as
 earlier, so repeats inside one document stay.
@@ -10,26 +14,27 @@ earlier, so repeats inside one document stay.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import value_runs
-from .repeats import Unit, remove_repeats
+from .repeats import WINDOWS, Unit, open_windows, remove_repeats
+from .scratch import Scratch
 
 WINDOW = 50
 SEED = 18
 
 
-def extended(units: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Names of the windows that a seed grows to: all that reach from it to both sides."""
-    return value_runs(units).of(at, at + length)
+def extended(opened: DataFrame, unit: Unit, scratch: Scratch) -> DataFrame:
+    """(row, content, at): windows of open blocks that a smaller document has too."""
+    grown = scratch.save(opened.mapInArrow(open_windows(unit, unit.length), WINDOWS))
+    firsts = grown.groupBy("name", "gram").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    return grown.join(firsts.hint("merge"), ["name", "gram"]).where("doc > first").select("row", "content", "at")
 
 
 def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, n_units words, n_removed, spans of removed words, kept binary: words joined by a space)."""
-    unit = Unit(window, min(SEED, window), 8, False, extended)
-    return remove_repeats(df, unit, id_col, text_col)
+    unit = Unit(window, min(SEED, window), 8, False)
+    return remove_repeats(df, unit, lambda opened, scratch: extended(opened, unit, scratch), id_col, text_col)
 
 
 def op5_substring(spark, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import Words, pieces
+from .scratch import drawn
 
 SAMPLE_DOCS = 20_000
 WINDOWS = 6_000
@@ -301,8 +302,7 @@ def _find(shared, carried: int):
 def train_crf(df: DataFrame, text_col: str, id_col: str, sample_docs: int = SAMPLE_DOCS) -> Crf | None:
     """A chain learned from a bounded sample; None if it holds no secret."""
     n = df.count()
-    share = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(9)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_docs / max(n, 1)))
-    rows = df.where(share).select(F.col(text_col).cast("string").alias("text")).mapInArrow(_training(WINDOWS), "key long, codes array<int>, tags array<byte>")
+    rows = df.where(drawn(F.col(id_col), sample_docs, n, 9)).select(F.col(text_col).cast("string").alias("text")).mapInArrow(_training(WINDOWS), "key long, codes array<int>, tags array<byte>")
     rows = rows.where("size(codes) > 0").orderBy("key", "codes").limit(WINDOWS).collect()  # WINDOWS of bounded length
     if not any(1 in r.tags for r in rows):
         return None

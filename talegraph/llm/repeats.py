@@ -3,24 +3,27 @@
 Plan, for texts of any number and length:
 
 1. *Anchors.*  Winnowing cuts the windows of each text into blocks that share an anchor
-   (``blocks.py``).  One row a block: anchor hash, content hash, document.
-2. *Classes.*  Spark partitions and sorts the rows by anchor and content and a task streams
-   over them.  A block whose content also is in a smaller document is wholly a repeat.  Of
-   the first of each content, only those whose anchor has other contents can still hold
-   repeated windows: the *open* blocks.  All unique text ends here.
-3. *Extension.*  Open blocks go, with their units, to the partition of their anchor.  All
-   partners of an anchor are extended there at once, to the left and right: windows that lie
-   alike around the anchor are named by content and the earliest of each name stays, so the
-   work is linear in the occurrences, not in their pairs.
+   (``blocks.py``).  One row a block: anchor hash, content hash, document, row.
+2. *Classes.*  Anchors are aggregated; one that stands in one document with one content is
+   unique, and so are all windows around it.  Of the blocks of other anchors, those whose
+   content also is in a smaller document are wholly repeats.  Of the first of each content,
+   only those whose anchor has other contents can still hold repeated windows: the *open*
+   blocks.
+3. *Windows.*  The operator finds the repeated windows of the open blocks: by names of what
+   a seed grows to (``op5_substring``) or by prefix doubling (``op2_suffix_array``).
 4. *Cover.*  Repeated windows are merged into maximal runs, which are cut from the text.
 
 The earliest occurrence of any window lies in a block that is the first of its content (if
 an earlier block had the same content, it would hold an earlier occurrence), so comparing
 only first blocks loses nothing.
 
+Hot passages: minima by anchor, content and window are combined before each shuffle, and
+joined back by equal keys, whose skew Spark can split; no task holds a group.
+
 Rows with a null id count as the largest id; rows that share an id do not match each other.
-Null texts are empty.  Content is compared by 64-bit anchor and 64-bit content hashes
-together.
+Lists are kept for each row, which a hash of id and text names, so rows that share an id, or
+have none, never gather in one place.  Null texts are empty.  Contents and windows are
+compared by 64-bit hashes of themselves and of their anchors together.
 """
 
 from __future__ import annotations
@@ -30,16 +33,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Blocks
-from .bytescan import U64, RunHash, Words, byte_runs, mix, pieces, signed, value_runs
-from .scratch import Scratch
+from .bytescan import RunHash, Words, byte_runs, pieces, signed, value_runs
+from .scratch import TEXT_ROWS, Scratch, arrow_rows
 
 LAST_ID = (1 << 63) - 1
-#: Bytes of open blocks that one extension step takes at a time.
-STEP_BYTES = 4 << 20
+#: Rows of windows that leave a task in one batch.
+WINDOW_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -47,14 +50,12 @@ class Unit:
     """What a window is made of.
 
     same_text: whether an earlier start in the same text counts.
-    name: (units of all blocks of a step one after another, first places of windows) -> names
     """
 
     length: int
     gram: int
     bytes_wide: int
     same_text: bool
-    name: Callable[[np.ndarray, np.ndarray, int], np.ndarray]
 
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, RunHash, np.ndarray, Words | None]:
         """Units, their run hashes, units before each text, words if units are words."""
@@ -75,64 +76,28 @@ def _first_in_text(x: Blocks) -> np.ndarray:
     return head
 
 
+def ordered(docs: DataFrame) -> Column:
+    """Ids in order, null after all others: as LAST_ID, if need be with the others moved down by one."""
+    lo, hi, none = docs.agg(F.min("id"), F.max("id"), F.coalesce(F.bool_or(F.col("id").isNull()), F.lit(False))).first()
+    shift = int(none and hi == LAST_ID and lo > -LAST_ID - 1)
+    return F.coalesce(F.col("id") - shift, F.lit(LAST_ID))
+
+
 def _anchor_rows(unit: Unit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            docs, rows = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for lo, hi, data, offsets in pieces(batch.column(1)):
                 _, runs, before, _ = unit.scan(data, offsets)
                 x = Blocks(runs, before, unit.length, unit.gram)
                 keep = _first_in_text(x) == np.arange(len(x.lo))
                 if keep.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(x.gram[keep])), pa.array(signed(x.content[keep])), pa.array(ids[lo:hi][x.text[keep]])], ["gram", "content", "doc"])
+                    text = x.text[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(x.gram[keep])), pa.array(signed(x.content[keep])), pa.array(docs[lo:hi][text]), pa.array(rows[lo:hi][text])], ["gram", "content", "doc", "row"])
 
     return run
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by gram, content, doc -> repeats (open false) and open blocks (open true).
-
-    Kept between batches: the class at hand, and the first block of the gram at hand while it is
-    the gram's only class."""
-    g0 = c0 = d0 = None
-    classes, pending = 0, None
-    for batch in batches:
-        g, c, d = (batch.column(i).to_numpy() for i in range(3))
-        n = len(g)
-        if not n:
-            continue
-        new_g, new_c = np.empty(n, bool), np.empty(n, bool)
-        new_g[1:] = g[1:] != g[:-1]
-        new_g[0] = g0 is None or g[0] != g0
-        new_c[1:] = new_g[1:] | (c[1:] != c[:-1])
-        new_c[0] = new_g[0] or c[0] != c0
-        heads = np.flatnonzero(new_c)
-        at_class = np.cumsum(new_c)
-        head_doc = np.concatenate([[d0 if d0 is not None else 0], d[heads]])[at_class]
-        again = d > head_doc
-        at_gram = np.cumsum(new_g)
-        found = np.bincount(at_gram[heads], minlength=at_gram[-1] + 1)
-        found[0] += classes
-        open_heads = heads[found[at_gram[heads]] >= 2]
-        docs, contents = [d[again], d[open_heads]], [c[again], c[open_heads]]
-        if pending is not None:
-            if found[0] >= 2:
-                contents.append(np.array([pending[0]]))
-                docs.append(np.array([pending[1]]))
-                pending = None
-            elif at_gram[-1] > 0:
-                pending = None
-        last = at_gram[-1]
-        if found[last] == 1 and (last > 0 or pending is None):
-            h = heads[-1] if len(heads) else None
-            pending = (c[h], d[h]) if h is not None and at_gram[h] == last else pending
-        elif found[last] != 1:
-            pending = None
-        g0, c0, d0, classes = g[-1], c[-1], head_doc[-1], int(found[last])
-        sizes = [len(x) for x in docs]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs).astype(np.int64)), pa.array(np.concatenate(contents).astype(np.int64)), pa.array(np.arange(sum(sizes)) >= sizes[0])], ["doc", "content", "open"])
-
-
 def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """Values and offsets of an array column; null lists are empty."""
     flat = column.flatten()
@@ -140,29 +105,41 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.concatenate([[0], np.cumsum(lengths)])
 
 
-def _open_rows(unit: Unit):
+WINDOWS = "name long, gram long, doc long, row long, content long, at int, place long"
+
+
+def open_windows(unit: Unit, length: int):
+    """Rows (doc, text, row, open contents) -> WINDOWS: runs of ``length`` units of the open blocks.
+
+    at: where a run starts in its block; place: in its text.  Runs up to the end of the last
+    whole window of a block are given, so for shorter runs some start after the last window."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            wanted, woff = _lists(batch.column(2))
+            docs, rows = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            wanted, woff = _lists(batch.column(3))
             wanted = wanted.to_numpy()
             for lo, hi, data, offsets in pieces(batch.column(1)):
-                units, runs, before, _ = unit.scan(data, offsets)
+                _, runs, before, _ = unit.scan(data, offsets)
                 x = Blocks(runs, before, unit.length, unit.gram)
                 if not len(x.lo):
                     continue
                 at = match_lists(x.text, signed(x.content), wanted[woff[lo] : woff[hi]], woff[lo : hi + 1] - woff[lo])
                 pick = np.flatnonzero((at >= 0) & (_first_in_text(x) == np.arange(len(x.lo))))
-                if not len(pick):
-                    continue
-                text = x.text[pick]
-                a, b = x.lo[pick], x.hi[pick] + unit.length
-                key = runs.of(before[:-1], before[1:])[text]
-                flat = spread(a, b)
-                raw = units[flat]
-                sizes = np.concatenate([[0], np.cumsum((b - a) * unit.bytes_wide)]).astype(np.int32)
-                body = pa.Array.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer(sizes), pa.py_buffer(np.ascontiguousarray(raw).view(np.uint8))])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(x.gram[pick])), pa.array(ids[lo:hi][text]), pa.array(signed(key)), pa.array(a - before[text]), pa.array((x.anchor[pick] - a).astype(np.int32)), pa.array(signed(x.content[pick])), body], ["gram", "doc", "key", "lo", "place", "content", "body"])
+                a, b = x.lo[pick], x.hi[pick] + unit.length - length + 1
+                step = max(1, WINDOW_ROWS // unit.length)
+                for i in range(0, len(pick), step):
+                    some, first, end = pick[i : i + step], a[i : i + step], b[i : i + step]
+                    start = spread(first, end)
+                    of = np.repeat(some, end - first)
+                    text = x.text[of]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(signed(runs.of(start, start + length))), pa.array(signed(x.gram[of])), pa.array(docs[lo:hi][text]), pa.array(rows[lo:hi][text]),
+                            pa.array(signed(x.content[of])), pa.array((start - x.lo[of]).astype(np.int32)), pa.array((start - before[text]).astype(np.int64)),
+                        ],
+                        ["name", "gram", "doc", "row", "content", "at", "place"],
+                    )
 
     return run
 
@@ -175,6 +152,20 @@ def spread(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
 
 
+def all_matches(text: np.ndarray, content: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (block, place in flat) of all entries of a block's text that name its content."""
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    order = np.lexsort((flat, owner))
+    key = np.zeros(len(order), [("t", np.int64), ("c", np.int64)])
+    key["t"], key["c"] = owner[order], flat[order]
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    at = match_lists(text, content, flat[order][head], np.searchsorted(owner[order][head], np.arange(len(offsets))))
+    blocks = np.flatnonzero(at >= 0)
+    first = head[at[blocks]] if len(head) else head
+    size = np.diff(np.append(head, len(order)))[at[blocks]] if len(head) else first
+    return np.repeat(blocks, size), order[spread(first, first + size)]
+
+
 def match_lists(text: np.ndarray, content: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Place in flat of each (text, content), or -1; flat holds the contents of text i at offsets[i]:offsets[i+1]."""
     out = np.full(len(text), -1, np.int64)
@@ -196,118 +187,25 @@ def match_lists(text: np.ndarray, content: np.ndarray, flat: np.ndarray, offsets
     return out
 
 
-class _Extend:
-    """Extension of open blocks, which come sorted by gram, doc, key, lo."""
-
-    def __init__(self, unit: Unit):
-        self.unit = unit
-        self.names = np.zeros(0, U64)  # windows seen of the gram at hand, sorted, and their first documents
-        self.docs = np.zeros(0, np.int64)
-        self.gram = None
-
-    def step(self, t: pa.Table) -> pa.RecordBatch:
-        u = self.unit
-        gram, doc, key, lo, place, content = (t.column(i).to_numpy() for i in range(6))
-        body = t.column(6).combine_chunks()
-        body = body if isinstance(body, pa.Array) else pa.concat_arrays(body.chunks)
-        offsets = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1].astype(np.int64)
-        raw = np.frombuffer(body.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-        units = raw if u.bytes_wide == 1 else raw.view(U64) if raw.ctypes.data % 8 == 0 else np.frombuffer(raw.tobytes(), U64)
-        start = (offsets - offsets[0]) // u.bytes_wide
-        first, end = start[:-1], start[1:] - u.length + 1
-        windows = spread(first, end)
-        of = np.repeat(np.arange(len(gram)), end - first)
-        lean = (windows - first[of] - place[of]).astype(np.int64).view(U64)
-        name = mix(u.name(units, windows, u.length) + gram[of].view(U64) * U64(0xC2B2AE3D27D4EB4F) + lean * U64(0xD6E8FEB86659FD93))
-        pos = lo[of] + (windows - first[of])
-        order = np.lexsort((pos, key[of], doc[of], name))
-        nm, dc, ky, ps = name[order], doc[of][order], key[of][order], pos[order]
-        head = np.ones(len(nm), bool)
-        head[1:] = nm[1:] != nm[:-1]
-        at = np.flatnonzero(head)
-        run = np.cumsum(head) - 1
-        first_doc = dc[at].copy()
-        if len(self.names):
-            j = np.searchsorted(self.names, nm[at])
-            j[j == len(self.names)] = 0
-            known = self.names[j] == nm[at]
-            first_doc[known] = np.minimum(first_doc[known], self.docs[j[known]])
-        again = dc > first_doc[run]
-        if u.same_text:
-            own = head.copy()
-            own[1:] |= (dc[1:] != dc[:-1]) | (ky[1:] != ky[:-1])
-            again |= ps > ps[np.flatnonzero(own)[np.cumsum(own) - 1]] if len(ps) else again
-        last = gram[-1]
-        mine = gram[of][order][at] == last
-        names, docs = nm[at][mine], first_doc[mine]
-        if self.gram == last and len(self.names):
-            names, j = np.unique(np.concatenate([self.names, names]), return_index=True)
-            docs = np.concatenate([self.docs, docs])[j]
-        self.gram, self.names, self.docs = last, names, docs
-        flag = np.zeros(len(of), bool)
-        flag[order] = again
-        counts = np.add.reduceat(flag, first_of(of)) if len(of) else np.zeros(0, int)
-        rows = np.flatnonzero(counts)
-        masks = [np.packbits(flag[a:b]).tobytes() for a, b in zip(np.searchsorted(of, rows), np.searchsorted(of, rows, "right"), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(content[rows]), pa.array(masks, pa.binary())], ["doc", "content", "mask"])
-
-
-def first_of(of: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-
-
-def _extension(unit: Unit):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, held, size = _Extend(unit), [], 0
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                size += batch.nbytes
-            if size < STEP_BYTES:
-                continue
-            t = pa.Table.from_batches(held).combine_chunks()
-            g, d = t.column(0).to_numpy(), t.column(1).to_numpy()
-            cut = int(np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])]))[-1])  # a document's blocks stay together
-            if cut:
-                yield state.step(t.slice(0, cut).combine_chunks())
-                held = t.slice(cut).combine_chunks().to_batches()
-                size = sum(b.nbytes for b in held)
-        if held:
-            yield state.step(pa.Table.from_batches(held).combine_chunks())
-
-    return run
-
-
 def _cover(unit: Unit):
-    """Rows (id, text, contents, masks) -> what is left of each text, and the removed runs."""
+    """Rows (id, text, whole blocks, blocks with windows, those windows) -> what is left of each text, and the removed runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, noff = _lists(batch.column(2))
-            masks, _ = _lists(batch.column(3))
-            names = names.to_numpy()
+            some, soff = _lists(batch.column(3))
+            names, some = names.to_numpy(), (some.field("content").to_numpy(), some.field("at").to_numpy().astype(np.int64))
             for lo, hi, data, offsets in pieces(batch.column(1)):
                 units, runs, before, words = unit.scan(data, offsets)
                 x = Blocks(runs, before, unit.length, unit.gram)
                 gone = np.zeros(int(before[-1]) + 1, np.int64)
                 if len(x.lo):
-                    head = _first_in_text(x)
-                    at = match_lists(x.text, signed(x.content), names[noff[lo] : noff[hi]], noff[lo : hi + 1] - noff[lo])
-                    a, b = [], []
-                    own = np.flatnonzero(head != np.arange(len(head))) if unit.same_text else np.zeros(0, int)
-                    whole = np.zeros(len(head), bool)
-                    whole[own] = True
-                    for i in np.flatnonzero((at >= 0) & ~whole):
-                        m = masks[int(noff[lo] + at[i])].as_py()
-                        if m is None:
-                            whole[i] = True
-                        else:
-                            hit = np.flatnonzero(np.unpackbits(np.frombuffer(m, np.uint8), count=int(x.hi[i] - x.lo[i] + 1))) + x.lo[i]
-                            a.append(hit)
-                            b.append(hit + unit.length)
-                    a.append(x.lo[whole])
-                    b.append(x.hi[whole] + unit.length)
-                    a, b = np.concatenate(a), np.concatenate(b)
+                    whole = match_lists(x.text, signed(x.content), names[noff[lo] : noff[hi]], noff[lo : hi + 1] - noff[lo]) >= 0
+                    if unit.same_text:
+                        whole |= _first_in_text(x) != np.arange(len(x.lo))
+                    part, at = all_matches(x.text, signed(x.content), some[0][soff[lo] : soff[hi]], soff[lo : hi + 1] - soff[lo])
+                    hit = x.lo[part] + some[1][soff[lo] + at]
+                    a, b = np.concatenate([x.lo[whole], hit]), np.concatenate([x.hi[whole], hit]) + unit.length
                     gone = np.bincount(a, minlength=len(gone)) - np.bincount(b, minlength=len(gone))
                 out = np.cumsum(gone)[:-1] > 0
                 edge = np.zeros(len(out) + 1, bool)
@@ -339,32 +237,29 @@ def _cover(unit: Unit):
     return run
 
 
-def remove_repeats(df: DataFrame, unit: Unit, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_units, n_removed, spans array<struct<start, end>>, kept binary), one row for each of df."""
+def remove_repeats(df: DataFrame, unit: Unit, repeated: Callable[[DataFrame, Scratch], DataFrame], id_col: str, text_col: str) -> DataFrame:
+    """(id, n_units, n_removed, spans array<struct<start, end>>, kept binary), one row for each of df.
+
+    repeated: (doc, text, row, open contents) -> (row, content, at) of the repeated windows of open blocks."""
     spark = df.sparkSession
     scratch = Scratch(spark, "repeats")
+    arrow_rows(spark, TEXT_ROWS)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    keyed = docs.select(F.coalesce("id", F.lit(LAST_ID)).alias("doc"), "text")
-    rows = keyed.mapInArrow(_anchor_rows(unit), "gram long, content long, doc long")
-    rows = rows.repartition("gram").sortWithinPartitions("gram", "content", "doc")
-    flags = rows.mapInArrow(_classes, "doc long, content long, open boolean")
-    per_doc = scratch.save(
-        flags.groupBy("doc").agg(
-            F.collect_list(F.when(~F.col("open"), F.col("content"))).alias("again"),
-            F.collect_list(F.when(F.col("open"), F.col("content"))).alias("opened"),
-        )
-    )
-    opened = per_doc.where(F.size("opened") > 0).select("doc", "opened")
-    inner = keyed.join(opened, "doc").select("doc", "text", "opened")
-    bodies = inner.mapInArrow(_open_rows(unit), "gram long, doc long, key long, lo long, place int, content long, body binary")
-    bodies = bodies.repartition("gram").sortWithinPartitions("gram", "doc", "key", "lo")
-    masks = bodies.mapInArrow(_extension(unit), "doc long, content long, mask binary")
-    masks = scratch.save(masks.groupBy("doc").agg(F.collect_list(F.struct("content", "mask")).alias("masks")))
-    both = per_doc.select("doc", "again").join(masks, "doc", "full").select(
-        "doc",
-        F.concat(F.coalesce("again", F.array().cast("array<long>")), F.coalesce(F.col("masks.content"), F.array().cast("array<long>"))).alias("contents"),
-        F.concat(F.transform(F.coalesce("again", F.array().cast("array<long>")), lambda _: F.lit(None).cast("binary")), F.coalesce(F.col("masks.mask"), F.array().cast("array<binary>"))).alias("marks"),
-    ).where(F.size("contents") > 0)
-    both = scratch.save(both)
-    found = docs.withColumn("doc", F.coalesce("id", F.lit(LAST_ID))).join(both, "doc", "left")
-    return found.select("id", "text", "contents", "marks").mapInArrow(_cover(unit), "id long, n_units long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
+    docs = docs.withColumn("row", F.xxhash64(F.col("id").isNull(), "id", "text")).withColumn("doc", ordered(docs))
+    keyed = docs.select("doc", "text", "row")
+    rows = keyed.mapInArrow(_anchor_rows(unit), "gram long, content long, doc long, row long")
+    shared = rows.groupBy("gram").agg(F.min("content").alias("lo"), F.max("content").alias("hi"), F.min("doc").alias("a"), F.max("doc").alias("z"))
+    shared = shared.where("lo < hi or a < z" if unit.same_text else "a < z")
+    shared = scratch.save(shared.select("gram", (F.col("lo") < F.col("hi")).alias("several")))
+    met = scratch.save(rows.join(shared.hint("merge"), "gram"))
+    firsts = met.groupBy("gram", "content").agg(F.min("doc").alias("first"))
+    met = met.join(firsts.hint("merge"), ["gram", "content"])
+    again = F.col("doc") > F.col("first")
+    per_row = met.groupBy("row").agg(F.collect_set(F.when(again, F.col("content"))).alias("again"), F.collect_set(F.when(~again & F.col("several"), F.col("content"))).alias("opened"))
+    per_row = scratch.save(per_row.where("size(again) > 0 or size(opened) > 0"))
+    opened = per_row.where("size(opened) > 0").select("row", "opened")
+    windows = repeated(keyed.join(opened.hint("merge"), "row").select("doc", "text", "row", "opened"), scratch)
+    windows = windows.groupBy("row").agg(F.collect_set(F.struct("content", "at")).alias("windows"))
+    both = scratch.save(per_row.select("row", "again").join(windows, "row", "left").where("size(again) > 0 or windows is not null"))
+    found = docs.join(both.hint("merge"), "row", "left")
+    return found.select("id", "text", "again", "windows").mapInArrow(_cover(unit), "id long, n_units long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")

@@ -29,6 +29,13 @@ def arrow_rows(spark: SparkSession, rows: int) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def drawn(key: Column, wanted: int, n: int, seed: int) -> Column:
+    """Whether a key is among about ``wanted`` of ``n``: by all 64 bits of its hash, so any share can be drawn."""
+    if n <= wanted:
+        return F.lit(True)
+    return F.xxhash64(key.cast("string"), F.lit(seed)) < F.lit((wanted << 64) // n - (1 << 63))
+
+
 #: Rows of a few numbers each that make a file worth its task.
 FILE_ROWS = 100_000
 

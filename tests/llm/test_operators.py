@@ -69,9 +69,8 @@ def test_jaccard(docs, corpus):
     assert out == brute.jaccard(corpus)
 
 
-@pytest.mark.parametrize("all_pairs", [0, 256])
-def test_jaccard_by_rounds(docs, corpus, monkeypatch, all_pairs):
-    monkeypatch.setattr(op1_jaccard, "ALL_PAIRS_X", all_pairs)
+def test_jaccard_by_rounds(docs, corpus, monkeypatch):
+    monkeypatch.setattr(op1_jaccard, "ROUND_X", 0)
     assert got(op1_jaccard.similar_components(docs), "id", "n_shingles", "component_id") == brute.jaccard(corpus)
 
 
