@@ -187,7 +187,7 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select("text").mapInArrow(_first_block(size, FIRST_BLOCK), "g long, c long, many boolean").repartition("g")
     single = rows.groupBy("g").agg(F.min("c").alias("c"), F.max("c").alias("d"), F.max("many").alias("many")).where("c = d and not many")
     own = single.groupBy("c").agg(F.count("*").alias("own"))
-    left = classes.join(own, "c", "left").where(F.coalesce("own", F.lit(0)) <= _allowed(F.col("n"))).select("c", "row")
+    left = classes.join(own.hint("merge"), "c", "left").where(F.coalesce("own", F.lit(0)) <= _allowed(F.col("n"))).select("c", "row")
     left = scratch.save(left)
 
     # block 2: whole sets of those left, the n-grams that no other of them has
@@ -213,7 +213,7 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = _bucket_links(common, scratch)
     label = scratch.save(components(links, scratch))
     scratch.drop(common)
-    named = classes.select("c", "least").join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    named = classes.select("c", "least").join(label.withColumnRenamed("node", "c").hint("merge"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = scratch.save(named.join(least, "label").select("c", "component_id"))
     scratch.drop(classes)
@@ -232,12 +232,13 @@ def multiplied(pairs: DataFrame, common: DataFrame) -> DataFrame:
     met = pairs.select("c", "u", F.lit(0).cast("long").alias("count"))
     centres = common.join(pairs.select(F.col("u").alias("c")).distinct(), "c", "left_semi")
     for b in range(BLOCKS):
+        # the sides of these joins grow with the input, so they are shuffled at every size
         mine = common.select("c", "n", after[b].alias("rest"), f"block_{b}")
-        cells = met.join(mine, "c").select("c", "u", "count", "n", "rest", F.explode_outer(f"block_{b}").alias("g"))
+        cells = met.join(mine.hint("merge"), "c").select("c", "u", "count", "n", "rest", F.explode_outer(f"block_{b}").alias("g"))
         theirs = centres.select(F.col("c").alias("u"), F.explode(f"block_{b}").alias("g"), F.lit(1).alias("one"))
-        summed = cells.join(theirs, ["u", "g"], "left").groupBy("c", "u", "count", "n", "rest").agg((F.col("count") + F.count("one")).alias("upto"))
+        summed = cells.join(theirs.hint("merge"), ["u", "g"], "left").groupBy("c", "u", "count", "n", "rest").agg((F.col("count") + F.count("one")).alias("upto"))
         other = centres.select(F.col("c").alias("u"), F.col("n").alias("un"), after[b].alias("urest"))
-        met = summed.join(other, "u").where("9 * (upto + least(rest, urest)) >= 4 * (n + un)").select("c", "u", F.col("upto").alias("count"))
+        met = summed.join(other.hint("merge"), "u").where("9 * (upto + least(rest, urest)) >= 4 * (n + un)").select("c", "u", F.col("upto").alias("count"))
     return met.select(F.col("c").alias("u"), F.col("u").alias("v"))
 
 
@@ -247,7 +248,7 @@ def _bucket_links(common: DataFrame, scratch: Scratch) -> DataFrame:
     links = spark.createDataFrame([], "u long, v long")
     members = common.select("c", "n", "own", F.posexplode("prefix").alias("at", "g")).withColumn("left", F.col("n") - F.col("own") - F.col("at"))
     several = members.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
-    open_ = scratch.save(members.join(several, "g").select("g", "c", "n", "own", "left", F.col("c").alias("label")))
+    open_ = scratch.save(members.join(several.hint("merge"), "g").select("g", "c", "n", "own", "left", F.col("c").alias("label")))
     cells = open_.count()
     # inside a component nothing is open; and if this is the first n-gram that a pair shares, it
     # shares no more than what either side has from here on, which must reach the bound
@@ -257,7 +258,7 @@ def _bucket_links(common: DataFrame, scratch: Scratch) -> DataFrame:
         if not upto:
             best = open_.groupBy("g").agg(F.min(F.struct("own", "c", "n", "label", "left")).alias("m"))
             turn = best.select("g", F.col("m.c").alias("u"), F.col("m.n").alias("un"), F.col("m.label").alias("ul"), F.col("m.left").alias("uleft"))
-            pairs = open_.join(turn, "g").where("c != u").where(can_link)
+            pairs = open_.join(turn.hint("merge"), "g").where("c != u").where(can_link)
             upto, over = 1, None
         else:
             # sets outside the largest component of a bucket, in a fixed order that a hash gives
@@ -267,11 +268,11 @@ def _bucket_links(common: DataFrame, scratch: Scratch) -> DataFrame:
             upto *= 8
             all_ = work <= ROUND_X * cells
             place = F.pmod(F.xxhash64("c", "g"), F.lit(1 << 30)) / float(1 << 30) * (F.col("k") - F.col("most"))
-            marked = open_.join(groups, "g").withColumn("turn", (F.col("label") != F.col("top")) & (F.lit(all_) | (place < upto)))
+            marked = open_.join(groups.hint("merge"), "g").withColumn("turn", (F.col("label") != F.col("top")) & (F.lit(all_) | (place < upto)))
             marked = scratch.save(marked.select("g", "c", "n", "own", "left", "label", "turn"), cells)
             turn = marked.where("turn").select("g", F.col("c").alias("u"), F.col("n").alias("un"), F.col("label").alias("ul"), F.col("left").alias("uleft"))
             # those that have their turn meet all, each other once
-            pairs = marked.join(turn, "g").where((~F.col("turn") | (F.col("c") < F.col("u")))).where(can_link)
+            pairs = marked.join(turn.hint("merge"), "g").where((~F.col("turn") | (F.col("c") < F.col("u")))).where(can_link)
             scratch.drop(open_)
             open_, over = marked.drop("turn"), marked
         pairs = scratch.save(pairs.select("c", "u").distinct(), cells)
@@ -281,10 +282,10 @@ def _bucket_links(common: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(found)
         label = scratch.save(components(links, scratch), cells)
         rest = open_ if over is None else over.where("not turn").drop("turn")
-        rest = rest.drop("label").join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+        rest = rest.drop("label").join(label.withColumnRenamed("node", "c").hint("merge"), "c", "left").withColumn("label", F.coalesce("label", "c"))
         rest = scratch.save(rest.select("g", "c", "n", "own", "left", "label"), cells)
         apart = rest.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("g")
-        kept = scratch.save(rest.join(apart, "g").select("g", "c", "n", "own", "left", "label"), cells)
+        kept = scratch.save(rest.join(apart.hint("merge"), "g").select("g", "c", "n", "own", "left", "label"), cells)
         for t in (rest, label, over or open_):
             scratch.drop(t)
         open_ = kept
