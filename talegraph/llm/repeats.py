@@ -37,12 +37,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Blocks
-from .bytescan import RunHash, Words, byte_runs, pieces, signed, value_runs
+from .bytescan import U64, RunHash, Words, byte_runs, pieces, signed, text_buffers, value_runs
 from .scratch import TEXT_ROWS, Scratch, arrow_rows
 
 LAST_ID = (1 << 63) - 1
-#: Rows of windows that leave a task in one batch.
-WINDOW_ROWS = 200_000
+#: Open blocks that leave a task in one batch.
+BODY_ROWS = 4_000
 
 
 @dataclass(frozen=True)
@@ -105,14 +105,13 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.concatenate([[0], np.cumsum(lengths)])
 
 
-WINDOWS = "name long, gram long, doc long, row long, content long, at int, place long"
+BODIES = "gram long, doc long, row long, content long, place long, anchor int, body binary"
 
 
-def open_windows(unit: Unit, length: int):
-    """Rows (doc, text, row, open contents) -> WINDOWS: runs of ``length`` units of the open blocks.
+def open_bodies(unit: Unit):
+    """Rows (doc, text, row, open contents) -> BODIES: the units of the open blocks.
 
-    at: where a run starts in its block; place: in its text.  Runs up to the end of the last
-    whole window of a block are given, so for shorter runs some start after the last window."""
+    place: where the block starts in its text; anchor: where its anchor starts in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,30 +119,32 @@ def open_windows(unit: Unit, length: int):
             wanted, woff = _lists(batch.column(3))
             wanted = wanted.to_numpy()
             for lo, hi, data, offsets in pieces(batch.column(1)):
-                _, runs, before, _ = unit.scan(data, offsets)
+                units, runs, before, _ = unit.scan(data, offsets)
                 x = Blocks(runs, before, unit.length, unit.gram)
                 if not len(x.lo):
                     continue
                 at = match_lists(x.text, signed(x.content), wanted[woff[lo] : woff[hi]], woff[lo : hi + 1] - woff[lo])
-                pick = np.flatnonzero((at >= 0) & (_first_in_text(x) == np.arange(len(x.lo))))
-                a, b = x.lo[pick], x.hi[pick] + unit.length - length + 1
-                step = max(1, WINDOW_ROWS // unit.length)
-                for i in range(0, len(pick), step):
-                    some, first, end = pick[i : i + step], a[i : i + step], b[i : i + step]
-                    start = spread(first, end)
-                    of = np.repeat(some, end - first)
-                    text = x.text[of]
+                every = np.flatnonzero((at >= 0) & (_first_in_text(x) == np.arange(len(x.lo))))
+                for i in range(0, len(every), BODY_ROWS):
+                    pick = every[i : i + BODY_ROWS]
+                    text, a, b = x.text[pick], x.lo[pick], x.hi[pick] + unit.length
+                    sizes = np.concatenate([[0], np.cumsum((b - a) * unit.bytes_wide)]).astype(np.int32)
+                    body = pa.Array.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer(sizes), pa.py_buffer(np.ascontiguousarray(units[spread(a, b)]).view(np.uint8))])
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(signed(runs.of(start, start + length))), pa.array(signed(x.gram[of])), pa.array(docs[lo:hi][text]), pa.array(rows[lo:hi][text]),
-                            pa.array(signed(x.content[of])), pa.array((start - x.lo[of]).astype(np.int32)), pa.array((start - before[text]).astype(np.int64)),
-                        ],
-                        ["name", "gram", "doc", "row", "content", "at", "place"],
+                        [pa.array(signed(x.gram[pick])), pa.array(docs[lo:hi][text]), pa.array(rows[lo:hi][text]), pa.array(signed(x.content[pick])), pa.array((a - before[text]).astype(np.int64)), pa.array((x.anchor[pick] - a).astype(np.int32)), body],
+                        ["gram", "doc", "row", "content", "place", "anchor", "body"],
                     )
 
     return run
 
 
+def bodies_of(unit: Unit, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Units of all bodies, and where each begins."""
+    data, offsets = text_buffers(column)
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    return (data if unit.bytes_wide == 1 else np.frombuffer(data.tobytes(), U64)), offsets // unit.bytes_wide
+
+
 def spread(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The integers of all ranges [a, b), one range after another."""
     n = b - a
@@ -194,7 +195,7 @@ def _cover(unit: Unit):
         for batch in batches:
             names, noff = _lists(batch.column(2))
             some, soff = _lists(batch.column(3))
-            names, some = names.to_numpy(), (some.field("content").to_numpy(), some.field("at").to_numpy().astype(np.int64))
+            names, some = names.to_numpy(), [some.field(c).to_numpy().astype(np.int64) for c in ("content", "at", "n")]
             for lo, hi, data, offsets in pieces(batch.column(1)):
                 units, runs, before, words = unit.scan(data, offsets)
                 x = Blocks(runs, before, unit.length, unit.gram)
@@ -204,8 +205,9 @@ def _cover(unit: Unit):
                     if unit.same_text:
                         whole |= _first_in_text(x) != np.arange(len(x.lo))
                     part, at = all_matches(x.text, signed(x.content), some[0][soff[lo] : soff[hi]], soff[lo : hi + 1] - soff[lo])
-                    hit = x.lo[part] + some[1][soff[lo] + at]
-                    a, b = np.concatenate([x.lo[whole], hit]), np.concatenate([x.hi[whole], hit]) + unit.length
+                    at = soff[lo] + at
+                    hit = x.lo[part] + some[1][at]
+                    a, b = np.concatenate([x.lo[whole], hit]), np.concatenate([x.hi[whole], hit + some[2][at] - 1]) + unit.length
                     gone = np.bincount(a, minlength=len(gone)) - np.bincount(b, minlength=len(gone))
                 out = np.cumsum(gone)[:-1] > 0
                 edge = np.zeros(len(out) + 1, bool)
@@ -240,7 +242,7 @@ def _cover(unit: Unit):
 def remove_repeats(df: DataFrame, unit: Unit, repeated: Callable[[DataFrame, Scratch], DataFrame], id_col: str, text_col: str) -> DataFrame:
     """(id, n_units, n_removed, spans array<struct<start, end>>, kept binary), one row for each of df.
 
-    repeated: (doc, text, row, open contents) -> (row, content, at) of the repeated windows of open blocks."""
+    repeated: (doc, text, row, open contents) -> (row, content, at, n), n repeated windows of open blocks from at on."""
     spark = df.sparkSession
     scratch = Scratch(spark, "repeats")
     arrow_rows(spark, TEXT_ROWS)
@@ -259,7 +261,7 @@ def remove_repeats(df: DataFrame, unit: Unit, repeated: Callable[[DataFrame, Scr
     per_row = scratch.save(per_row.where("size(again) > 0 or size(opened) > 0"))
     opened = per_row.where("size(opened) > 0").select("row", "opened")
     windows = repeated(keyed.join(opened.hint("merge"), "row").select("doc", "text", "row", "opened"), scratch)
-    windows = windows.groupBy("row").agg(F.collect_set(F.struct("content", "at")).alias("windows"))
+    windows = windows.groupBy("row").agg(F.collect_set(F.struct("content", "at", "n")).alias("windows"))
     both = scratch.save(per_row.select("row", "again").join(windows, "row", "left").where("size(again) > 0 or windows is not null"))
     found = docs.join(both.hint("merge"), "row", "left")
     return found.select("id", "text", "again", "windows").mapInArrow(_cover(unit), "id long, n_units long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
