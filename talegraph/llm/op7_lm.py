@@ -5,41 +5,47 @@ Method, each step over all training documents:
 1. Count every token, with the shape of its word (length, digits, marks, script).
 2. Bigrams between the ``CORE`` most frequent words, with all others as their shapes.  On
    these bounded counts exchange clustering moves one core word at a time to the class that
-   gains most mutual information, until a sweep moves none.
-3. Counts of the classes to the left and right of each of the ``NAMED`` most frequent words;
-   each goes to the class that explains its neighbours best.  Rarer and unseen words keep
-   the class of their shape.
+   gains most mutual information, until a sweep moves none.  This seeds the classes.
+3. Exchange over the whole vocabulary of words seen ``MIN_COUNT`` times or more, which grows
+   with the corpus: in a sweep Spark counts, for each word, the classes before and after it
+   (combined in each task, dealt by word), every word moves to the class that explains its
+   neighbours best, and the new class table goes to the tasks.  ``SWEEPS_ALL`` sweeps.
+   Rarer and unseen words keep the class of their shape.
 4. Class bigrams of the whole corpus under the final classes.
 
 The score of a text is the sum over its tokens of log10 P(class | class before) +
 log10 P(token | class), smoothed so that both are proper distributions, with one kind for all
 unseen words of a shape.  A text begins after an end.
 
-Tables of fixed size (NAMED words, class bigrams) reach the tasks by broadcast.  The counts of
-all other words, however many, stay in Spark: tokens outside the ``HEAD`` most frequent are
-joined to them, one row for each document and word.
+Tables of words reach the tasks by broadcast and hold ``HEAD`` words at most, some 100 MB; past
+that the least count rises, with ties drawn by hash.  The counts of all other words, however
+many, stay in Spark: their tokens are joined to them, one row for each document and word.
 
 Results for odd input: a null text is empty and consists of its end; a null id is trained
 on and not held out; repeated rows count as often as they occur in training and are scored
-alike; an empty table gives an empty result; other columns are ignored.
+alike; if all rows are held out, every token is unseen; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import U64, Words, mix, signed, value_runs, words_of
 from .scratch import COMBINED_ROWS, Scratch, arrow_rows
 
 CORE, CLASSES = 512, 48
-NAMED = 1 << 14
-HEAD = 1 << 18
-SWEEPS = 6
+MIN_COUNT = 16
+HEAD = 1 << 22
+SWEEPS, SWEEPS_ALL = 6, 2
+#: Cells of (word, class) that a task holds before it passes them on, and words in a part of them.
+HELD_CELLS, PART_WORDS = 1 << 22, 1 << 13
 SHAPES = 48
 END = signed(mix(np.array([0x51ED270B, 1], U64)))[0]
 SMOOTH = 50.0
@@ -103,34 +109,88 @@ class Table:
         return np.where(self.h[at] == h, self.value[at], default)
 
 
-def _cells(shared, left_units: int, rows_only: bool):
-    """Counts of neighbours.  rows_only false: (unit, next unit).  Else for NAMED words:
-    (word, class before) and (word, class after), as word * 2 * units + side * units + class."""
+def _prior(unit: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The unit before each token; a text begins after an end."""
+    out = np.concatenate([[0], unit[:-1]])
+    out[before[:-1]] = 0
+    return out
+
+
+def _bigrams(shared, size: int):
+    """Counts of (unit, next unit), as unit * size + next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, words = shared.value
-        n_rows = len(words.h) * 2 if rows_only else left_units
-        total = np.zeros(n_rows * left_units, np.int64)
+        units, total = shared.value, np.zeros(size * size, np.int64)
         for batch in batches:
             for _, _, w in words_of(batch.column(0), True):
                 tokens, kind, before = with_ends(w)
                 unit = units.of(tokens, kind + 1)
-                start = np.zeros(len(tokens), bool)
-                start[before[:-1]] = True
-                prior = np.concatenate([[0], unit[:-1]])
-                prior[start] = 0  # a text begins after an end
-                if rows_only:
-                    word = words.of(tokens, np.full(len(tokens), -1))
-                    ok = word >= 0
-                    total += np.bincount(word[ok] * 2 * left_units + prior[ok], minlength=len(total))
-                    ok = (word >= 0) & (tokens != END)
-                    after = np.concatenate([unit[1:], [0]])
-                    total += np.bincount(word[ok] * 2 * left_units + left_units + after[ok], minlength=len(total))
-                else:
-                    total += np.bincount(prior * left_units + unit, minlength=len(total))
+                total += np.bincount(_prior(unit, before) * size + unit, minlength=len(total))
         at = np.flatnonzero(total)
-        for a in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[a : a + 100_000]), pa.array(total[at[a : a + 100_000]])], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+    return run
+
+
+def _neighbours(shared, size: int, parts: int):
+    """Counts of the classes before and after each word of the table, dealt over parts by word.
+
+    A row holds the cells of one part: word // parts * 2 * size + side * size + class, in order,
+    as differences, and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, words = shared.value
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(key, kind="stable")
+            key, n = key[order], n[order]
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            key, n = key[at], np.add.reduceat(n, at) if len(at) else n
+            held.clear()
+            word, rest = np.divmod(key, 2 * size)
+            part, cell = word % parts, word // parts * 2 * size + rest
+            order = np.lexsort((cell, part))
+            part, cell, n = part[order], cell[order], n[order]
+            edge = np.searchsorted(part, np.arange(parts + 1))
+            for i in range(parts):
+                c, k = cell[edge[i] : edge[i + 1]], n[edge[i] : edge[i + 1]]
+                if len(c):
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.diff(c, prepend=0).astype(np.int32).tobytes()], pa.binary()), pa.array([k.astype(np.int32).tobytes()], pa.binary())], ["part", "cells", "counts"])
+
+        for batch in batches:
+            for _, _, w in words_of(batch.column(0), True):
+                tokens, kind, before = with_ends(w)
+                unit, word = units.of(tokens, kind + 1), words.of(tokens, np.full(len(tokens), -1))
+                after = np.concatenate([unit[1:], [0]])
+                ok = (word >= 0) & (tokens != END)
+                key = word[ok] * 2 * size
+                held.append(np.unique(np.concatenate([key + _prior(unit, before)[ok], key + size + after[ok]]), return_counts=True))
+                if sum(len(k) for k, _ in held) > HELD_CELLS:
+                    yield from flush()
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _best_classes(shared, size: int, parts: int, words: int):
+    """All rows of some parts -> for each of their words the class that explains its neighbours best."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, after = shared.value  # log P(class before | named class), log P(class after | named class)
+        around: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, cells, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part not in around:
+                    around[part] = np.zeros((-(-(words - part) // parts), 2 * size), np.float32)
+                cell = np.cumsum(np.frombuffer(cells, np.int32), dtype=np.int64)
+                around[part].reshape(-1)[cell] += np.frombuffer(counts, np.int32)
+        for part, x in around.items():
+            best = np.argmax(x[:, :size] @ before.T + x[:, size:] @ after.T, axis=1)
+            some = np.flatnonzero(x.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array((some * parts + part).astype(np.int64)), pa.array(best[some].astype(np.int32))], ["word", "class"])
 
     return run
 
@@ -186,130 +246,165 @@ def exchange(counts: np.ndarray, movable: np.ndarray, first: np.ndarray, classes
     return label
 
 
+@dataclass
+class Model:
+    """What is learned.  Classes: 0 the end, then the shapes, then the named ones."""
+
+    classes: Table  # of words in the head
+    step: np.ndarray  # log10 P(class | class before)
+    heads: np.ndarray  # words in the head, in order, the end among them
+    seen: np.ndarray  # whether they occur in training
+    base: np.ndarray  # their base scores
+    emit: np.ndarray  # log10 P(word | class)
+    below: np.ndarray  # by shape: what counts + 0.5 of all other words are divided by
+    base_below: float
+    tokens: int  # in training
+
+
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, heads, head_base, head_emit, step = shared.value
+        m = shared.value
         for batch in batches:
             ids = batch.column(0)
             marks = ids.to_numpy(zero_copy_only=False) if not ids.null_count else np.array([-1 if x is None else x for x in ids.to_pylist()], np.int64)
             for lo, hi, w in words_of(batch.column(1), True):
                 tokens, kind, before = with_ends(w)
-                unit = units.of(tokens, kind + 1)
-                prior = np.concatenate([[0], unit[:-1]])
-                prior[before[:-1]] = 0
-                at = np.searchsorted(heads, tokens)
-                at[at == len(heads)] = 0
-                known = heads[at] == tokens if len(heads) else np.zeros(len(tokens), bool)
-                text = np.repeat(np.arange(hi - lo), np.diff(before))
+                unit = m.classes.of(tokens, kind + 1)
+                at = np.searchsorted(m.heads, tokens)
+                at[at == len(m.heads)] = 0
+                known = m.heads[at] == tokens
                 n = hi - lo
-                base = np.bincount(text[known], head_base[at[known]], n)
-                score = np.bincount(text, step[prior, unit], n) + np.bincount(text[known], head_emit[at[known]], n)
+                text = np.repeat(np.arange(n), np.diff(before))
+                base = np.bincount(text[known], m.base[at[known]], n).astype(np.float64)
+                score = np.bincount(text, m.step[_prior(unit, before), unit], n) + np.bincount(text[known], m.emit[at[known]], n)
+                seen = np.bincount(text[known], m.seen[at[known]], n).astype(np.int64)
                 runs = value_runs(tokens.view(U64))
                 name = signed(mix(runs.of(before[:-1], before[1:]) + mix(marks[lo:hi].astype(np.int64).view(U64) + U64(1))))
                 rare = np.flatnonzero(~known)
                 # rare words once for each text, and a row that says how often the text was seen
                 pair = np.stack([text[rare], tokens[rare], kind[rare]])
                 pair, times = np.unique(pair, axis=1, return_counts=True) if len(rare) else (np.zeros((3, 0), np.int64), np.zeros(0, np.int64))
-                word_lists = np.searchsorted(pair[0], np.arange(n + 1))
-                off = pa.array(word_lists.astype(np.int32))
+                off = pa.array(np.searchsorted(pair[0], np.arange(n + 1)).astype(np.int32))
                 lists = pa.ListArray.from_arrays(off, pa.StructArray.from_arrays([pa.array(pair[1]), pa.array(pair[2].astype(np.int32)), pa.array(times.astype(np.int64))], ["h", "shape", "n"]))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, n), pa.array(name), pa.array(np.diff(before)), pa.array(np.bincount(text[known], minlength=n)), pa.array(base), pa.array(score), lists], ["id", "name", "n_tokens", "head_known", "head_base", "head_score", "rare"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, n), pa.array(name), pa.array(np.diff(before)), pa.array(seen), pa.array(base), pa.array(score.astype(np.float64)), lists], ["id", "name", "n_tokens", "head_known", "head_base", "head_score", "rare"])
 
     return run
 
 
-def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity), one row for each of df."""
-    spark = df.sparkSession
-    arrow_rows(spark, COMBINED_ROWS)
-    sc = spark.sparkContext
-    scratch = Scratch(spark, "lm")
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    held = F.coalesce(F.crc32(F.col("id").cast("string")) % 5, F.lit(0)) == 1
-    train = docs.where(~held).select("text")
-    counts = scratch.save(train.mapInArrow(_count, "h long, shape int, n long").groupBy("h").agg(F.first("shape").alias("shape"), F.sum("n").alias("n")))
-    total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # the most frequent words, HEAD at most, by a threshold on their count found from some hundred
-    # ranges of counts, so no words are sorted in Spark
+def head_words(counts: DataFrame, min_count: int, most: int) -> DataFrame:
+    """The end and the words seen ``min_count`` times or more, or the most frequent of them if those are over ``most``.
+
+    Found from some hundred ranges of counts, so no words are sorted."""
     band = F.floor(F.log2("n") * 16).cast("int")
-    bands = sorted(((r[0], r[1]) for r in counts.groupBy(band.alias("b")).agg(F.count("*")).collect()), reverse=True)
-    least, held_words = 1 << 30, 0
-    for b, words_in in bands:
-        held_words += words_in
-        if held_words > HEAD:
+    frequent = counts.where(F.col("n") >= min_count)
+    bands = sorted(((r[0], r[1]) for r in frequent.groupBy(band.alias("b")).agg(F.count("*")).collect()), reverse=True)
+    taken, chosen = 0, F.lit(True)
+    for b, n in bands:
+        if taken + n > most:  # of the words of this range, those whose hash is low
+            cut = F.col("h") < F.lit(((most - taken) << 64) // n - (1 << 63))
+            chosen = (band > b) | ((band == b) & cut)
             break
-        least = b
-    head = counts.where(band >= least).toArrow()
-    h, n, shape = head["h"].to_numpy(), head["n"].to_numpy().astype(np.float64), head["shape"].to_numpy().astype(np.int64)
+        taken += n
+    return counts.where(((F.col("n") >= min_count) & chosen) | (F.col("h") == F.lit(int(END))))
+
+
+def train_model(train: DataFrame, counts: DataFrame, min_count: int = MIN_COUNT, sweeps: int = SWEEPS_ALL, head: int = HEAD) -> Model:
+    """train: text.  counts: (h, shape, n) of its tokens, a saved table."""
+    spark = train.sparkSession
+    sc = spark.sparkContext
+    total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    rows = head_words(counts, min_count, head).toArrow()
+    h, n, shape = rows["h"].to_numpy(), rows["n"].to_numpy().astype(np.float64), rows["shape"].to_numpy().astype(np.int64)
+    if END not in h:
+        h, n, shape = np.append(h, END), np.append(n, 0.0), np.append(shape, -1)
     order = np.lexsort((h, -n))
     h, n, shape = h[order], n[order], shape[order]
     words = np.flatnonzero(h != END)
 
-    # units: 0 the end, then the shapes, then core words
-    core = words[:CORE]
-    units = SHAPES + 1 + len(core)
-    table = Table(np.append(h[core], END), np.append(np.arange(len(core)) + SHAPES + 1, 0))
-    none = Table(np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    def collect(known: Table, named: Table, size: int, rows: int) -> np.ndarray:
-        cells = train.mapInArrow(_cells(sc.broadcast((known, named)), size, len(named.h) > 0), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-        out = np.zeros(rows * size)
+    def table(which: np.ndarray, classes: np.ndarray) -> Table:
+        return Table(np.append(h[which], END), np.append(classes, 0))
+
+    def bigrams(classes: Table, size: int) -> np.ndarray:
+        cells = train.mapInArrow(_bigrams(sc.broadcast(classes), size), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros(size * size)
         out[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-        return out.reshape(rows, size)
+        return out.reshape(size, size)
 
-    grid = collect(table, none, units, units)
-    fixed = SHAPES + 1
+    # units: 0 the end, then the shapes, then core words
+    fixed, core = SHAPES + 1, words[:CORE]
+    grid = bigrams(table(core, np.arange(len(core)) + fixed), fixed + len(core))
     first = np.concatenate([np.arange(fixed) + CLASSES, np.arange(len(core)) % CLASSES])
     label = exchange(grid, np.arange(len(core)) + fixed, first, CLASSES)
     # classes from here on: 0 the end, 1..SHAPES the shapes, then the named classes
-    group = np.concatenate([np.arange(fixed), label[fixed:] + fixed])
     size = fixed + CLASSES
-    table = Table(np.append(h[core], END), np.append(group[fixed:], 0))
-
-    # every frequent word to the class that explains its neighbours best
-    named = words[:NAMED]
-    around = collect(table, Table(h[named], np.arange(len(named))), size, len(named) * 2) if len(named) else np.zeros((0, size))
-    onto = np.zeros((units, size))
-    onto[np.arange(units), group] = 1
-    by_class = onto.T @ grid @ onto
-    after = np.log((by_class[fixed:] + 0.5) / (by_class[fixed:].sum(1, keepdims=True) + 0.5 * size))
-    prior = np.log((by_class[:, fixed:].T + 0.5) / (by_class.sum(1) + 0.5 * size))
-    fit = around[0::2] @ prior.T + around[1::2] @ after.T
-    chosen = fixed + np.argmax(fit, axis=1) if len(named) else np.zeros(0, np.int64)
-    chosen[: len(core)] = group[fixed:]
-    table = Table(np.append(h[named], END), np.append(chosen, 0))
-    steps = collect(table, none, size, size)
+    onto = np.zeros((len(first), size))
+    onto[np.arange(len(first)), np.concatenate([np.arange(fixed), label[fixed:] + fixed])] = 1
+    steps = onto.T @ grid @ onto
+    classes = table(core, label[fixed:] + fixed)
+    chosen = shape[words] + 1
+    chosen[: len(core)] = label[fixed:] + fixed
+    number = Table(h[words], np.arange(len(words)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-len(words) // PART_WORDS))
+    for sweep in range(sweeps if len(words) else 0):
+        if sweep:
+            steps = bigrams(classes, size)
+        after = np.log((steps[fixed:] + 0.5) / (steps[fixed:].sum(1, keepdims=True) + 0.5 * size))
+        before = np.log((steps[:, fixed:].T + 0.5) / (steps.sum(1) + 0.5 * size))
+        cells = train.mapInArrow(_neighbours(sc.broadcast((classes, number)), size, parts), "part int, cells binary, counts binary")
+        fits = sc.broadcast((before.astype(np.float32), after.astype(np.float32)))
+        moved = cells.repartition(parts, "part").mapInArrow(_best_classes(fits, size, parts, len(words)), "word long, class int").toArrow()
+        chosen[moved["word"].to_numpy()] = moved["class"].to_numpy() + fixed
+        classes = table(words, chosen)
+    steps = bigrams(classes, size)
 
     # P(class | class before), backed by how often a class follows any
     follow = (steps.sum(0) + 0.5) / (steps.sum() + 0.5 * size)
     step = np.log10((steps + SMOOTH * follow) / (steps.sum(1, keepdims=True) + SMOOTH))
     # P(token | class): named classes by their members, shapes by the rest and one unseen kind
-    of = table.of(h, shape + 1)
-    members = np.bincount(of[named], n[named], size) if len(named) else np.zeros(size)
-    members[0] = max(1.0, float(n[h == END].sum()))
+    of = classes.of(h, shape + 1)
+    members = np.bincount(of[words], n[words], size).astype(np.float64)
     rest = counts.where(F.col("shape") >= 0).groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toPandas()  # SHAPES rows
     mass, types = np.zeros(size), np.zeros(size)
     mass[rest["shape"].to_numpy(np.int64) + 1] = rest["n"].to_numpy(np.float64)
     types[rest["shape"].to_numpy(np.int64) + 1] = rest["kinds"].to_numpy(np.float64)
-    mass -= np.bincount(shape[named] + 1, n[named], size) if len(named) else 0
-    types -= np.bincount(shape[named] + 1, minlength=size) if len(named) else 0
+    mass -= np.bincount(shape[words] + 1, n[words], size)
+    types -= np.bincount(shape[words] + 1, minlength=size)
     below = mass + 0.5 * (types + 1)
-    is_named = np.isin(h, h[named]) | (h == END)
-    emit = np.where(is_named, np.log10(n / np.maximum(members[of], 1e-9)), np.log10((n + 0.5) / below[of]))
+    emit = np.log10(np.maximum(n, 0.5) / np.maximum(members[of], 0.5))
     emit[h == END] = 0.0
     base_all = total + 0.5 * (kinds + 1)
-    base = np.log10((n + 0.5) / base_all)
     order = np.argsort(h)
-    shared = sc.broadcast((table, h[order], base[order], emit[order], step))
+    return Model(classes, step, h[order], (n > 0)[order], np.log10((n + 0.5) / base_all)[order], emit[order], below, float(base_all), int(total))
+
+
+def held_out() -> Column:
+    """Documents that are not trained on; a null id is."""
+    return F.coalesce(F.crc32(F.col("id").cast("string")) % 5, F.lit(0)) == 1
+
+
+def token_counts(train: DataFrame) -> DataFrame:
+    """(h, shape, n) of every token."""
+    return train.mapInArrow(_count, "h long, shape int, n long").groupBy("h").agg(F.first("shape").alias("shape"), F.sum("n").alias("n"))
 
+
+def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT, sweeps: int = SWEEPS_ALL, head: int = HEAD) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity), one row for each of df."""
+    spark = df.sparkSession
+    arrow_rows(spark, COMBINED_ROWS)
+    scratch = Scratch(spark, "lm")
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    train = docs.where(~held_out()).select("text")
+    counts = scratch.save(token_counts(train))
+    model = train_model(train, counts, min_count, sweeps, head)
+    shared = spark.sparkContext.broadcast(model)
     rows = docs.mapInArrow(_score(shared), "id long, name long, n_tokens long, head_known long, head_base double, head_score double, rare array<struct<h: long, shape: int, n: long>>")
     rows = scratch.save(rows)
     rare = rows.select("name", F.explode("rare").alias("r"))
     seen = rare.join(counts.select(F.col("h").alias("rh"), F.col("n").alias("c")), F.col("r.h") == F.col("rh"), "left")
     c, times = F.coalesce("c", F.lit(0)), F.col("r.n")
-    denominators = F.element_at(F.array(*(F.lit(float(x)) for x in below[1 : SHAPES + 1])), F.col("r.shape") + 1)
+    denominators = F.element_at(F.array(*(F.lit(float(x)) for x in model.below[1 : SHAPES + 1])), F.col("r.shape") + 1)
     tail = seen.groupBy("name").agg(
-        F.sum(times * F.log10((c + 0.5) / F.lit(float(base_all)))).alias("base"),
+        F.sum(times * F.log10((c + 0.5) / F.lit(model.base_below))).alias("base"),
         F.sum(times * F.log10((c + 0.5) / denominators)).alias("score"),
         F.sum(F.when(c > 0, times).otherwise(0)).alias("known"),
     )
@@ -322,10 +417,10 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     out = out.select(
         "id",
-        held.alias("held_out"),
+        held_out().alias("held_out"),
         "n_tokens",
         F.round(both("head_known", "known")).cast("long").alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
         both("head_base", "base").alias("base_score"),
         both("head_score", "score").alias("score"),
     )
