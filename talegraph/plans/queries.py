@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import KINDS_SQL, RELS_SQL, RULES_SQL, kind_dim, rel_dim, rule_dim
 from ..functions.columns import prop
-from ..operators import cascade, editlog, ingest, projections, reads, rules, search, traverse
+from ..operators import apply, cascade, editlog, ingest, projections, reads, rules, search, traverse
 from ..streaming import leases
 from .retail import checked, graph, source
 
@@ -275,17 +275,22 @@ RULE_SQL = {
     "world.core_rule": """WITH post AS (SELECT id, unnest(json_extract(props, '$.post[*]')) AS v FROM live_node WHERE kind = 'Scene'), forbid AS (SELECT id, unnest(json_extract(props, '$.forbid[*]')) AS v FROM live_node WHERE kind = 'Rule' AND locked)
         SELECT p.id AS node, f.id AS related, 'a scene does what a locked rule forbids' AS detail FROM post p JOIN forbid f ON json_extract_string(p.v, '$.subject') = json_extract_string(f.v, '$.subject') AND json_extract_string(p.v, '$.field') = json_extract_string(f.v, '$.field')
         AND coalesce(json_extract_string(p.v, '$.op'), 'eq') = coalesce(json_extract_string(f.v, '$.op'), 'eq') AND json_extract(p.v, '$.value')::VARCHAR = json_extract(f.v, '$.value')::VARCHAR""",
-    "detail.appearance": f"""WITH fx AS ({_FACT}) SELECT a.id AS node, b.id || ',' || a.s AS related, 'one property, overlapping times, different values' AS detail FROM fx a JOIN fx b ON a.s = b.s AND a.p = b.p AND a.id < b.id WHERE a.p <> 'absolute_time' AND a.o <> b.o AND a.t >= b.f AND b.t >= a.f
-        UNION ALL SELECT a.id, s.id || ',' || a.s, 'seen again after death' FROM fx a JOIN live_edge p ON p.rel = 'present_at' AND p.dst = a.s JOIN live_node s ON s.id = p.src AND s.kind = 'Scene' WHERE a.p = 'life_state' AND a.o = '"dead"' AND s.story_from > a.f AND a.f > -2147483648""",
-    "detail.nomenclature": """WITH m AS (SELECT id, unnest(json_extract(props, '$.mentions[*]')) AS v FROM live_node WHERE kind = 'Scene'), x AS (SELECT id, json_extract_string(v, '$.entity') AS entity, json_extract_string(v, '$.name') AS name FROM m)
-        SELECT x.id AS node, x.entity AS related, 'unregistered name: ' || x.name AS detail FROM x JOIN live_node n ON n.id = x.entity WHERE x.name <> n.title AND NOT EXISTS (SELECT 1 FROM node_alias a WHERE a.node = n.id AND a.alias = x.name)""",
-    "narrative.perspective": "SELECT s.id AS node, coalesce(string_agg(e.src, ',' ORDER BY e.src), '') AS related, 'focalizing edges: ' || CAST(count(e.src) AS VARCHAR) AS detail FROM live_node s LEFT JOIN live_edge e ON e.dst = s.id AND e.rel = 'focalizes' WHERE s.kind = 'Scene' GROUP BY s.id HAVING count(e.src) <> 1",
-    "promise.unearned": "SELECT p.id AS node, string_agg(e.src, ',' ORDER BY e.src) AS related, 'paid off without a trigger' AS detail FROM live_node p JOIN live_edge e ON e.dst = p.id AND e.rel = 'pays_off' WHERE p.kind = 'Promise' AND p.id NOT IN (SELECT src FROM live_edge WHERE rel = 'requires_trigger') GROUP BY p.id",
-    "promise.premature": "SELECT p.id AS node, a.src || ',' || t.dst AS related, 'paid off before its trigger' AS detail FROM live_node p JOIN live_edge a ON a.dst = p.id AND a.rel = 'pays_off' JOIN live_node x ON x.id = a.src JOIN live_edge t ON t.src = p.id AND t.rel = 'requires_trigger' JOIN live_node y ON y.id = t.dst WHERE p.kind = 'Promise' AND x.story_from < y.story_from",
-    "graph.causal_cycle": "WITH RECURSIVE near(src, dst) AS (SELECT a.src, a.dst FROM live_edge a WHERE a.rel = 'causes' AND a.src IN (SELECT b.dst FROM live_edge b WHERE b.rel = 'causes' AND b.src = a.dst)) SELECT DISTINCT src AS node, src AS related, 'a cycle of causes' AS detail FROM near",
-    "graph.unreachable": """WITH RECURSIVE ev AS (SELECT id, coalesce(json_extract_string(props, '$.is_start') IN ('true', '1'), false) AS s, coalesce(json_extract_string(props, '$.is_end') IN ('true', '1'), false) AS e FROM live_node WHERE kind IN ('Scene', 'Event')),
-        fw(id) AS (SELECT id FROM ev WHERE s UNION SELECT c.dst FROM live_edge c JOIN fw ON c.src = fw.id WHERE c.rel = 'causes'), bw(id) AS (SELECT id FROM ev WHERE e UNION SELECT c.src FROM live_edge c JOIN bw ON c.dst = bw.id WHERE c.rel = 'causes')
-        SELECT id AS node, '' AS related, 'not between a start and an end' AS detail FROM ev WHERE (SELECT bool_or(s) AND bool_or(e) FROM ev) AND (id NOT IN (SELECT id FROM fw) OR id NOT IN (SELECT id FROM bw))""",
+    "detail.appearance": f"""WITH fx AS ({_FACT}), pairs AS (SELECT least(a.id, b.id) AS node, greatest(a.id, b.id) AS other, a.s FROM fx a, fx b WHERE a.id < b.id AND (a.s, a.p) = (b.s, b.p) AND a.p <> 'absolute_time' AND a.o IS DISTINCT FROM b.o AND greatest(a.f, b.f) <= least(a.t, b.t)),
+        deaths AS (SELECT id AS node, s AS who, f AS died FROM fx WHERE p = 'life_state' AND o = '"dead"' AND f > -2147483648), seen AS (SELECT e.dst AS who, n.id AS scene, n.story_from AS told FROM live_edge e, live_node n WHERE e.rel = 'present_at' AND n.id = e.src AND n.kind = 'Scene')
+        SELECT node, other || ',' || s AS related, 'one property, overlapping times, different values' AS detail FROM pairs UNION ALL SELECT node, scene || ',' || who, 'seen again after death' FROM deaths JOIN seen USING (who) WHERE told > died""",
+    "detail.nomenclature": """WITH registered AS (SELECT id AS entity, title AS name FROM live_node UNION SELECT node, alias FROM node_alias), said AS (SELECT id, m->>'$.entity' AS entity, m->>'$.name' AS name FROM (SELECT id, unnest(json_extract(props, '$.mentions[*]')) AS m FROM live_node WHERE kind = 'Scene') q)
+        SELECT id AS node, entity AS related, 'unregistered name: ' || name AS detail FROM (FROM said SEMI JOIN (SELECT id AS entity FROM live_node) known USING (entity)) s ANTI JOIN registered USING (entity, name)""",
+    "narrative.perspective": """WITH seen AS (SELECT dst AS id, list(src ORDER BY src) AS who FROM live_edge WHERE rel = 'focalizes' GROUP BY dst), scenes AS (SELECT id FROM live_node WHERE kind = 'Scene')
+        SELECT id AS node, coalesce(array_to_string(who, ','), '') AS related, 'focalizing edges: ' || CAST(coalesce(len(who), 0) AS VARCHAR) AS detail FROM scenes LEFT JOIN seen USING (id) WHERE coalesce(len(who), 0) <> 1""",
+    "promise.unearned": """WITH paid AS (SELECT dst AS id, list(src ORDER BY src) AS scenes FROM live_edge WHERE rel = 'pays_off' GROUP BY dst), open AS ((SELECT id FROM live_node WHERE kind = 'Promise' INTERSECT SELECT id FROM paid) EXCEPT SELECT src FROM live_edge WHERE rel = 'requires_trigger')
+        SELECT id AS node, array_to_string(scenes, ',') AS related, 'paid off without a trigger' AS detail FROM open JOIN paid USING (id)""",
+    "promise.premature": """WITH ends AS (SELECT CASE rel WHEN 'pays_off' THEN dst ELSE src END AS promise, CASE rel WHEN 'pays_off' THEN src ELSE dst END AS scene, rel FROM live_edge WHERE rel IN ('pays_off', 'requires_trigger')), dated AS (SELECT promise, scene, rel, story_from AS t FROM ends JOIN (SELECT id AS scene, story_from FROM live_node) w USING (scene) WHERE story_from IS NOT NULL AND promise IN (SELECT id FROM live_node WHERE kind = 'Promise'))
+        SELECT promise AS node, paid.scene || ',' || due.scene AS related, 'paid off before its trigger' AS detail FROM (FROM dated WHERE rel = 'pays_off') paid JOIN (FROM dated WHERE rel = 'requires_trigger') due USING (promise) WHERE due.t > paid.t""",
+    "graph.causal_cycle": """WITH RECURSIVE step AS (SELECT DISTINCT src, dst FROM live_edge WHERE rel = 'causes'), far(a, b) AS (SELECT src, dst FROM step UNION SELECT far.a, step.dst FROM far JOIN step ON step.src = far.b)
+        SELECT a AS node, a AS related, 'a cycle of causes' AS detail FROM far WHERE a = b""",
+    "graph.unreachable": """WITH RECURSIVE ev AS (SELECT id, list_contains(['true', '1'], props->>'$.is_start') AS s, list_contains(['true', '1'], props->>'$.is_end') AS e FROM live_node WHERE kind IN ('Scene', 'Event')), step AS (SELECT 'on' AS way, src AS a, dst AS b FROM live_edge WHERE rel = 'causes' UNION ALL SELECT 'back', dst, src FROM live_edge WHERE rel = 'causes'),
+        hit(way, id) AS (SELECT * FROM (SELECT 'on', id FROM ev WHERE s UNION ALL SELECT 'back', id FROM ev WHERE e) seeds UNION SELECT hit.way, step.b FROM hit JOIN step ON step.way = hit.way AND step.a = hit.id), ways AS (SELECT id, count(*) AS n FROM hit GROUP BY id)
+        SELECT ev.id AS node, '' AS related, 'not between a start and an end' AS detail FROM ev LEFT JOIN ways USING (id) WHERE coalesce(n, 0) < 2 AND EXISTS (SELECT 1 FROM ev x WHERE x.s) AND EXISTS (SELECT 1 FROM ev x WHERE x.e)""",
     "plot.causal_violation": "SELECT e.src AS node, e.dst AS related, 'an effect before its cause' AS detail FROM live_edge e JOIN live_node a ON a.id = e.src JOIN live_node b ON b.id = e.dst WHERE e.rel = 'causes' AND b.story_from < a.story_from",
     "promise.trigger_undefined": "SELECT id AS node, '' AS related, 'no trigger is defined' AS detail FROM live_node WHERE kind = 'Promise' AND json_extract(props, '$.T') IS NULL AND id NOT IN (SELECT src FROM live_edge WHERE rel = 'requires_trigger')",
     "graph.orphan_edge": "SELECT DISTINCT src AS node, dst || ',' || rel AS related, 'an end of the edge is not there' AS detail FROM live_edge WHERE src NOT IN (SELECT id FROM live_node) OR dst NOT IN (SELECT id FROM live_node)",
@@ -302,12 +307,9 @@ def _rule_query(name: str):
 for _name, _sql in RULE_SQL.items():
     query("rule_" + _name.replace(".", "_"), _sql)(_rule_query(_name))
 
-_SOME = ["plot.causeless", "plot.abandoned", "narrative.perspective", "promise.unearned"]
-
-
-@query("check", " UNION ALL ".join(f"SELECT rule, severity, count(*) AS n FROM (SELECT DISTINCT '{r}' AS rule, node, related, detail FROM ({RULE_SQL[r]}) a) b JOIN ({RULES_SQL}) c USING (rule) GROUP BY rule, severity" for r in _SOME))
+@query("check", " UNION ALL ".join(f"SELECT rule, severity, count(*) AS n FROM (SELECT DISTINCT '{r}' AS rule, node, related, detail FROM ({sql}) a) b JOIN ({RULES_SQL}) c USING (rule) GROUP BY rule, severity" for r, sql in RULE_SQL.items()))
 def _(spark, sf):
-    return rules.check(graph(spark, sf), _SOME).groupBy("rule", "severity").agg(F.count("*").alias("n"))
+    return rules.check(graph(spark, sf), [*rules.RULES, *rules.EXTRA]).groupBy("rule", "severity").agg(F.count("*").alias("n"))
 
 
 @query("diag_sync", f"SELECT action, count(*) AS n FROM (SELECT CASE WHEN CAST(substr(node, 10) AS INT) % 3 = 0 THEN 'open' ELSE 'keep' END AS action FROM ({RULE_SQL['plot.abandoned']}) q UNION ALL SELECT 'resolve' FROM (SELECT DISTINCT node FROM ({RULE_SQL['promise.unearned']}) r) s) t GROUP BY action")
@@ -592,6 +594,79 @@ def _(spark, sf):
     return editlog.commit_batch(*_commit_inputs(spark, sf))
 
 
+# --- the log applied --------------------------------------------------------------------------------
+_ERRORS = f"""k AS ({KINDS_SQL}), rl AS ({RELS_SQL}), nd AS (SELECT id, kind, locked, coalesce(json_extract_string(props, '$.status'), 'hypothetical') AS status FROM live_node), ad AS (SELECT DISTINCT proposal, target FROM ops WHERE verb = 'ADD'),
+    x AS (SELECT o.*, n.id IS NOT NULL AS live, coalesce(n.locked, false) AS lk, n.id IS NOT NULL OR a.target IS NOT NULL AS known, coalesce(n.kind, upper(substr(o.target, 1, 1)) || lower(substr(split_part(o.target, '/', 1), 2))) AS kd, coalesce(n.status, 'hypothetical') AS status FROM ops o LEFT JOIN nd n ON n.id = o.target LEFT JOIN ad a USING (proposal, target)),
+    y AS (SELECT x.*, m.id IS NOT NULL OR b.target IS NOT NULL AS other, coalesce(m.locked, false) AS olk, coalesce(m.kind, upper(substr(x.to_val, 1, 1)) || lower(substr(split_part(x.to_val, '/', 1), 2))) AS okd, rl.rel IS NOT NULL AS rk, rl.src_kind, rl.dst_kind, EXISTS (SELECT 1 FROM live_edge e WHERE e.src = x.target AND e.rel = x.field AND e.dst = x.to_val) AS linked
+      FROM x LEFT JOIN nd m ON m.id = x.to_val LEFT JOIN (SELECT proposal, target FROM ad) b ON b.proposal = x.proposal AND b.target = x.to_val LEFT JOIN rl ON rl.rel = x.field WHERE x.verb IN ('LINK', 'UNLINK')),
+    bad AS (SELECT proposal, seq, 'id is in use' AS error FROM x WHERE verb = 'ADD' AND live UNION ALL SELECT proposal, seq, 'unknown kind' FROM x WHERE verb = 'ADD' AND lower(split_part(target, '/', 1)) NOT IN (SELECT lower(kind) FROM k)
+      UNION ALL SELECT proposal, seq, 'target is not there' FROM x WHERE verb <> 'ADD' AND NOT known UNION ALL SELECT proposal, seq, 'target is locked' FROM x WHERE verb IN ('UPDATE', 'INVALIDATE') AND lk
+      UNION ALL SELECT proposal, seq, 'field cannot be set' FROM x WHERE verb = 'UPDATE' AND NOT (coalesce(field, '') LIKE 'props.%' OR coalesce(field, '') IN ('title', 'summary'))
+      UNION ALL SELECT proposal, seq, 'no such step of a promise' FROM x WHERE verb = 'UPDATE' AND kd = 'Promise' AND field = 'props.status' AND to_val <> status AND (status, to_val) NOT IN (('hypothetical', 'eligible'), ('hypothetical', 'prevented'), ('eligible', 'actualized'), ('eligible', 'prevented'))
+      UNION ALL SELECT proposal, seq, 'other end is not there' FROM y WHERE NOT other UNION ALL SELECT proposal, seq, 'unknown relation' FROM y WHERE NOT rk UNION ALL SELECT proposal, seq, 'kind of the target does not fit' FROM y WHERE verb = 'LINK' AND src_kind <> kd
+      UNION ALL SELECT proposal, seq, 'kind of the other end does not fit' FROM y WHERE verb = 'LINK' AND dst_kind <> okd UNION ALL SELECT proposal, seq, 'an end is locked' FROM y WHERE lk OR olk
+      UNION ALL SELECT proposal, seq, 'edge is there already' FROM y WHERE verb = 'LINK' AND linked UNION ALL SELECT proposal, seq, 'edge is not there' FROM y WHERE verb = 'UNLINK' AND NOT linked)"""
+
+# the log of events beside one of orders: promises move on, edges that are there are unlinked, parts are invalidated
+WRITES = OPS_SQL + (
+    " UNION ALL SELECT 'w' || CAST(o_orderkey AS STRING), CAST(1 AS INT), 'UNLINK', 'scene/o' || CAST(o_orderkey AS STRING), 'occurs_at', 'location/n' || CAST(o_orderkey % 25 AS STRING), CAST(1 AS INT), 'order-key-' || CAST(o_orderkey AS STRING), CAST(o_orderdate AS TIMESTAMP) FROM @orders WHERE o_orderkey % 4 = 0"
+    " UNION ALL SELECT 'w' || CAST(o_orderkey AS STRING), CAST(2 AS INT), 'LINK', 'scene/o' || CAST(o_orderkey AS STRING), 'occurs_at', 'location/n' || CAST((o_orderkey + 1) % 25 AS STRING), CAST(1 AS INT), 'order-next-' || CAST(o_orderkey AS STRING), CAST(o_orderdate AS TIMESTAMP) FROM @orders WHERE o_orderkey % 8 = 0"
+    " UNION ALL SELECT 'm' || CAST(p_partkey AS STRING), CAST(1 AS INT), 'UPDATE', 'promise/p' || CAST(p_partkey AS STRING), 'props.status', CASE p_size % 3 WHEN 0 THEN 'eligible' WHEN 1 THEN 'prevented' ELSE 'actualized' END, CAST(1 AS INT), 'part-key-' || CAST(p_partkey AS STRING), CAST('2024-03-01 00:00:00' AS TIMESTAMP) FROM @part"
+    " UNION ALL SELECT 'm' || CAST(p_partkey AS STRING), CAST(2 AS INT), 'INVALIDATE', 'promise/p' || CAST(p_partkey AS STRING), NULL, NULL, CAST(1 AS INT), 'part-gone-' || CAST(p_partkey AS STRING), CAST('2024-03-02 00:00:00' AS TIMESTAMP) FROM @part WHERE p_partkey % 3 = 0"
+)
+
+
+def _writes(spark, sf):
+    return source(spark, sf, WRITES), kind_dim(spark), rel_dim(spark)
+
+
+def _sound(spark, sf):
+    g = graph(spark, sf)
+    return g, apply.sound_ops(g, *_writes(spark, sf))
+
+
+@query("validate_ops", f"WITH {_ERRORS} SELECT proposal, seq, error FROM bad", ops=WRITES)
+def _(spark, sf):
+    return apply.validate_ops(graph(spark, sf), *_writes(spark, sf))
+
+
+@query(
+    "simulate",
+    f"WITH {_ERRORS}, w AS (SELECT proposal, count(*) AS n, min((seq, error)) AS f FROM bad GROUP BY proposal) SELECT p.proposal, coalesce(w.n, 0) AS n_errors, w.n IS NULL AS valid, CASE WHEN w.n IS NOT NULL THEN f[2] END AS first_error FROM (SELECT DISTINCT proposal FROM ops) p LEFT JOIN w USING (proposal)",
+    ops=WRITES,
+)
+def _(spark, sf):
+    return apply.simulate(graph(spark, sf), *_writes(spark, sf))
+
+
+_FINE = "fine AS (SELECT * FROM ops WHERE proposal NOT IN (SELECT proposal FROM bad))"
+
+
+@query(
+    "apply_edges",
+    f"""WITH {_ERRORS}, {_FINE}, l AS (SELECT target AS src, field AS rel, to_val AS dst, arg_max(verb, (ts, proposal, seq)) AS verb, arg_max(proposal, (ts, proposal, seq)) AS p, max(ts) AS ts FROM fine WHERE verb IN ('LINK', 'UNLINK') GROUP BY target, field, to_val),
+    e AS (SELECT src, rel, dst, w.src IS NOT NULL AS was, l.verb, l.p, l.ts FROM (SELECT DISTINCT src, rel, dst FROM live_edge) w FULL JOIN l USING (src, rel, dst)), z AS (SELECT target, min(ts) AS at FROM fine WHERE verb = 'INVALIDATE' GROUP BY target)
+    SELECT src, rel, dst, CASE WHEN verb = 'LINK' AND NOT was THEN p END AS opened_by, CASE WHEN verb = 'LINK' AND NOT was THEN ts END AS tx_from, least(CASE WHEN verb = 'UNLINK' THEN ts END, a.at, b.at) AS tx_to
+    FROM (SELECT e.src, e.rel, e.dst, m.src IS NOT NULL AS was, verb, p, ts FROM e LEFT JOIN (SELECT DISTINCT src, rel, dst FROM live_edge) m USING (src, rel, dst)) q LEFT JOIN z a ON a.target = q.src LEFT JOIN z b ON b.target = q.dst WHERE was OR verb = 'LINK'""",
+    ops=WRITES,
+)
+def _(spark, sf):
+    return apply.apply_edges(*_sound(spark, sf))
+
+
+@query(
+    "apply_nodes",
+    f"""WITH {_ERRORS}, {_FINE}, t AS (SELECT target AS id, count(*) AS n, min(ts) FILTER (WHERE verb = 'INVALIDATE') AS closed, bool_or(verb = 'ADD') AS added FROM fine GROUP BY target),
+    u AS (SELECT target AS id, field, arg_max(to_val, (ts, proposal, seq)) AS v FROM fine WHERE verb = 'UPDATE' GROUP BY target, field), b AS (SELECT src AS id, count(DISTINCT dst) AS n FROM live_edge WHERE dst IN (SELECT target FROM fine WHERE verb = 'INVALIDATE') GROUP BY src)
+    SELECT coalesce(n.id, t.id) AS id, coalesce(n.kind, upper(substr(t.id, 1, 1)) || substr(split_part(t.id, '/', 1), 2)) AS kind, n.title, n.story_from, coalesce((SELECT v FROM u WHERE u.id = n.id AND field = 'props.status'), n.props->>'$.status') AS status, coalesce((SELECT v FROM u WHERE u.id = n.id AND field = 'props.segment'), n.props->>'$.segment') AS segment,
+    (SELECT v FROM u WHERE u.id = n.id AND field = 'props.f1') AS f1, CAST(coalesce(n.rev, 0) + coalesce(t.n, 0) + coalesce(b.n, 0) AS INT) AS rev, t.closed AS tx_to FROM live_node n FULL JOIN t ON t.id = n.id LEFT JOIN b ON b.id = coalesce(n.id, t.id) WHERE n.id IS NOT NULL OR t.added""",
+    ops=WRITES,
+)
+def _(spark, sf):
+    out = apply.apply_nodes(*_sound(spark, sf))
+    return out.select("id", "kind", "title", "story_from", *(prop(c).alias(c) for c in ("status", "segment", "f1")), "rev", "tx_to")
+
+
 # --- propagation ---------------------------------------------------------------------------------------
 @query(
     "dependency_edges",
