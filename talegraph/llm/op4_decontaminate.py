@@ -8,8 +8,10 @@ is one window, sought at every place.
 
 Benchmarks are small beside a corpus: while the fingerprint table is within
 ``INDEX_BYTES`` (it is counted first) it is broadcast and documents are scanned where they
-lie, with no shuffle of text.  A larger benchmark is joined to the fingerprints of the
-documents by shuffle, and each document is then compared with the items it met.
+lie, with no shuffle of text.  With a larger benchmark all of it is joined by Spark:
+fingerprints that both sides have are kept for each text, the text's windows around them are
+named, and these names are joined to those of the items' windows, so a pair of document and
+item is a row only where they share a whole window, however common a fingerprint is.
 
 Results for odd input: a null or empty text has no words, as an item it occurs nowhere; a
 null item id counts as ""; items with one id are one; a null document id is kept; repeated
@@ -174,37 +176,90 @@ def _scan(shared, carried: int):
     return run
 
 
+def _short_runs(w: Words, runs: RunHash, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of all runs of m words."""
+    n = len(w.hashes) - m + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, U64)
+    text = w.owner()
+    at = np.flatnonzero(text[:n] == text[m - 1 :])
+    return at, runs.of(at, at + m)
+
+
 def _fingerprints(window: int, gram: int, short: list[int]):
-    """(key, text) -> (fp, key); short: lengths of short items, whose runs count at every place."""
+    """(key, text) -> (key, fp); short: lengths of short items, whose runs count at every place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, w in words_of(batch.column(1), True, IS_ALNUM):
+                runs, text = value_runs(w.hashes), w.owner()
+                met = [winnowed(runs, w.before, window, gram), *(_short_runs(w, runs, m) for m in short)]
+                owners, names = np.concatenate([text[at] for at, _ in met]), np.concatenate([g for _, g in met])
+                pair = np.unique(np.stack([owners.astype(np.int64), signed(names)]), axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(pair[0])), pa.array(pair[1])], ["key", "fp"])
+
+    return run
+
+
+def _item_windows(window: int):
+    """(item, text) -> (item, win): names of its windows, or of all its words if they are fewer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            for lo, hi, w in words_of(batch.column(1), True, IS_ALNUM):
+                runs, text, counts = value_runs(w.hashes), w.owner(), w.counts()
+                at, names = _short_runs(w, runs, window)
+                few = np.flatnonzero((counts > 0) & (counts < window))
+                owners = np.concatenate([text[at], few]).astype(np.int64)
+                names = np.concatenate([names, runs.of(w.before[few], w.before[few + 1])])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(owners)), pa.array(signed(names))], ["item", "win"])
+
+    return run
+
+
+def _met_windows(window: int, gram: int, short: list[int]):
+    """(key, text, fps) -> (key, win, at, size): the windows around the fingerprints that items have too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, off = batch.column(2).flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.array(batch.column(2).value_lengths()))])
             for lo, hi, w in words_of(batch.column(1), True, IS_ALNUM):
                 runs, text = value_runs(w.hashes), w.owner()
+                known = np.unique(fps[off[lo] : off[hi]])
                 at, g = winnowed(runs, w.before, window, gram)
-                names, owners = [g], [text[at] if len(at) else np.zeros(0, np.int64)]
+                at = at[np.isin(signed(g), known)]
+                start = np.unique((at[:, None] - np.arange(window - gram + 1)).reshape(-1))
+                start = start[(start >= 0) & (start + window <= len(w.hashes))]
+                start = start[text[start] == text[start + window - 1]]
+                found = [(start, runs.of(start, start + window), window)]
                 for m in short:
-                    n = len(w.hashes) - m + 1
-                    if n > 0:
-                        at = np.flatnonzero(text[:n] == text[m - 1 :])
-                        names.append(runs.of(at, at + m))
-                        owners.append(text[at])
-                pair = np.unique(np.stack([np.concatenate(owners).astype(np.int64), signed(np.concatenate(names))]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[1]), batch.column(0).slice(lo, hi - lo).take(pa.array(pair[0]))], ["fp", "key"])
+                    at, g = _short_runs(w, runs, m)
+                    ok = np.isin(signed(g), known)
+                    found.append((at[ok], g[ok], m))
+                at, names = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+                size = np.repeat([x[2] for x in found], [len(x[0]) for x in found])
+                owner = text[at] if len(at) else at
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(owner)), pa.array(signed(names)), pa.array(at - w.before[owner]), pa.array(size.astype(np.int32))], ["key", "win", "at", "size"])
 
     return run
 
 
-def _compare(window: int, gram: int):
-    """(key, text, met items) -> results."""
+def _marked(carried: int):
+    """(text, hits, items, carried) -> RESULT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                met = [(x["item"], x["text"]) for x in batch.column(2)[i].as_py()]
-                index = Index(met, window, gram)
-                for _, _, w in words_of(batch.column(1).slice(i, 1), True, IS_ALNUM):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *_result(w, index.ids, *index.hits(w, value_runs(w.hashes)))], ["key", "n_words", "n_hit", "items", "spans"])
+            hits, items = batch.column(1), batch.column(2)
+            off = np.concatenate([[0], np.cumsum(np.array(hits.value_lengths().fill_null(0)))])
+            at, size = (hits.flatten().field(c).to_numpy().astype(np.int64) for c in ("at", "size"))
+            for lo, hi, w in words_of(batch.column(0), True, IS_ALNUM):
+                text = np.repeat(np.arange(hi - lo), np.diff(off[lo : hi + 1]))
+                start = w.before[text] + at[off[lo] : off[hi]]
+                none = np.zeros(len(start), np.int64)
+                cols = _result(w, [""], start, start + size[off[lo] : off[hi]], none)
+                cols[2] = pa.array([sorted(x) if x else [] for x in items.slice(lo, hi - lo).to_pylist()], pa.list_(pa.string()))
+                rest = [batch.column(i + 3).slice(lo, hi - lo) for i in range(carried)]
+                yield pa.RecordBatch.from_arrays([*rest, *cols], [*batch.schema.names[3:], "n_words", "n_hit", "items", "spans"])
 
     return run
 
@@ -224,20 +279,22 @@ def contaminated(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
         index = Index([(r.item, r.text) for r in items.sort("item", "text").toLocalIterator()], window, gram)
         return docs.mapInArrow(_scan(spark.sparkContext.broadcast(index), 1 + len(carry)), f"{kinds}, {RESULT}")
     scratch = Scratch(spark, "decontaminate")
-    named = items.select(F.struct("item", "text").alias("key"), "text")
     n_words = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
     short = sorted(r[0] for r in items.select(n_words.alias("n")).where(f"n > 0 and n < {window}").distinct().collect())  # fewer than window
-    item_fps = scratch.save(named.mapInArrow(_fingerprints(window, gram, short), "fp long, key struct<item: string, text: string>"))
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.lit(7)).alias("key")
-    keyed = docs.select("*", key)
+    item_fps = scratch.save(items.mapInArrow(_fingerprints(window, gram, short), "key string, fp long").select("fp").distinct())
+    item_wins = scratch.save(items.mapInArrow(_item_windows(window), "item string, win long").distinct())
+    keyed = docs.withColumn("key", F.md5("text"))
     texts = keyed.select("key", "text").where("length(text) > 0")
-    doc_fps = texts.mapInArrow(_fingerprints(window, gram, short), "fp long, key long")
-    met = doc_fps.join(item_fps.withColumnRenamed("key", "met"), "fp").select("key", "met").distinct()
-    met = met.groupBy("key").agg(F.collect_list("met").alias("met"))
-    found = scratch.save(texts.dropDuplicates(["key"]).join(met, "key").select("key", "text", "met").mapInArrow(_compare(window, gram), f"key long, {RESULT}"))
-    out = keyed.join(found, "key", "left")
-    none = F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
-    return out.select(*docs.drop("text").columns, F.coalesce("n_words", none).alias("n_words"), F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<start: long, end: long>>")).alias("spans"))
+    fps = texts.mapInArrow(_fingerprints(window, gram, short), "key string, fp long").join(item_fps.hint("merge"), "fp", "left_semi")
+    fps = scratch.save(fps.groupBy("key").agg(F.collect_set("fp").alias("fps")))
+    near = texts.join(fps.hint("merge"), "key").dropDuplicates(["key"]).select("key", "text", "fps")
+    met = scratch.save(near.mapInArrow(_met_windows(window, gram, short), "key string, win long, at long, size int"))
+    met = met.join(item_wins.select("win").distinct().hint("merge"), "win", "left_semi")
+    hits = met.groupBy("key").agg(F.collect_list(F.struct("at", "size")).alias("hits"))
+    named = met.select("key", "win").distinct().join(item_wins.hint("merge"), "win").groupBy("key").agg(F.collect_set("item").alias("named"))
+    found = scratch.save(hits.join(named, "key"))
+    out = keyed.join(found.hint("merge"), "key", "left").select("text", "hits", "named", *docs.drop("text").columns)
+    return out.mapInArrow(_marked(1 + len(carry)), f"{kinds}, {RESULT}")
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import IS_WORD, U64, hash_words, mix, pieces, signed
-from .repeats import LAST_ID, _lists, match_lists
+from .repeats import _lists, match_lists, ordered
 from .scratch import TEXT_ROWS, Scratch, arrow_rows, join_checked
 
 WINDOW = 3
@@ -63,11 +63,12 @@ class Lines:
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            docs, rows = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for lo, hi, data, offsets in pieces(batch.column(1)):
                 x = Lines(data, offsets, window)
                 if x.new.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(x.name[x.new])), pa.array(ids[lo:hi][x.text[x.new]])], ["w", "doc"])
+                    text = x.text[x.new]
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(x.name[x.new])), pa.array(docs[lo:hi][text]), pa.array(rows[lo:hi][text])], ["w", "doc", "row"])
 
     return run
 
@@ -105,12 +106,12 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     scratch = Scratch(df.sparkSession, "lines")
     arrow_rows(df.sparkSession, TEXT_ROWS)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
-    docs = docs.withColumn("doc", F.coalesce("id", F.lit(LAST_ID)))
-    rows = scratch.save(docs.select("doc", "text").mapInArrow(_windows(window), "w long, doc long"))
+    docs = docs.withColumn("doc", ordered(docs)).withColumn("row", F.xxhash64(F.col("id").isNull(), "id", "text"))
+    rows = scratch.save(docs.select("doc", "text", "row").mapInArrow(_windows(window), "w long, doc long, row long"))
     again = rows.groupBy("w").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    known = scratch.save(rows.join(again, "w").where("doc > first").groupBy("doc").agg(F.collect_set("w").alias("known")))
+    known = scratch.save(rows.join(again, "w").where("doc > first").groupBy("row").agg(F.collect_set("w").alias("known")))
     extra = [f"carry_{i}" for i in range(len(carry))]
-    found = join_checked(docs, known, "doc", "left", weight=F.size("known") * 8 + 24).select("id", "text", "known", *extra)
+    found = join_checked(docs, known, "row", "left", weight=F.size("known") * 8 + 24).select("id", "text", "known", *extra)
     kinds = "".join(f", {c} {kind}" for c, kind in docs.select(*extra).dtypes) if extra else ""
     return found.mapInArrow(_cut(window), f"id long, n_lines long, n_removed long, removed_lines array<long>, kept string{kinds}")
 

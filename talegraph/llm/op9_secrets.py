@@ -4,10 +4,13 @@ Method: texts are cut into tokens (runs of other than white space).  A chain ove
 outside, begin and inside scores each token by its shape, its word, the shapes of the tokens
 beside it, the word before it and how the file as a whole looks.  It is trained by gradient
 ascent on its conditional likelihood, on windows of a bounded sample of documents in which
-the base patterns mark the secrets; long and numbered tokens count by their shape alone, so
-it learns shapes and contexts, not strings.  Every whole text is then decoded by Viterbi.  Tokens so far outside that no neighbour could turn them cut the
-chain, so the paths between them are exact and short.  Spans that the chain finds beside
-the base ones are added as kind ``crf``.
+the base patterns mark the secrets.  Long and numbered tokens count by their shape alone, and
+every window is seen a second time with all words masked, so a keyword is never what the chain
+can rest on: it learns shapes and neighbours, which secrets that no base pattern knows share.
+Windows without a base span that hold a token of a secret's shape are no examples of either.
+Every whole text is then decoded by Viterbi.  Tokens so far outside that no neighbour could
+turn them cut the chain, so the paths between them are exact and short.  Spans that the chain
+finds beside the base ones are added as kind ``crf``.
 
 The sample is at most ``SAMPLE_DOCS`` documents, by hash.
 
@@ -165,12 +168,13 @@ def _training(limit: int):
                     y = tags(w, t, spans)
                     seed = int(w.hashes[a]) ^ (b - a)
                     starts = np.flatnonzero(y == 1)
-                    spots = starts.tolist() if len(starts) else ([seed % (b - a)] if seed % 5 == 0 else [])
+                    # a window of every text without secrets too; those with one come first more often
+                    spots, lead = (starts.tolist(), 3) if len(starts) else ([seed % (b - a)], 0)
                     for k, s in enumerate(spots):
                         lo, hi = max(0, s - REACH), min(b - a, s + REACH + 1)
                         codes.append(x[a + lo : a + hi].reshape(-1).tolist())
                         marks.append(y[lo:hi].tolist())
-                        keys.append((seed + k * 7919) & 0x7FFFFFFF)
+                        keys.append(((seed + k * 7919) & 0x7FFFFFFF) >> lead)
             if codes:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(codes, pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.int8()))], ["key", "codes", "tags"])
 
@@ -306,6 +310,9 @@ def train_crf(df: DataFrame, text_col: str, id_col: str, sample_docs: int = SAMP
     rows = rows.where("size(codes) > 0").orderBy("key", "codes").limit(WINDOWS).collect()  # WINDOWS of bounded length
     if not any(1 in r.tags for r in rows):
         return None
+    # a window without base spans, in which a token has the shape of a known secret, may hold one that no pattern knows
+    shaped = {c[0] for r in rows for c, y in zip(np.array(r.codes).reshape(-1, 6).tolist(), r.tags, strict=True) if y and not c[3]}
+    rows = [r for r in rows if any(r.tags) or not any(c[0] in shaped for c in np.array(r.codes).reshape(-1, 6).tolist())]
     t = max(len(r.tags) for r in rows)
     x, y = np.zeros((len(rows), t, 6), np.int64), np.zeros((len(rows), t), np.int64)
     for i, r in enumerate(rows):
@@ -313,7 +320,10 @@ def train_crf(df: DataFrame, text_col: str, id_col: str, sample_docs: int = SAMP
         x[i, :k] = np.array(r.codes).reshape(k, 6)
         y[i, :k] = r.tags
     crf = Crf()
-    crf.fit(x, y, np.array([len(r.tags) for r in rows]))
+    masked = x.copy()
+    masked[:, :, 3:5] = 0  # no word, nor the word before
+    length = np.array([len(r.tags) for r in rows])
+    crf.fit(np.concatenate([x, masked]), np.concatenate([y, y]), np.concatenate([length, length]))
     return crf
 
 
@@ -337,7 +347,8 @@ def op9_secrets(spark, sf_dir: str) -> DataFrame:
 
     return out.select(
         F.col("id").alias("doc_id"),
-        *(times(k) for k in KINDS),
+        *(times(k) for k in KINDS[:-1]),
         F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "crf")), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
+        times("crf"),
     )

@@ -123,6 +123,67 @@ def test_language_model(docs, corpus):
         assert math.isfinite(r.score) and r.score < 0
 
 
+def test_class_model_by_brute_force(docs, corpus, monkeypatch):
+    """The score, from the classes that were learned and counts taken by hand."""
+    learned = []
+    train = op7_lm.train_model
+    monkeypatch.setattr(op7_lm, "train_model", lambda *args: learned.append(train(*args)) or learned[0])
+    out = {r.id: r.score for r in op7_lm.score_texts(docs, min_count=3).collect()}
+    m = learned[0]
+    rows = {}
+    for i, t in corpus:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        tokens, kind, _ = op7_lm.with_ends(op7_lm.Words(data, np.array([0, len(data)]), True))
+        rows[i] = list(zip(tokens.tolist(), kind.tolist(), m.classes.of(tokens, kind + 1).tolist()))
+    taught = [r for i, r in rows.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    size = len(m.step)
+    words, pairs, shape = Counter(), Counter(), {}
+    for r in taught:
+        before = 0
+        for h, k, c in r:
+            words[h] += 1
+            shape[h] = k
+            pairs[before, c] += 1
+            before = c
+    assert any(c > op7_lm.SHAPES for r in taught for _, _, c in r)
+    head = {h for h, n in words.items() if n >= 3 and h != op7_lm.END}
+    of = {h: c for r in taught for h, _, c in r}
+    members, mass, kinds = Counter(), Counter(), Counter()
+    for h, n in words.items():
+        if h in head:
+            members[of[h]] += n
+        elif h != op7_lm.END:
+            mass[shape[h]] += n
+            kinds[shape[h]] += 1
+    total = sum(pairs.values())
+    into, from_ = Counter(), Counter()
+    for (a, b), n in pairs.items():
+        into[b] += n
+        from_[a] += n
+    for i, r in rows.items():
+        want, before = 0.0, 0
+        for h, k, c in r:
+            want += math.log10((pairs[before, c] + op7_lm.SMOOTH * (into[c] + 0.5) / (total + 0.5 * size)) / (from_[before] + op7_lm.SMOOTH))
+            if h in head:
+                want += math.log10(words[h] / members[c])
+            elif h != op7_lm.END:
+                want += math.log10((words[h] + 0.5) / (mass[k] + 0.5 * (kinds[k] + 1)))
+            before = c
+        assert math.isclose(out[i], want, rel_tol=1e-9)
+
+
+def test_language_model_at_the_edges(spark, docs, corpus):
+    held = [(i, "some words of no training", None) for i in range(300) if zlib.crc32(str(i).encode()) % 5 == 1]
+    rows = op7_lm.score_texts(table(spark, held)).collect()
+    assert len(rows) == len(held) and all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) and r.base_score == 0 for r in rows)
+    many = " ".join(f"once{i}" for i in range(30_000))  # a very long text, no word of which is frequent
+    (row,) = op7_lm.score_texts(table(spark, [(None, many, None)])).collect()
+    assert (row.n_tokens, row.n_known, row.train_tokens) == (30_001, 30_001, 30_001) and math.isfinite(row.score)
+    counts = spark.createDataFrame([(h, 1, 20) for h in range(-500, 500)] + [(int(op7_lm.END), -1, 1)], "h long, shape int, n long")
+    kept = [r.h for r in op7_lm.head_words(counts, 16, 100).collect()]
+    assert int(op7_lm.END) in kept  # ties past the bound are drawn by hash
+
+
 def test_exchange_mends_classes():
     """A local search: from a start that is mostly right it finds the classes that alternate."""
     rng = np.random.default_rng(0)
@@ -165,6 +226,31 @@ def test_secrets(spark):
     assert not any(out[i] for i in range(150, 260))
 
 
+def test_chain_finds_secrets_of_no_base_pattern(spark):
+    """Learned from one set of keywords, it finds values behind words that no base pattern knows."""
+    rng = random.Random(8)
+    chars = "abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    prose = ["river", "stone", "walked", "under", "the", "old", "bridge", "and", "saw", "light", "on", "water"]
+
+    def words(n):
+        return " ".join(rng.choice(prose) for _ in range(n))
+
+    def value():
+        return "".join(rng.choice(chars) for _ in range(22)) + "7Q"
+
+    rows = [(i, f"{words(12)} password: {value()} {words(12)}", "s") for i in range(160)] + [(i, words(30), "s") for i in range(200, 400)]
+    unseen = {}
+    for i in range(500, 560):
+        before, secret = words(9), value()
+        unseen[i] = (len(before) + len(" credential: "), len(before) + len(" credential: ") + len(secret))
+        rows.append((i, f"{before} credential: {secret} {words(9)}", "s"))
+    out = {r.id: [(s.start, s.end) for s in r.spans if s.kind == "crf"] for r in op9_secrets.secret_spans(table(spark, rows)).collect()}
+    found = sum(any(a <= s and e <= b for a, b in out[i]) for i, (s, e) in unseen.items())
+    added = sum(len(v) for v in out.values())
+    assert found >= 0.9 * len(unseen)  # recall
+    assert added <= found / 0.9  # precision
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(2)
     crf = op9_secrets.Crf()
@@ -237,3 +323,43 @@ def test_null_and_repeated_ids(spark):
     removed = [(r.id, r.n_removed) for r in op5_substring.dedup_substrings(df).collect()]
     assert sorted(removed, key=str) == [(7, 0), (7, 0), (None, 0), (None, 80), (None, 80)]
     assert {r.component_id for r in op1_jaccard.similar_components(df).where("id is not null").collect()} == {7}
+
+
+def test_null_ids_carry_links_and_come_last(spark):
+    base = " ".join(f"word{i}" for i in range(100))
+    w = base.split()
+    near = " ".join([*w[:2], "changed", *w[3:]])  # linked to base
+    far = " ".join([*w[:2], "changed", *w[3:90], "too", *w[91:]])  # to near
+    rows = [(1, base, None), (None, near, None), (3, far, None), (4, "other words", None)]
+    out = {r.id: r.component_id for r in op1_jaccard.similar_components(table(spark, rows)).collect() if r.id is not None}
+    assert out == {1: 1, 3: 1, 4: 4}
+    last = (1 << 63) - 1  # an id of its own, before a null one
+    both = op5_substring.dedup_substrings(table(spark, [(last, base, None), (None, base, None), (None, base, None)]))
+    assert sorted((r.id is None, r.n_removed) for r in both.collect()) == [(False, 0), (True, 100), (True, 100)]
+    text = "\n".join(w[:20])
+    both = op8_lines.dedup_lines(table(spark, [(last, text, None), (None, text, None)]))
+    assert sorted((r.id is None, r.n_removed) for r in both.collect()) == [(False, 0), (True, 20)]
+    both = op2_suffix_array.dedup_suffixes(table(spark, [(last, base, None), (None, base, None)]))
+    assert sorted((r.id is None, r.n_removed) for r in both.collect()) == [(False, 0), (True, len(base))]
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(6)
+    passage = " ".join("p%d" % rng.randrange(10**6) for _ in range(200))
+    long = " ".join("w%d" % rng.randrange(10**5) for _ in range(300_000)) + " " + passage  # over two pieces
+    rows = [(1, passage, None), (2, long, None)]
+    df = table(spark, rows)
+    assert got(op5_substring.dedup_substrings(df), "id", "n_removed")[2] == (200,)
+    assert got(op2_suffix_array.dedup_suffixes(df), "id", "n_removed")[2][0] >= len(passage)
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    assert got(op4_decontaminate.contaminated(df, bench), "id", "n_hit") == {1: (200,), 2: (200,)}
+    assert got(op1_jaccard.similar_components(df), "id", "component_id") == {1: (1,), 2: (2,)}
+
+
+def test_exact_share_of_a_sample():
+    from pyspark.sql import functions as F
+
+    from talegraph.llm.scratch import drawn
+
+    assert "true" in str(drawn(F.lit(1), 10, 10, 1))
+    assert str((20_000 << 64) // (4 * 10**10) - (1 << 63)) in str(drawn(F.lit(1), 20_000, 4 * 10**10, 1))

@@ -67,3 +67,18 @@ def test_near_duplicates_by_row(spark):
     assert sorted(r for r in left if r[0] is not None and r[1]) == [(1, text, "a"), (5, lone, "b")]
     assert [r[2] for r in left if r[0] is None and r[1]] in (["c"], ["d"])
     assert sorted(r[2] for r in left if not r[1]) == ["f", "g", "g"]
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, null and repeated ids, extra columns whose names clash: no crash, and all columns come back."""
+    columns = "doc_id long, text string, lang string, source string, n_chars long, id string, row string, doc string, carry_0 string"
+    spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(20)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rest = (None, None, None, "x", "y", "z", "c")
+    for rows in ([], [(None, None, *rest), (None, "", *rest), (7, "a b c", *rest), (7, "a b c", *rest), (7, "other text", *rest)]):
+        docs = spark.createDataFrame(rows, columns)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.count() <= len(rows)
+            if name != "mix":
+                assert out.columns == docs.columns
