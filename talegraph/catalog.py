@@ -143,3 +143,4 @@ def values_sql(rows: list[tuple], columns: str) -> str:
 RULES_SQL = values_sql([(r, s, x == "1", int(t)) for r, s, x, t in _rows(RULES)], "rule, severity, executable, tier")
 KINDS_SQL = values_sql([(k, layer, i == "1", d == "1") for k, layer, i, d in _rows(KINDS)], "kind, layer, internal, default_locked")
 RELS_SQL = values_sql([(r, g, h == "1", a == "1", int(m) if m else None, s, d) for r, g, h, a, m, s, d in _rows(RELATIONS)], "rel, grp, hard, acyclic, max_per_dst, src_kind, dst_kind")
+POLICIES_SQL = values_sql([(p, r, e, v, k, f, rel, None if h is None else h == "1", None if lk is None else lk == "1", val) for p, r, e, v, k, f, rel, h, lk, val in _rows(POLICIES)], "policy, risk, effect, verb, kind, field, rel, hard, locked, value")

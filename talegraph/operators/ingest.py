@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HEADING = rb"(?m)^(?:#{2,3} .*|\*\*\*[ \t]*)$"
+HEADING = r"^(?:#{2,3} (?s:.*)|\*\*\*[ \t]*)\z"
 
 
 def cut_bytes(content: Column, start: Column, end: Column) -> Column:
@@ -56,18 +53,13 @@ def segment_bounds(starts: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def scene_split(files: DataFrame) -> DataFrame:
-    """files (file, content binary) -> file, start_off, end_off: byte ranges that begin at headings of depth 2 and 3 and at *** lines."""
-    import re
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for name, content in zip(pdf["file"], pdf["content"], strict=True):
-                marks = {m.start() for m in re.finditer(HEADING, content or b"")} | ({0} if content else set())
-                rows += [(name, m) for m in sorted(marks)]
-            yield pd.DataFrame(rows, columns=["file", "start_off"])
-
-    starts = files.select("file", "content").mapInPandas(find, "file string, start_off long")
+    """files (file, content binary) -> file, start_off, end_off: byte ranges that begin at headings of depth 2 and 3 and at *** lines.
+
+    Bytes are read as one character each, so places in a line are bytes whatever the text holds."""
+    lines = files.where(F.octet_length("content") > 0).select("file", F.posexplode(F.split(F.decode("content", "ISO-8859-1"), "\n")).alias("i", "line"))
+    before = Window.partitionBy("file").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lines.withColumn("start_off", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("long"))
+    starts = starts.where((F.col("i") == 0) | F.col("line").rlike(HEADING)).select("file", "start_off")
     return segment_bounds(starts, files.select("file", F.octet_length("content").cast("long").alias("size")))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import KINDS_SQL, RELS_SQL, RULES_SQL, kind_dim, rel_dim, rule_dim
+from ..catalog import KINDS_SQL, POLICIES_SQL, RELS_SQL, RULES_SQL, kind_dim, rel_dim, rule_dim
 from ..functions.columns import prop
 from ..operators import apply, cascade, editlog, ingest, projections, reads, rules, search, traverse
 from ..streaming import leases
@@ -229,7 +229,11 @@ def _(spark, sf):
     return traverse.would_cycle(g, e.select(F.concat_ws(">", "dst", "src").alias("run"), F.col("dst").alias("src"), F.col("src").alias("dst"), "rel"))
 
 
-@query("acyclic_check")
+@query(
+    "acyclic_check",
+    """WITH RECURSIVE step AS (SELECT DISTINCT rel, src, dst FROM live_edge WHERE rel IN ('contains', 'extends', 'causes')), far(rel, a, b) AS (SELECT rel, src, dst FROM step UNION SELECT far.rel, far.a, step.dst FROM far JOIN step ON step.rel = far.rel AND step.src = far.b)
+    SELECT rel, count(DISTINCT b) AS stuck_nodes FROM far WHERE (rel, a) IN (SELECT (rel, a) FROM far WHERE a = b) GROUP BY rel""",
+)
 def _(spark, sf):
     return traverse.acyclic_check(graph(spark, sf), rel_dim(spark))
 
@@ -430,12 +434,12 @@ def _(spark, sf):
 
 # --- retrieval --------------------------------------------------------------------------------------
 DOCS = "SELECT doc_id AS id, text AS body FROM @documents"
-BENCH_WORDS = "SELECT item_id AS q, substring_index(text, ' ', 3) AS text FROM @benchmark"
+BENCH_WORDS = "SELECT item_id AS q, text FROM @benchmark"
 
 
 @query(
     "find_lexical",
-    r"""WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ts FROM documents), q AS (SELECT item_id AS q, unnest(list_distinct(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:3], ' ')), '[\p{L}\p{N}]+'))) AS term FROM benchmark),
+    r"""WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ts FROM documents), q AS (SELECT item_id AS q, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS term FROM benchmark),
     need AS (SELECT q, count(*) AS need FROM q GROUP BY q), st AS (SELECT count(*) AS n, avg(len(ts)) AS av FROM d), p AS (SELECT id, len(ts) AS l, unnest(ts) AS term FROM d), tf AS (SELECT id, l, term, CAST(count(*) AS DOUBLE) AS f FROM p WHERE term IN (SELECT term FROM q) GROUP BY id, l, term),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), s AS (SELECT q.q, tf.id, sum(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 0.000001::DOUBLE) * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / av))) AS score, count(*) AS got FROM q JOIN tf ON tf.term = q.term JOIN df ON df.term = q.term CROSS JOIN st GROUP BY q.q, tf.id)
     SELECT q, id, score, CAST(rank AS INT) AS rank FROM (SELECT s.q, s.id, round(s.score, 6) AS score, row_number() OVER (PARTITION BY s.q ORDER BY round(s.score, 6) DESC, s.id) AS rank FROM s JOIN need ON need.q = s.q WHERE got = need) z WHERE rank <= 20""",
@@ -444,12 +448,12 @@ def _(spark, sf):
     return search.find_lexical(source(spark, sf, DOCS), source(spark, sf, BENCH_WORDS))
 
 
-NAMES = "SELECT DISTINCT p_brand AS q, substring_index(p_name, ' ', 1) AS text FROM @part"
+NAMES = "SELECT DISTINCT p_name AS q, p_name AS text FROM @part"
 
 
 @query(
     "find_name_match",
-    """WITH names AS (SELECT id, lower(title) AS name FROM live_node UNION ALL SELECT id, lower(regexp_extract(id, '[^/]*$')) FROM live_node UNION ALL SELECT node, lower(alias) FROM node_alias WHERE node IN (SELECT id FROM live_node)), asked AS (SELECT DISTINCT p_brand AS q, lower(split_part(p_name, ' ', 1)) AS t FROM part)
+    """WITH names AS (SELECT id, lower(title) AS name FROM live_node UNION ALL SELECT id, lower(regexp_extract(id, '[^/]*$')) FROM live_node UNION ALL SELECT node, lower(alias) FROM node_alias WHERE node IN (SELECT id FROM live_node)), asked AS (SELECT DISTINCT p_name AS q, lower(trim(p_name)) AS t FROM part)
     SELECT q, id, CAST(max(CASE WHEN name = t THEN 100 ELSE 50 END) AS INT) AS score FROM names JOIN asked ON contains(name, t) GROUP BY q, id""",
 )
 def _(spark, sf):
@@ -535,7 +539,16 @@ def _(spark, sf):
     return editlog.detect_conflicts(read_set(spark, sf), ops(spark, sf), source(spark, sf, CURRENT), source(spark, sf, CHANGES))
 
 
-@query("risk_assess")
+@query(
+    "risk_assess",
+    f"""WITH p AS ({POLICIES_SQL}), rl AS ({RELS_SQL}), o AS (SELECT o.proposal, o.verb, o.field, coalesce(n.kind, upper(substr(o.target, 1, 1)) || lower(substr(split_part(o.target, '/', 1), 2))) AS kind, coalesce(n.locked, false) AS locked, rl.hard, CASE WHEN verb = 'UPDATE' AND json_extract_string(n.props, '$.' || regexp_replace(o.field, '^props\\.', '')) IS NOT NULL THEN 'set' ELSE 'null' END AS state FROM ops o LEFT JOIN live_node n ON n.id = o.target LEFT JOIN rl ON rl.rel = o.field),
+    h AS (SELECT o.proposal, coalesce(p.policy, lower(o.verb) || '-default') AS reason, CASE p.risk WHEN 'auto' THEN 0 WHEN 'always' THEN 2 ELSE 1 END AS grade, coalesce(p.effect = 'forbid', false) AS no FROM o LEFT JOIN p ON (p.verb IS NULL OR list_contains(string_split(p.verb, '|'), o.verb)) AND coalesce(p.kind = o.kind, p.kind IS NULL) AND (p.field IS NULL OR p.field = o.field)
+      AND (p.rel IS NULL OR (o.verb IN ('LINK', 'UNLINK') AND p.rel = o.field)) AND (p.hard IS NULL OR p.hard = o.hard) AND (p.locked IS NULL OR p.locked = o.locked) AND (p.value IS NULL OR p.value = o.state)),
+    t AS (SELECT proposal, node FROM (SELECT proposal, target AS node FROM ops UNION SELECT proposal, to_val FROM ops WHERE verb IN ('LINK', 'UNLINK')) q WHERE node IS NOT NULL), w AS (SELECT proposal, count(*) AS n FROM t GROUP BY proposal),
+    r AS (SELECT proposal, reason, grade, no FROM h UNION ALL SELECT proposal, CASE WHEN n >= 40 THEN 'cascade-40-plus' ELSE 'cascade-3-plus' END, CASE WHEN n >= 40 THEN 2 ELSE 1 END, false FROM w WHERE n >= 3)
+    SELECT proposal, ['auto', 'review', 'always'][max(grade) + 1] AS risk, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons, count(*) FILTER (WHERE no) AS forbidden FROM r GROUP BY proposal""",
+    **LOG,
+)
 def _(spark, sf):
     return editlog.risk_assess(graph(spark, sf), ops(spark, sf), rel_dim(spark)).withColumn("reasons", F.array_join("reasons", ","))
 
@@ -725,7 +738,12 @@ def _(spark, sf):
 FILES = "SELECT 'doc-' || CAST(doc_id AS STRING) AS file, encode(text, 'UTF-8') AS content FROM @documents"
 
 
-@query("scene_split")
+@query(
+    "scene_split",
+    r"""WITH t AS (SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS file, string_split(text, chr(10)) AS ls, octet_length(encode(text)) AS size FROM documents WHERE text <> ''), l AS (SELECT file, size, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM t),
+    o AS (SELECT file, size, i, line, coalesce(sum(octet_length(encode(line)) + 1) OVER (PARTITION BY file ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_off FROM l), c AS (SELECT * FROM o WHERE i = 0 OR regexp_full_match(line, '(?s)#{2,3} .*|\*\*\*[ \t]*'))
+    SELECT file, start_off, coalesce(lead(start_off) OVER (PARTITION BY file ORDER BY start_off), size)::BIGINT AS end_off FROM c""",
+)
 def _(spark, sf):
     return ingest.scene_split(source(spark, sf, FILES))
 
@@ -735,10 +753,18 @@ def _(spark, sf):
     return ingest.read_span_bytes(source(spark, sf, FILES), graph(spark, sf).evidence)
 
 
-@query("span_validate")
+# spans of 64 bytes over whole texts, each quoting as many characters from its start
+_SPANS = "SELECT 'fact/e' || CAST(doc_id AS STRING) AS node, 'doc-' || CAST(doc_id AS STRING) AS file, CAST(n * 64 AS INT) AS start_off, CAST(n * 64 + 64 AS INT) AS end_off, substr(text, CAST(n * 64 + 1 AS INT), 64) AS quote FROM {}"
+
+
+@query(
+    "span_validate",
+    f"WITH t AS (SELECT doc_id, text, unnest(range(length(text) // 64 + 1)) AS n FROM documents), sp AS ({_SPANS.format('t')}), b AS (SELECT sp.*, d.text IS NULL AS gone, octet_length(encode(d.text)) AS size, array_slice(encode(d.text), start_off + 1, end_off) AS got FROM sp LEFT JOIN documents d ON 'doc-' || CAST(d.doc_id AS VARCHAR) = sp.file)"
+    " SELECT node, start_off, CASE WHEN gone THEN 'file is missing' WHEN end_off > size THEN 'outside the file' WHEN TRY(decode(got)) IS NULL THEN 'splits a character' WHEN got <> encode(quote) THEN 'quote differs' END AS problem FROM b",
+)
 def _(spark, sf):
-    spans = source(spark, sf, "SELECT 'fact/e' || CAST(doc_id AS STRING) AS node, 'doc-' || CAST(doc_id AS STRING) AS file, CAST(doc_id % 7 AS INT) AS start_off, CAST(doc_id % 7 + 12 AS INT) AS end_off, substr(text, CAST(doc_id % 7 AS INT) + 1, 12) AS quote FROM @documents")
-    return ingest.span_validate(source(spark, sf, FILES), spans)
+    pieces = "(SELECT doc_id, text, explode(sequence(0, CAST(floor(length(text) / 64) AS INT))) AS n FROM @documents) t"
+    return ingest.span_validate(source(spark, sf, FILES), source(spark, sf, _SPANS.format(pieces)))
 
 
 PARTS = "SELECT 'o' || CAST(l_orderkey AS STRING) AS file, CAST((sum(l_quantity) OVER w) - l_quantity + CASE WHEN l_orderkey % 10 = 0 THEN 1 ELSE 0 END AS BIGINT) AS start_off, CAST((sum(l_quantity) OVER w) AS BIGINT) AS end_off FROM @lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -855,7 +881,11 @@ def _(spark, sf):
     return n.select("proposal", projections.proposal_state().alias("state"))
 
 
-@query("proposal_impact")
+@query(
+    "proposal_impact",
+    """WITH RECURSIVE w(run, id, depth) AS (SELECT DISTINCT proposal, target, 0 FROM ops WHERE verb <> 'ADD' UNION SELECT w.run, e.src, w.depth + 1 FROM w JOIN live_edge e ON e.dst = w.id WHERE e.hard AND w.depth < 2) SELECT run, count(DISTINCT id) AS affected FROM w WHERE id IN (SELECT id FROM live_node) GROUP BY run""",
+    **LOG,
+)
 def _(spark, sf):
     asked = ops(spark, sf).where("verb != 'ADD'").select(F.col("proposal").alias("run"), F.col("target").alias("id")).distinct()
     return traverse.impact(graph(spark, sf), asked, 2).select("run", "affected")
@@ -901,7 +931,12 @@ def _(spark, sf):
     return reads.history(r.select("node", "rev", "tx_from")).select("node", "rev", "derived_from")
 
 
-@query("lease_conflicts")
+@query(
+    "lease_conflicts",
+    """WITH l AS (SELECT *, row_number() OVER (PARTITION BY session, scope ORDER BY ts DESC) AS n FROM leases WHERE ts <= TIMESTAMP '2024-01-20 00:00:00'), h AS (SELECT session, scope, regexp_replace(scope, '\\.\\*$', '') AS base, scope LIKE '%.*' AS wild FROM l WHERE n = 1 AND action <> 'release' AND date_trunc('second', ts) + to_seconds(ttl) > TIMESTAMP '2024-01-20 00:00:00')
+    SELECT a.session AS "left", b.session AS "right", a.scope AS left_scope, b.scope AS right_scope FROM h a JOIN h b ON a.session < b.session AND (a.base = b.base OR (a.wild AND (starts_with(b.base, a.base || '.') OR starts_with(b.base, a.base || '/'))) OR (b.wild AND (starts_with(a.base, b.base || '.') OR starts_with(a.base, b.base || '/'))))""",
+    leases=LEASES,
+)
 def _(spark, sf):
     held = leases.lease_state(source(spark, sf, LEASES), F.lit("2024-01-20 00:00:00").cast("timestamp"))
     return leases.lease_conflicts(held)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.editlog import ops_idempotency
 
@@ -31,7 +32,7 @@ def scope_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def lease_state(actions: DataFrame, now) -> DataFrame:
     """actions (session, scope, action, ttl, ts) -> session, scope, expires_at: leases held at a time, by the last action of each key."""
-    last = F.row_number().over(Window.partitionBy("session", "scope").orderBy(F.desc("ts")))
+    last = F.row_number().over(Window.partitionBy("session", "scope").orderBy(F.desc("ts"), F.desc("action"), F.desc("ttl")))
     held = actions.where(F.col("ts") <= now).withColumn("n", last).where("n = 1 and action != 'release'")
     held = held.withColumn("expires_at", F.timestamp_seconds(F.unix_seconds(F.col("ts").cast("timestamp")) + F.least(F.greatest("ttl", F.lit(1)), F.lit(86400))))
     return held.where(F.col("expires_at") > now).select("session", "scope", "expires_at")
@@ -44,14 +45,23 @@ def lease_conflicts(leases: DataFrame) -> DataFrame:
     return scope_overlap(a, b).where("a.session < b.session").select(F.col("a.session").alias("left"), F.col("b.session").alias("right"), F.col("a.scope").alias("left_scope"), F.col("b.scope").alias("right_scope"))
 
 
-def op_stream(ops: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def op_stream(ops: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, keys: str) -> StreamingQuery:
     """A stream of operations -> micro-batches of proposals whose keys are used for the first time, given to ``apply``.
 
-    Exactly-once rests on the checkpoint and on apply being idempotent by batch number."""
+    keys: a shared folder that holds the operations of all accepted proposals, a part for each batch; a
+    key stays used for ever.  A batch that is run again overwrites its own part and does not count it as
+    earlier, so it comes out the same; exactly-once then rests on apply being idempotent by number."""
+    schema = StructType([*ops.schema.fields, StructField("batch", LongType())])
 
     def one(batch: DataFrame, number: int) -> None:
-        fresh = ops_idempotency(batch).where("status = 'first'").select("proposal")
-        apply(batch.join(fresh, "proposal", "left_semi"), number)
+        spark = batch.sparkSession
+        spark.createDataFrame([], ops.schema).write.mode("append").parquet(f"{keys}/batch=-1")  # the folder is there from the first batch on
+        earlier = spark.read.schema(schema).parquet(keys).where(F.col("batch") < number).drop("batch")
+        used = earlier.join(batch.select("idem_key").distinct(), "idem_key", "left_semi").withColumn("ts", F.lit("0001-01-02 00:00:00").cast("timestamp"))
+        fresh = ops_idempotency(batch.unionByName(used.select(*batch.columns))).where("status = 'first'").select("proposal")
+        mine = batch.join(fresh, "proposal", "left_semi").join(earlier.select("proposal").distinct(), "proposal", "left_anti").select(*batch.columns)
+        mine.write.mode("overwrite").parquet(f"{keys}/batch={number}")
+        apply(spark.read.schema(ops.schema).parquet(f"{keys}/batch={number}"), number)
 
     return ops.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
