@@ -56,3 +56,19 @@ def token_estimate(*texts: Column) -> Column:
     for t in texts:
         total = total + F.length(F.coalesce(t, F.lit("")))
     return F.greatest(F.lit(1), F.floor(total / 4).cast("long"))
+
+
+def field_value(path: str, props: str = "props") -> Column:
+    """The value, as text, of the field that a column names: title, summary or props.*."""
+    of_props = F.try_variant_get(F.try_parse_json(F.col(props)), F.concat(F.lit("$."), F.regexp_replace(F.col(path), r"^props\.", "")), "string")
+    return F.when(F.col(path) == "title", F.col("title")).when(F.col(path) == "summary", F.col("summary")).when(F.col(path).startswith("props."), of_props)
+
+
+# Latin letters with diacritics, and without
+MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįıĵķĺļľłńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
+PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccddeeeeegggghhiiiiijkllllnnnooorrrssssttuuuuuuwyzzz"
+
+
+def folded(text: Column) -> Column:
+    """Lower case without diacritics of Latin letters, so an accented and a plain spelling are one term."""
+    return F.translate(F.lower(text), MARKED, PLAIN)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import field_value
 from ..model import Graph, cut
+from .traverse import cycle_pairs, reach
 
 
 def read_index(proposals: DataFrame) -> DataFrame:
@@ -94,3 +96,69 @@ def job_staleness(jobs: DataFrame, current: DataFrame) -> DataFrame:
     asked = jobs.select("job", F.explode(F.array_append("sources", F.struct(F.col("target").alias("node"), F.col("target_rev").alias("rev")))).alias("x")).select("job", "x.node", "x.rev")
     met = asked.join(now, "node", "left")
     return met.groupBy("job").agg(F.bool_or(F.col("now").isNull() | (F.col("now") != F.col("rev"))).alias("stale"))
+
+
+def propagate_cycles(items: DataFrame, deps: DataFrame) -> DataFrame:
+    """items (run, node), deps (source, target) -> run, node: nodes on a cycle of the edges inside their run.
+
+    The nodes of all runs are told apart by run, so one peeling and closure serves them all."""
+    nodes = items.select("run", "node").distinct()
+    inner = nodes.withColumnRenamed("node", "source").join(deps.select("source", "target").distinct(), "source")
+    inner = inner.join(nodes.withColumnRenamed("node", "target"), ["run", "target"])
+    own = [F.struct("run", F.col(c).alias("node")).alias(e) for c, e in (("source", "src"), ("target", "dst"))]
+    return cycle_pairs(inner.select(*own)).select("id.run", "id.node").distinct()
+
+
+def run_iteration(proposals: DataFrame) -> DataFrame:
+    """proposals (proposal, trigger) -> proposal, iteration: how many proposals of a cascade lie before it, itself included; safe on cycles."""
+    back = proposals.where("trigger is not null").select(F.col("proposal").alias("src"), F.col("trigger").alias("dst"))
+    start = proposals.select(F.col("proposal").alias("run"), F.col("proposal").alias("id")).distinct()
+    return reach(back, start).groupBy(F.col("run").alias("proposal")).agg((F.max("depth") + 1).alias("iteration"))
+
+
+def derive_candidates(g: Graph, contracts: DataFrame, parents: DataFrame, dirty: DataFrame) -> DataFrame:
+    """contracts (target, source, source_field, target_field), parents (source, target), dirty (node) -> target, field, to_val, idem_key.
+
+    A copy is proposed where the source is a traversed parent, not dirty itself, and holds another value
+    than the target; contracts that disagree on one field of a target propose nothing."""
+    node = g.live_node.select("id", "title", "summary", "props")
+    of_source = contracts.join(parents.select("source", "target").distinct(), ["source", "target"], "left_semi")
+    of_source = of_source.join(node.withColumnRenamed("id", "source"), "source").withColumn("value", field_value("source_field")).drop("title", "summary", "props")
+    agreed = of_source.groupBy("target", "target_field").agg(F.countDistinct("value").alias("n"), F.max("value").alias("to_val"), F.count_if(F.col("value").isNull()).alias("blank")).where("n = 1 and blank = 0")
+    waiting = parents.join(dirty.select(F.col("node").alias("source")).distinct(), "source", "left_semi").select("target").distinct()
+    now = agreed.join(waiting, "target", "left_anti").join(node.withColumnRenamed("id", "target"), "target").withColumn("now", field_value("target_field"))
+    key = F.sha2(F.concat_ws("|", F.lit("derive"), "target", "target_field", "to_val"), 256)
+    return now.where(~F.col("now").eqNullSafe(F.col("to_val"))).select("target", F.col("target_field").alias("field"), "to_val", key.alias("idem_key"))
+
+
+def rederive_jobs(contracts: DataFrame, items: DataFrame, parents: DataFrame, human: DataFrame, deepest: int = 2, budget: int = 20_000) -> DataFrame:
+    """contracts (target, sources, target_field, max_tokens), items (run, node, depth), parents (source, target), human (node, rev)
+    -> run, target, field, status: 'queued', or why not.  Tokens are reserved in the order of depth and target, by run."""
+    linked = parents.groupBy("target").agg(F.collect_set("source").alias("linked"))
+    j = contracts.join(items.withColumnRenamed("node", "target"), "target").join(linked, "target", "left").join(human.select(F.col("node").alias("target"), "rev"), "target", "left")
+    reason = (
+        F.when(F.col("depth") > deepest, "too deep").when(F.col("rev").isNull(), "no human revision")
+        .when(F.size(F.array_except("sources", F.coalesce("linked", F.array().cast("array<string>")))) > 0, "source is no parent")
+    )
+    j = j.withColumn("reason", reason)
+    order = Window.partitionBy("run").orderBy("depth", "target", "target_field").rowsBetween(Window.unboundedPreceding, 0)
+    reserved = F.sum(F.when(F.col("reason").isNull(), F.col("max_tokens")).otherwise(0)).over(order)
+    j = j.withColumn("reserved", reserved)
+    status = F.coalesce("reason", F.when(F.col("reserved") > budget, "over budget"), F.lit("queued"))
+    return j.select("run", "target", F.col("target_field").alias("field"), status.alias("status"))
+
+
+def cascade_audit(items: DataFrame, jobs: DataFrame) -> DataFrame:
+    """items (run, node, status), jobs (run, target, status) -> run, nodes, dirty, blocked, jobs, queued: what a run's record says."""
+    of_items = items.groupBy("run").agg(F.count("*").alias("nodes"), F.count_if(F.col("status") == "dirty").alias("dirty"), F.count_if(F.col("status") == "blocked").alias("blocked"))
+    of_jobs = jobs.groupBy("run").agg(F.count("*").alias("jobs"), F.count_if(F.col("status") == "queued").alias("queued"))
+    both = of_items.join(of_jobs, "run", "left")
+    return both.select("run", "nodes", "dirty", "blocked", F.coalesce("jobs", F.lit(0)).alias("jobs"), F.coalesce("queued", F.lit(0)).alias("queued"))
+
+
+def job_recover(jobs: DataFrame, ops: DataFrame) -> DataFrame:
+    """jobs (job, target, field, basis_rev) -> job, proposal: the first proposal of one operation alone that already does what the job asks."""
+    single = ops.withColumn("n", F.count("*").over(Window.partitionBy("proposal"))).where("n = 1 and verb = 'UPDATE'")
+    met = jobs.join(single.select("proposal", "target", "field", "basis_rev", "ts"), ["target", "field", "basis_rev"])
+    first = F.row_number().over(Window.partitionBy("job").orderBy("ts", "proposal"))
+    return met.withColumn("n", first).where("n = 1").select("job", "proposal")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import begun, revealed, suffix
 from ..model import Graph
+from .ingest import read_span_bytes
 
 
 def as_of_node(g: Graph, as_of: int | None) -> DataFrame:
@@ -126,3 +127,11 @@ def history(versions: DataFrame, most: int = 50) -> DataFrame:
     out = versions.withColumn("derived_from", F.lag("rev").over(by)).withColumn("tx_to", F.lead("tx_from").over(by))
     newest = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("rev")))
     return out.withColumn("n", newest).where(F.col("n") <= most).drop("n")
+
+
+def get_body(g: Graph, asked: DataFrame, files: DataFrame, as_of: int | None = None) -> DataFrame:
+    """asked (pos, id), files (file, content) -> pos, id, title, body, hidden: span text of each node; one that is not yet revealed has none."""
+    bodies = read_span_bytes(files, g.evidence.join(asked.select(F.col("id").alias("node")).distinct(), "node", "left_semi")).withColumnRenamed("node", "id")
+    out = asked.join(g.live_node.select("id", "title", "reveal_at"), "id").join(bodies, "id", "left")
+    shown = revealed(as_of)
+    return out.select("pos", "id", "title", F.when(shown, F.col("body")).alias("body"), (~shown).alias("hidden"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import KINDS_SQL, POLICIES_SQL, RELS_SQL, RULES_SQL, kind_dim, rel_dim, rule_dim
-from ..functions.columns import prop
+from ..functions.columns import MARKED, PLAIN, prop
 from ..operators import apply, cascade, editlog, ingest, projections, reads, rules, search, traverse
 from ..streaming import leases
 from .retail import checked, graph, source
@@ -439,10 +439,10 @@ BENCH_WORDS = "SELECT item_id AS q, text FROM @benchmark"
 
 @query(
     "find_lexical",
-    r"""WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ts FROM documents), q AS (SELECT item_id AS q, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS term FROM benchmark),
+    r"""WITH d AS (SELECT doc_id AS id, regexp_extract_all(FOLDED, '[\p{L}\p{N}]+') AS ts FROM documents), q AS (SELECT item_id AS q, unnest(list_distinct(regexp_extract_all(FOLDED, '[\p{L}\p{N}]+'))) AS term FROM benchmark),
     need AS (SELECT q, count(*) AS need FROM q GROUP BY q), st AS (SELECT count(*) AS n, avg(len(ts)) AS av FROM d), p AS (SELECT id, len(ts) AS l, unnest(ts) AS term FROM d), tf AS (SELECT id, l, term, CAST(count(*) AS DOUBLE) AS f FROM p WHERE term IN (SELECT term FROM q) GROUP BY id, l, term),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), s AS (SELECT q.q, tf.id, sum(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 0.000001::DOUBLE) * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / av))) AS score, count(*) AS got FROM q JOIN tf ON tf.term = q.term JOIN df ON df.term = q.term CROSS JOIN st GROUP BY q.q, tf.id)
-    SELECT q, id, score, CAST(rank AS INT) AS rank FROM (SELECT s.q, s.id, round(s.score, 6) AS score, row_number() OVER (PARTITION BY s.q ORDER BY round(s.score, 6) DESC, s.id) AS rank FROM s JOIN need ON need.q = s.q WHERE got = need) z WHERE rank <= 20""",
+    SELECT q, id, score, CAST(rank AS INT) AS rank FROM (SELECT s.q, s.id, round(s.score, 6) AS score, row_number() OVER (PARTITION BY s.q ORDER BY round(s.score, 6) DESC, s.id) AS rank FROM s JOIN need ON need.q = s.q WHERE got = need) z WHERE rank <= 20""".replace("FOLDED", f"translate(lower(text), '{MARKED}', '{PLAIN}')"),
 )
 def _(spark, sf):
     return search.find_lexical(source(spark, sf, DOCS), source(spark, sf, BENCH_WORDS))
@@ -734,6 +734,91 @@ def _(spark, sf):
     return cascade.job_finish_rollup(source(spark, sf, JOBS))
 
 
+CAUSED = "SELECT 'run-' || CAST(o_custkey AS STRING) AS run, 'scene/o' || CAST(o_orderkey AS STRING) AS node, CAST(o_orderkey % 4 AS INT) AS depth, CASE WHEN o_orderkey % 6 = 0 THEN 'blocked' ELSE 'dirty' END AS status FROM @orders"
+
+
+@query(
+    "propagate_cycles",
+    """WITH RECURSIVE step AS (SELECT DISTINCT a.run, e.src, e.dst FROM live_edge e JOIN caused a ON a.node = e.src JOIN caused b ON b.node = e.dst AND b.run = a.run WHERE e.rel = 'causes'), far(run, a, b) AS (SELECT * FROM step UNION SELECT far.run, far.a, step.dst FROM far JOIN step ON step.run = far.run AND step.src = far.b)
+    SELECT run, a AS node FROM far WHERE a = b""",
+    caused=CAUSED,
+)
+def _(spark, sf):
+    deps = graph(spark, sf).live_edge.where("rel = 'causes'").select(F.col("src").alias("source"), F.col("dst").alias("target"))
+    return cascade.propagate_cycles(source(spark, sf, CAUSED), deps)
+
+
+TRIGGERED = "SELECT 'o' || CAST(o_orderkey AS STRING) AS proposal, 'o' || CAST(lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS STRING) AS \"trigger\" FROM @orders"
+
+
+@query("run_iteration", "SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS proposal, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS iteration FROM orders")
+def _(spark, sf):
+    return cascade.run_iteration(source(spark, sf, TRIGGERED.replace('"', "`")))
+
+
+# scenes copy a property of who is present; some have a second contract that may disagree
+COPIES = (
+    "SELECT 'scene/o' || CAST(o_orderkey AS STRING) AS target, 'character/c' || CAST(o_custkey AS STRING) AS source, 'props.segment' AS source_field, 'props.priority' AS target_field FROM @orders"
+    " UNION ALL SELECT 'scene/o' || CAST(o_orderkey AS STRING), 'location/n' || CAST(o_orderkey % 25 AS STRING), 'title', CASE WHEN o_orderkey % 2 = 0 THEN 'props.priority' ELSE 'summary' END FROM @orders WHERE o_orderkey % 3 = 0"
+)
+_PARENTS = "SELECT dst AS source, src AS target FROM live_edge WHERE rel IN ('present_at', 'occurs_at')"
+_DIRTY = "SELECT id AS node FROM live_node WHERE kind = 'Character' AND id LIKE '%3'"
+_VALUE = "CASE {f} WHEN 'title' THEN {n}.title WHEN 'summary' THEN {n}.summary ELSE json_extract_string({n}.props, '$.' || substr({f}, 7)) END"
+
+
+def _parents(g):
+    return g.live_edge.where("rel in ('present_at', 'occurs_at')").select(F.col("dst").alias("source"), F.col("src").alias("target"))
+
+
+@query(
+    "derive_candidates",
+    f"""WITH par AS ({_PARENTS}), v AS (SELECT c.target, c.target_field, {_VALUE.format(f="c.source_field", n="n")} AS value FROM copies c JOIN live_node n ON n.id = c.source WHERE (c.source, c.target) IN (SELECT (source, target) FROM par)),
+    one AS (SELECT target, target_field, max(value) AS to_val FROM v GROUP BY target, target_field HAVING count(DISTINCT value) = 1 AND count(*) = count(value)), late AS (SELECT target FROM par WHERE source IN ({_DIRTY}))
+    SELECT target, target_field AS field, to_val, sha256('derive|' || target || '|' || target_field || '|' || to_val) AS idem_key FROM one JOIN live_node t ON t.id = one.target WHERE target NOT IN (SELECT target FROM late) AND {_VALUE.format(f="one.target_field", n="t")} IS DISTINCT FROM to_val""",
+    copies=COPIES,
+)
+def _(spark, sf):
+    g = graph(spark, sf)
+    return cascade.derive_candidates(g, source(spark, sf, COPIES), _parents(g), g.live_node.where("kind = 'Character' and id like '%3'").select(F.col("id").alias("node")))
+
+
+ASKS = "SELECT 'scene/o' || CAST(o_orderkey AS STRING) AS target, 'character/c' || CAST(CASE WHEN o_orderkey % 10 = 0 THEN o_custkey + 1 ELSE o_custkey END AS STRING) AS source, 'summary' AS target_field, CAST(500 + o_orderkey % 4000 AS INT) AS max_tokens FROM @orders"
+HUMAN = "SELECT 'scene/o' || CAST(o_orderkey AS STRING) AS node, CAST(1 AS INT) AS rev FROM @orders WHERE o_orderkey % 7 <> 0"
+_JOBS_SQL = f"""par AS ({_PARENTS}), why AS (SELECT i.run, a.target, i.depth, a.target_field, a.max_tokens, CASE WHEN i.depth > 2 THEN 'too deep' WHEN a.target NOT IN (SELECT node FROM human) THEN 'no human revision' WHEN (a.source, a.target) NOT IN (SELECT (source, target) FROM par) THEN 'source is no parent' END AS reason FROM asks a JOIN caused i ON i.node = a.target),
+    told AS (SELECT run, target, target_field AS field, coalesce(reason, CASE WHEN sum(CASE WHEN reason IS NULL THEN max_tokens ELSE 0 END) OVER (PARTITION BY run ORDER BY depth, target ROWS UNBOUNDED PRECEDING) > 20000 THEN 'over budget' ELSE 'queued' END) AS status FROM why)"""
+
+
+def _jobs(spark, sf):
+    asks = source(spark, sf, ASKS).withColumn("sources", F.array("source")).drop("source")
+    return cascade.rederive_jobs(asks, source(spark, sf, CAUSED), _parents(graph(spark, sf)), source(spark, sf, HUMAN))
+
+
+@query("rederive_jobs", f"WITH {_JOBS_SQL} SELECT run, target, field, status FROM told", asks=ASKS, human=HUMAN, caused=CAUSED)
+def _(spark, sf):
+    return _jobs(spark, sf)
+
+
+@query(
+    "cascade_audit",
+    f"WITH {_JOBS_SQL}, x AS (SELECT run, count(*) AS nodes, count(*) FILTER (WHERE status = 'dirty') AS dirty, count(*) FILTER (WHERE status = 'blocked') AS blocked FROM caused GROUP BY run), y AS (SELECT run, count(*) AS jobs, count(*) FILTER (WHERE status = 'queued') AS queued FROM told GROUP BY run) SELECT x.*, coalesce(jobs, 0) AS jobs, coalesce(queued, 0) AS queued FROM x LEFT JOIN y USING (run)",
+    asks=ASKS, human=HUMAN, caused=CAUSED,
+)
+def _(spark, sf):
+    return cascade.cascade_audit(source(spark, sf, CAUSED), _jobs(spark, sf))
+
+
+LOST = "SELECT DISTINCT 'job-' || CAST(user_id AS STRING) || '-' || CAST(event_id % 4 AS STRING) AS job, 'character/c' || CAST(user_id AS STRING) AS target, 'props.f' || CAST(event_id % 4 AS STRING) AS field, CAST(1 + event_id % 2 AS INT) AS basis_rev FROM @events"
+
+
+@query(
+    "job_recover",
+    "WITH s AS (SELECT * FROM ops QUALIFY count(*) OVER (PARTITION BY proposal) = 1) SELECT j.job, arg_min(s.proposal, (s.ts, s.proposal)) AS proposal FROM lost j JOIN s ON s.verb = 'UPDATE' AND s.target = j.target AND s.field = j.field AND s.basis_rev = j.basis_rev GROUP BY j.job",
+    **LOG, lost=LOST,
+)
+def _(spark, sf):
+    return cascade.job_recover(source(spark, sf, LOST), ops(spark, sf))
+
+
 # --- ingest ------------------------------------------------------------------------------------------
 FILES = "SELECT 'doc-' || CAST(doc_id AS STRING) AS file, encode(text, 'UTF-8') AS content FROM @documents"
 
@@ -753,6 +838,14 @@ def _(spark, sf):
     return ingest.read_span_bytes(source(spark, sf, FILES), graph(spark, sf).evidence)
 
 
+BODIES_ASKED = "SELECT CAST(event_id AS BIGINT) AS pos, 'fact/e' || CAST(event_id AS STRING) AS id FROM @events"
+
+
+@query("get_body")
+def _(spark, sf):
+    return reads.get_body(graph(spark, sf), source(spark, sf, BODIES_ASKED), source(spark, sf, FILES), 15)
+
+
 # spans of 64 bytes over whole texts, each quoting as many characters from its start
 _SPANS = "SELECT 'fact/e' || CAST(doc_id AS STRING) AS node, 'doc-' || CAST(doc_id AS STRING) AS file, CAST(n * 64 AS INT) AS start_off, CAST(n * 64 + 64 AS INT) AS end_off, substr(text, CAST(n * 64 + 1 AS INT), 64) AS quote FROM {}"
 

@@ -73,7 +73,7 @@ EDGE_SQL = " UNION ALL ".join([
     _edge("requires_trigger", _PROMISE, _SCENE, "(SELECT DISTINCT l_orderkey, l_partkey FROM @lineitem WHERE l_returnflag = 'R' AND l_linenumber = 2) q"),
     _edge("pays_off", _SCENE, _PROMISE, "(SELECT DISTINCT l_orderkey, l_partkey FROM @lineitem WHERE l_returnflag = 'A' AND l_linenumber = 3) q"),
     _edge("causes", "'scene/o' || CAST(a AS STRING)", "'scene/o' || CAST(b AS STRING)", _NEXT),
-    _edge("owns", "'faction/s' || CAST(s AS STRING)", "'object/p' || CAST(p AS STRING)", "(SELECT l_suppkey AS s, min(l_partkey) AS p FROM @lineitem GROUP BY l_suppkey) q"),
+    _edge("owns", "'faction/s' || CAST(s AS STRING)", "'object/p' || CAST(p AS STRING)", "(SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM @lineitem WHERE l_linenumber = 4) q"),
     _edge("performs", "'faction/s' || CAST(l_suppkey AS STRING)", _SCENE, "(SELECT DISTINCT l_suppkey, l_orderkey FROM @lineitem WHERE l_linenumber = 1 AND l_quantity >= 49) q"),
     _edge("causes", "'scene/o' || CAST(b AS STRING)", "'scene/o' || CAST(a AS STRING)", _NEXT + " AND a % 100 = 0"),
 ])
