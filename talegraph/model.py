@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,15 +38,39 @@ class Graph:
         self.live_edge.createOrReplaceTempView(prefix + "live_edge")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; where it is unset on a local master, as in tests, a folder of our own."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        at = "file://" + tempfile.mkdtemp(prefix="talegraph-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iteration's table in the folder that the cluster shares."""
-    spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="talegraph-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def written(g: Graph) -> Graph:
+    """The graph as tables written once, nodes by kind and edges by relation, for operators that read it many times."""
+    spark = g.node.sparkSession
+    at = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+    by = {"node": "kind", "edge": "rel"}
+    tables = {}
+    for f in fields(g):
+        df = getattr(g, f.name)
+        if f.name in by:
+            df.write.partitionBy(by[f.name]).parquet(f"{at}/{f.name}")
+            df = spark.read.schema(df.schema).parquet(f"{at}/{f.name}").select(*df.columns)
+        tables[f.name] = df
+    return Graph(**tables)
+
+
 def one_if(condition) -> F.Column:
     return F.when(condition, 1).otherwise(0)

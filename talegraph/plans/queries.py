@@ -181,7 +181,7 @@ def _(spark, sf):
     SELECT n.id, n.kind, n.title, n.story_from, CAST(min(w.depth) AS INT) AS depth FROM w JOIN live_node n ON n.id = w.id WHERE n.kind IN ('Location', 'Character', 'Scene') GROUP BY n.id, n.kind, n.title, n.story_from""",
 )
 def _(spark, sf):
-    return traverse.outline(graph(spark, sf), 3, ["Location", "Character", "Scene"]).select("id", "kind", "title", "story_from", "depth")
+    return traverse.outline(graph(spark, sf, True), 3, ["Location", "Character", "Scene"]).select("id", "kind", "title", "story_from", "depth")
 
 
 @query(
@@ -200,7 +200,7 @@ def _(spark, sf):
     SELECT f.run, count(*) AS affected, CAST(max(depth) AS INT) AS max_depth, CAST(sum(greatest(1, (length(title) + length(n.id) + length(kind)) // 4)) AS BIGINT) AS tokens FROM f JOIN live_node n ON n.id = f.id GROUP BY f.run""",
 )
 def _(spark, sf):
-    g = graph(spark, sf)
+    g = graph(spark, sf, True)
     return traverse.impact(g, g.live_node.where("kind = 'Promise'").select(F.col("id").alias("run"), "id"), 2).drop("cyclic")
 
 
@@ -235,7 +235,7 @@ def _(spark, sf):
     SELECT rel, count(DISTINCT b) AS stuck_nodes FROM far WHERE (rel, a) IN (SELECT (rel, a) FROM far WHERE a = b) GROUP BY rel""",
 )
 def _(spark, sf):
-    return traverse.acyclic_check(graph(spark, sf), rel_dim(spark))
+    return traverse.acyclic_check(graph(spark, sf, True), rel_dim(spark))
 
 
 @query("max_per_dst_check", "SELECT rel, dst, count(*) AS n FROM live_edge WHERE rel = 'focalizes' GROUP BY rel, dst HAVING count(*) > 1")
@@ -303,7 +303,7 @@ RULE_SQL = {
 
 def _rule_query(name: str):
     def run(spark, sf):
-        return (rules.RULES | rules.EXTRA)[name](graph(spark, sf)).select("node", joined("related"), "detail")
+        return (rules.RULES | rules.EXTRA)[name](graph(spark, sf, name in ("graph.causal_cycle", "graph.unreachable", "detail.appearance"))).select("node", joined("related"), "detail")
 
     return run
 
@@ -313,7 +313,7 @@ for _name, _sql in RULE_SQL.items():
 
 @query("check", " UNION ALL ".join(f"SELECT rule, severity, count(*) AS n FROM (SELECT DISTINCT '{r}' AS rule, node, related, detail FROM ({sql}) a) b JOIN ({RULES_SQL}) c USING (rule) GROUP BY rule, severity" for r, sql in RULE_SQL.items()))
 def _(spark, sf):
-    return rules.check(graph(spark, sf), [*rules.RULES, *rules.EXTRA]).groupBy("rule", "severity").agg(F.count("*").alias("n"))
+    return rules.check(graph(spark, sf, True), [*rules.RULES, *rules.EXTRA]).groupBy("rule", "severity").agg(F.count("*").alias("n"))
 
 
 @query("diag_sync", f"SELECT action, count(*) AS n FROM (SELECT CASE WHEN CAST(substr(node, 10) AS INT) % 3 = 0 THEN 'open' ELSE 'keep' END AS action FROM ({RULE_SQL['plot.abandoned']}) q UNION ALL SELECT 'resolve' FROM (SELECT DISTINCT node FROM ({RULE_SQL['promise.unearned']}) r) s) t GROUP BY action")
@@ -339,7 +339,7 @@ LEDGER = """WITH e AS (SELECT CASE WHEN rel = 'requires_trigger' THEN src ELSE d
 
 @query("promise_ledger", LEDGER)
 def promise_ledger(spark, sf):
-    out = projections.promise_ledger(graph(spark, sf))
+    out = projections.promise_ledger(graph(spark, sf, True))
     sizes = {f"n_{c.lower()}": F.size(c).cast("long") for c in "FTP"}
     out = out.withColumns(sizes)
     s_eff = F.when(F.col("trigger_at").isNull() | F.col("planted_at").isNull(), 1.0).otherwise(F.col("s_eff"))
@@ -353,7 +353,7 @@ def _(spark, sf):
 
 @query("promise_board", f"SELECT status, count(*) AS n, round(sum(debt), 6) AS debt FROM ({LEDGER}) q GROUP BY status")
 def _(spark, sf):
-    return projections.promise_board(graph(spark, sf))
+    return projections.promise_board(graph(spark, sf, True))
 
 
 @query("flashback", "SELECT id, kind, story_from, reveal_at, reveal_at - story_from AS gap FROM live_node WHERE story_from < reveal_at")
@@ -387,7 +387,7 @@ def _(spark, sf):
     SELECT s.id, coalesce(bad, 0) AS failed_pre, CAST(0 AS BIGINT) AS active_forbid, coalesce(bad, 0) = 0 AS feasible FROM live_node s LEFT JOIN b ON b.id = s.id WHERE s.kind = 'Scene'""",
 )
 def _(spark, sf):
-    return projections.scene_feasible(graph(spark, sf))
+    return projections.scene_feasible(graph(spark, sf, True))
 
 
 @query("agg_kind_counts", "SELECT kind, count(*) AS n FROM live_node GROUP BY kind")
@@ -697,7 +697,7 @@ def _(spark, sf):
 
 
 def _runs(spark, sf):
-    g = graph(spark, sf)
+    g = graph(spark, sf, True)
     deps = cascade.dependency_edges(ops(spark, sf), read_set(spark, sf))
     triggers = deps.select(F.col("source").alias("run"), F.col("source").alias("node")).distinct()
     return cascade.propagate(g, deps, triggers, g.live_node.select(F.col("id").alias("node"))), deps
@@ -981,7 +981,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     asked = ops(spark, sf).where("verb != 'ADD'").select(F.col("proposal").alias("run"), F.col("target").alias("id")).distinct()
-    return traverse.impact(graph(spark, sf), asked, 2).select("run", "affected")
+    return traverse.impact(graph(spark, sf, True), asked, 2).select("run", "affected")
 
 
 @query("agg_open_diag_counts", f"SELECT node, count(*) AS n FROM (SELECT id AS node FROM live_node WHERE kind = 'Promise' AND coalesce(json_extract_string(props, '$.status'), 'hypothetical') = 'hypothetical' UNION ALL SELECT node FROM ({RULE_SQL['plot.causeless']}) c) q GROUP BY node")

@@ -9,7 +9,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..model import Graph
+from ..model import Graph, written
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "benchmark", "conversations")
 
@@ -97,8 +97,10 @@ def source(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(re.sub(r"@(\w+)", r"talegraph_\1", sql))
 
 
-def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph(**{name: source(spark, sf_dir, sql) for name, sql in GRAPH_SQL.items()})
+def graph(spark: SparkSession, sf_dir: str, many: bool = False) -> Graph:
+    """many: for queries that read nodes and edges many times, which are then written once."""
+    g = Graph(**{name: source(spark, sf_dir, sql) for name, sql in GRAPH_SQL.items()})
+    return written(g) if many else g
 
 
 def checked(body: str, **more: str) -> str:
