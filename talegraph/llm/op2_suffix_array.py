@@ -134,14 +134,16 @@ def doubled(opened: DataFrame, unit: Unit, scratch: Scratch) -> DataFrame:
     spot = _spot()
     shared = cells.groupBy("core", "gram").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi"), F.min(spot).alias("a"), F.max(spot).alias("z")).where("a < z")
     shared = shared.select("core", "gram", (F.col("lo") < F.col("hi")).alias("several"))
-    cells = scratch.save(cells.join(shared.hint("merge"), ["core", "gram"]).drop("core", "gram"))
-    cells = scratch.save(_earlier(cells, "cell").where("again or several").select("row", "content", "at", "n", "again"))
+    met = scratch.save(cells.join(shared.hint("merge"), ["core", "gram"]).drop("core", "gram"))
+    cells = scratch.save(_earlier(met, "cell").where("again or several").select("row", "content", "at", "n", "again"))
     left = cells.where("not again").groupBy("row", "content").agg(F.collect_set(F.struct("at", "n")).alias("cells"))
+    scratch.drop(met)
     parts = doublings(unit.length)
     kinds = ", ".join(f"part_{i} long" for i in range(len(parts)))
     columns = ["gram", "doc", "row", "content", "place", "anchor", "body", "cells"]
     left = bodies.join(left.hint("merge"), ["row", "content"]).select(*columns)
     positions = scratch.save(left.mapInArrow(_positions(unit, parts), f"rank long, doc long, row long, content long, place long, at int, {kinds}"))
+    scratch.drop(bodies)
     for i in range(len(parts)):
         positions = reranked(positions, f"part_{i}", scratch)
     found = _earlier(positions, "rank").where("again").select("row", "content", "at", F.lit(1).alias("n"))

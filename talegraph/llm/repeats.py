@@ -83,7 +83,9 @@ def ordered(docs: DataFrame) -> Column:
     return F.coalesce(F.col("id") - shift, F.lit(LAST_ID))
 
 
-def _anchor_rows(unit: Unit):
+def _anchor_rows(unit: Unit, named: bool):
+    """named: with the row that each anchor is of."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, rows = batch.column(0).to_numpy(), batch.column(2).to_numpy()
@@ -93,7 +95,8 @@ def _anchor_rows(unit: Unit):
                 keep = _first_in_text(x) == np.arange(len(x.lo))
                 if keep.any():
                     text = x.text[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(x.gram[keep])), pa.array(signed(x.content[keep])), pa.array(docs[lo:hi][text]), pa.array(rows[lo:hi][text])], ["gram", "content", "doc", "row"])
+                    cols = [x.gram[keep].view(np.int64), x.content[keep].view(np.int64), docs[lo:hi][text], *([rows[lo:hi][text]] if named else [])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["gram", "content", "doc", "row"][: len(cols)])
 
     return run
 
@@ -157,10 +160,9 @@ def all_matches(text: np.ndarray, content: np.ndarray, flat: np.ndarray, offsets
     """Pairs (block, place in flat) of all entries of a block's text that name its content."""
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     order = np.lexsort((flat, owner))
-    key = np.zeros(len(order), [("t", np.int64), ("c", np.int64)])
-    key["t"], key["c"] = owner[order], flat[order]
-    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    at = match_lists(text, content, flat[order][head], np.searchsorted(owner[order][head], np.arange(len(offsets))))
+    t, c = owner[order], flat[order]
+    head = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])])) if len(order) else np.zeros(0, np.int64)
+    at = match_lists(text, content, c[head], np.searchsorted(t[head], np.arange(len(offsets))))
     blocks = np.flatnonzero(at >= 0)
     first = head[at[blocks]] if len(head) else head
     size = np.diff(np.append(head, len(order)))[at[blocks]] if len(head) else first
@@ -249,16 +251,18 @@ def remove_repeats(df: DataFrame, unit: Unit, repeated: Callable[[DataFrame, Scr
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("row", F.xxhash64(F.col("id").isNull(), "id", "text")).withColumn("doc", ordered(docs))
     keyed = docs.select("doc", "text", "row")
-    rows = keyed.mapInArrow(_anchor_rows(unit), "gram long, content long, doc long, row long")
-    shared = rows.groupBy("gram").agg(F.min("content").alias("lo"), F.max("content").alias("hi"), F.min("doc").alias("a"), F.max("doc").alias("z"))
+    shared = keyed.mapInArrow(_anchor_rows(unit, False), "gram long, content long, doc long").groupBy("gram").agg(F.min("content").alias("lo"), F.max("content").alias("hi"), F.min("doc").alias("a"), F.max("doc").alias("z"))
     shared = shared.where("lo < hi or a < z" if unit.same_text else "a < z")
     shared = scratch.save(shared.select("gram", (F.col("lo") < F.col("hi")).alias("several")))
+    rows = keyed.mapInArrow(_anchor_rows(unit, True), "gram long, content long, doc long, row long")
     met = scratch.save(rows.join(shared.hint("merge"), "gram"))
     firsts = met.groupBy("gram", "content").agg(F.min("doc").alias("first"))
-    met = met.join(firsts.hint("merge"), ["gram", "content"])
+    judged = met.join(firsts.hint("merge"), ["gram", "content"])
     again = F.col("doc") > F.col("first")
-    per_row = met.groupBy("row").agg(F.collect_set(F.when(again, F.col("content"))).alias("again"), F.collect_set(F.when(~again & F.col("several"), F.col("content"))).alias("opened"))
+    per_row = judged.groupBy("row").agg(F.collect_set(F.when(again, F.col("content"))).alias("again"), F.collect_set(F.when(~again & F.col("several"), F.col("content"))).alias("opened"))
     per_row = scratch.save(per_row.where("size(again) > 0 or size(opened) > 0"))
+    for t in (shared, met):
+        scratch.drop(t)
     opened = per_row.where("size(opened) > 0").select("row", "opened")
     windows = repeated(keyed.join(opened.hint("merge"), "row").select("doc", "text", "row", "opened"), scratch)
     windows = windows.groupBy("row").agg(F.collect_set(F.struct("content", "at", "n")).alias("windows"))
