@@ -349,7 +349,8 @@ def train_model(train: DataFrame, counts: DataFrame, min_count: int = MIN_COUNT,
         if sweep:
             steps = bigrams(classes, size)
         after = np.log((steps[fixed:] + 0.5) / (steps[fixed:].sum(1, keepdims=True) + 0.5 * size))
-        before = np.log((steps[:, fixed:].T + 0.5) / (steps.sum(1) + 0.5 * size))
+        # the share of a word in its class counts too: log P(C | before) - log N(C) is, but for a constant, log P(before | C)
+        before = np.log((steps[:, fixed:].T + 0.5) / (steps[:, fixed:].sum(0)[:, None] + 0.5 * size))
         cells = train.mapInArrow(_neighbours(sc.broadcast((classes, number)), size, parts), "part int, cells binary, counts binary")
         fits = sc.broadcast((before.astype(np.float32), after.astype(np.float32)))
         moved = cells.repartition(parts, "part").mapInArrow(_best_classes(fits, size, parts, len(words)), "word long, class int").toArrow()
