@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..catalog import policy_dim
 from ..functions.columns import prop
 from ..model import Graph, cut
+from .reads import address_parse
 
 VERBS = ("ADD", "UPDATE", "INVALIDATE", "LINK", "UNLINK")
 RANK = {"auto": 0, "review": 1, "always": 2}
@@ -33,6 +34,17 @@ def ops_shape_check(ops: DataFrame, most_ops: int = 100) -> DataFrame:
     return each.union(whole).groupBy("proposal").agg(F.sort_array(F.collect_set("error")).alias("errors"))
 
 
+def ops_normalize_refs(ops: DataFrame, kinds: DataFrame) -> DataFrame:
+    """ops with the ids of their targets and of the ends of links in canonical form; what is no id stays."""
+    linked = F.col("verb").isin("LINK", "UNLINK")
+    refs = ops.select(F.explode(F.array_compact(F.array("target", F.when(linked, F.col("to_val"))))).alias("ref")).distinct()
+    known = address_parse(refs, kinds).where("valid").select("ref", "canonical")
+    out = ops.join(known.select(F.col("ref").alias("target"), F.col("canonical").alias("own")), "target", "left")
+    out = out.join(known.select(F.col("ref").alias("to_val"), F.col("canonical").alias("other")), "to_val", "left")
+    out = out.withColumn("target", F.coalesce("own", "target")).withColumn("to_val", F.when(linked, F.coalesce("other", "to_val")).otherwise(F.col("to_val")))
+    return out.select(*ops.columns)
+
+
 def ops_read_coverage(ops: DataFrame, reads: DataFrame) -> DataFrame:
     """proposal, node: touched but neither read nor added in the same proposal; or read at another revision than its basis."""
     ends = ops.where("verb != 'ADD'").select("proposal", F.col("target").alias("node"), "basis_rev")

@@ -236,3 +236,10 @@ def diag_sync(findings: DataFrame, open_rows: DataFrame) -> DataFrame:
     both = now.join(old, "fingerprint", "full")
     action = F.when(F.col("old_rule").isNull(), "open").when(F.col("rule").isNull(), "resolve").otherwise("keep")
     return both.select("fingerprint", F.coalesce("rule", "old_rule").alias("rule"), action.alias("action"))
+
+
+def rule_spec_check(rules: DataFrame, built: list[str]) -> DataFrame:
+    """rules (rule, executable) against the names that have a query -> rule, problem: those on one side only."""
+    have = rules.sparkSession.createDataFrame([(r,) for r in built], "rule string").withColumn("built", F.lit(True))
+    both = rules.where("executable").select("rule", F.lit(True).alias("listed")).join(have, "rule", "full")
+    return both.where("listed is null or built is null").select("rule", F.when(F.col("built").isNull(), "no query").otherwise("not in the catalogue").alias("problem"))

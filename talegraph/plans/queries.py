@@ -483,6 +483,17 @@ def _(spark, sf):
     return search.rrf_fuse([search.find_lexical(nodes, asked, 40), search.ranked(search.find_name_match(g, asked), 40)])
 
 
+@query(
+    "hydrate",
+    """WITH names AS (SELECT id, lower(title) AS name FROM live_node UNION ALL SELECT id, lower(regexp_extract(id, '[^/]*$')) FROM live_node UNION ALL SELECT node, lower(alias) FROM node_alias WHERE node IN (SELECT id FROM live_node)), asked AS (SELECT DISTINCT p_name AS q, lower(trim(p_name)) AS t FROM part),
+    h AS (SELECT q, id, CAST(max(CASE WHEN name = t THEN 100 ELSE 50 END) AS INT) AS score FROM names JOIN asked ON contains(name, t) GROUP BY q, id), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS INT) AS rank FROM h)
+    SELECT q, rank, id, kind, title, summary, score FROM r JOIN live_node USING (id) WHERE rank <= 20""",
+)
+def _(spark, sf):
+    g = graph(spark, sf)
+    return search.hydrate(g, search.ranked(search.find_name_match(g, source(spark, sf, NAMES)), 20))
+
+
 # --- edit log -----------------------------------------------------------------------------------------
 @query(
     "ops_shape_check",
@@ -494,6 +505,18 @@ def _(spark, sf):
     return editlog.ops_shape_check(ops(spark, sf)).withColumn("errors", F.array_join("errors", ","))
 
 
+RAW = OPS_SQL.replace("'character/c' || CAST(user_id AS STRING) END AS target", "CASE WHEN event_id % 3 = 0 THEN 'story://CHARACTER/c' ELSE 'Character/c' END || CAST(user_id AS STRING) END AS target")
+
+
+@query(
+    "ops_normalize_refs",
+    "SELECT proposal, seq, verb, CASE WHEN contains(bare, '/') THEN lower(split_part(bare, '/', 1)) || substr(bare, length(split_part(bare, '/', 1)) + 1) ELSE bare END AS target, to_val FROM (SELECT *, regexp_replace(target, '^story://', '') AS bare FROM raw) q",
+    raw=RAW,
+)
+def _(spark, sf):
+    return editlog.ops_normalize_refs(source(spark, sf, RAW), kind_dim(spark)).select("proposal", "seq", "verb", "target", "to_val")
+
+
 @query(
     "ops_read_coverage",
     """WITH k AS (SELECT proposal, node, max(rev) AS rev FROM (SELECT proposal, node, rev FROM reads UNION ALL SELECT proposal, target, NULL FROM ops WHERE verb = 'ADD') q GROUP BY proposal, node),

@@ -82,3 +82,20 @@ def sync_vectors(docs: DataFrame, old: DataFrame) -> DataFrame:
     now = docs.where("live").select("id", F.sha2(F.concat_ws("|", "id", "text"), 256).alias("hash"))
     both = now.join(old.select("id", F.col("hash").alias("was")), "id", "full")
     return both.select("id", F.when(F.col("hash").isNull(), "remove").when(F.col("was").eqNullSafe(F.col("hash")), "keep").otherwise("index").alias("action"))
+
+
+def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
+    """file, content, manifest: every chapter of a folder beside its *.story.json, joined by the stem of their names."""
+    entry = "array<struct<id: string, kind: string, title: string, start_off: int, end_off: int, quote: string>>"
+    schema = f"schema_version int, source_sha256 string, unresolved array<string>, nodes {entry}, edges array<struct<src: string, rel: string, dst: string>>"
+    stem = F.regexp_extract(F.col("path"), r"([^/]+?)(?:\.story\.json|\.md)$", 1)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder).select(stem.alias("file"), "content")
+    told = spark.read.format("binaryFile").option("pathGlobFilter", "*.story.json").load(folder)
+    told = told.select(stem.alias("file"), F.from_json(F.col("content").cast("string"), schema).alias("manifest"))
+    return files.join(told, "file", "left")
+
+
+def consolidate(docs: DataFrame, old: DataFrame, tables: dict[str, DataFrame], folder: str, version: int) -> DataFrame:
+    """What the vectors need (as sync_vectors), after the tables are rewritten as a new snapshot of whole files."""
+    write_snapshot({name: df.hint("rebalance") for name, df in tables.items()}, folder, version)
+    return sync_vectors(docs, old)

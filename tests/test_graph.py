@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talegraph.catalog import kind_dim, rel_dim
 from talegraph.model import Graph
-from talegraph.operators import editlog, ingest, projections, reads, rules, search, traverse
+from talegraph.operators import apply, cascade, editlog, ingest, projections, reads, rules, search, traverse
 from talegraph.plans import queries
 from talegraph.sources.corpus import parse_frontmatter
 from talegraph.streaming import leases
@@ -244,3 +244,93 @@ def test_commit_batch_takes_the_whole_log(spark):
                 rev[o.target] = rev.get(o.target, 0) + 1
             moved |= {(o.target, o.field): rev[o.target] for o in mine if o.field}
     assert {r.proposal: r.status for r in editlog.commit_batch(ops, seen, order, current).collect()} == want
+
+
+OPS = "proposal string, seq int, verb string, target string, field string, to_val string, ts timestamp"
+
+
+def test_the_log_applied(spark, base):
+    at = lambda n: __import__("datetime").datetime(2024, 1, n)
+    rows = [
+        ("p1", 1, "UPDATE", "character/a", "props.hand", "right", at(1)), ("p1", 2, "UPDATE", "character/a", "props.hand", "none", at(2)), ("p1", 3, "UPDATE", "character/a", "title", "Do-Yeong", at(2)),
+        ("p2", 1, "ADD", "concept/c", None, None, at(3)), ("p2", 2, "LINK", "scene/s", "ally_of", "concept/c", at(3)),
+        ("p3", 1, "INVALIDATE", "object/g", None, None, at(4)),
+        ("p4", 1, "UNLINK", "scene/s", "present_at", "character/a", at(5)),
+        ("bad1", 1, "UPDATE", "promise/k", "props.status", "actualized", at(6)), ("bad2", 1, "ADD", "scene/s", None, None, at(6)), ("bad3", 1, "LINK", "scene/s", "plants", "character/a", at(6)),
+        ("bad4", 1, "UPDATE", "nobody", "title", "x", at(6)), ("bad5", 1, "UPDATE", "character/a", "id", "x", at(6)), ("bad6", 1, "UNLINK", "scene/s", "causes", "object/g", at(6)),
+    ]
+    ops = spark.createDataFrame(rows, OPS)
+    tables = (kind_dim(spark), rel_dim(spark))
+    wrong = {r.proposal: r.error for r in apply.validate_ops(base, ops, *tables).collect()}
+    assert wrong == {"bad1": "no such step of a promise", "bad2": "id is in use", "bad3": "kind of the other end does not fit", "bad4": "target is not there", "bad5": "field cannot be set", "bad6": "edge is not there"}
+    assert {r.proposal for r in apply.simulate(base, ops, *tables).where("valid").collect()} == {"p1", "p2", "p3", "p4"}
+    sound = apply.sound_ops(base, ops, *tables)
+    nodes = {r.id: r for r in apply.apply_nodes(base, sound).collect()}
+    assert (nodes["character/a"].title, nodes["character/a"].props, nodes["character/a"].rev) == ("Do-Yeong", '{"hand":"none"}', 4)
+    assert nodes["concept/c"].kind == "Concept" and nodes["object/g"].tx_to == at(4)
+    assert nodes["scene/s"].rev == 1 + 2 + 1  # two links, and a neighbour that went
+    edges = {(r.rel, r.dst): r for r in apply.apply_edges(base, sound).collect()}
+    assert edges["ally_of", "concept/c"].opened_by == "p2" and edges["ally_of", "concept/c"].tx_to is None
+    assert edges["present_at", "character/a"].tx_to == at(5) and edges["contains", "object/g"].tx_to == at(4)
+
+
+def test_cascade_parts(spark, base):
+    items = spark.createDataFrame([("r", x) for x in "abc"] + [("q", "a"), ("q", "b")], "run string, node string")
+    deps = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "source string, target string")
+    assert ids(cascade.propagate_cycles(items, deps), "run", "node") == [("r", "a"), ("r", "b"), ("r", "c")]
+    chain = spark.createDataFrame([("x", None), ("y", "x"), ("z", "y"), ("u", "v"), ("v", "u")], "proposal string, trigger string")
+    assert ids(cascade.run_iteration(chain), "proposal", "iteration") == [("u", 2), ("v", 2), ("x", 1), ("y", 2), ("z", 3)]
+    contracts = spark.createDataFrame([("object/g", "character/a", "props.hand", "props.held_by"), ("scene/s", "character/a", "title", "summary"), ("scene/s", "object/g", "title", "summary"), ("promise/k", "scene/s", "title", "title")], "target string, source string, source_field string, target_field string")
+    parents = contracts.select("source", "target").where("target != 'promise/k'")
+    clean = spark.createDataFrame([], "node string")
+    assert ids(cascade.derive_candidates(base, contracts, parents, clean), "target", "field", "to_val") == [("object/g", "props.held_by", "left")]
+    assert cascade.derive_candidates(base, contracts, parents, spark.createDataFrame([("character/a",)], "node string")).count() == 0
+    jobs = spark.createDataFrame([("j", "n", "f", 1)], "job string, target string, field string, basis_rev int")
+    done = spark.createDataFrame([("two", 1, "UPDATE", "n", "f", 1, None), ("two", 2, "UPDATE", "n", "g", 1, None), ("one", 1, "UPDATE", "n", "f", 1, None)], "proposal string, seq int, verb string, target string, field string, basis_rev int, ts timestamp")
+    assert ids(cascade.job_recover(jobs, done), "job", "proposal") == [("j", "one")]
+
+
+def test_budget_of_jobs(spark):
+    asks = spark.createDataFrame([(x, ["s"], "f", 9000) for x in "abcd"], "target string, sources array<string>, target_field string, max_tokens int")
+    items = spark.createDataFrame([("r", "a", 1), ("r", "b", 1), ("r", "c", 2), ("r", "d", 3)], "run string, node string, depth int")
+    parents = spark.createDataFrame([("s", x) for x in "abcd"], "source string, target string")
+    human = spark.createDataFrame([(x, 1) for x in "abcd"], "node string, rev int")
+    out = {r.target: r.status for r in cascade.rederive_jobs(asks, items, parents, human).collect()}
+    assert out == {"a": "queued", "b": "queued", "c": "over budget", "d": "too deep"}
+
+
+def test_stream_keeps_keys_across_batches(spark, tmp_path):
+    schema = "proposal string, seq int, verb string, target string, field string, to_val string, idem_key string, ts timestamp"
+    at = __import__("datetime").datetime(2024, 1, 1)
+    got = []
+
+    def batch(*rows):
+        spark.createDataFrame([(p, 1, "UPDATE", t, "f", "v", k, at) for p, t, k in rows], schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).json(f"{tmp_path}/in")
+        leases.op_stream(stream, lambda df, n: got.extend(sorted(r.proposal for r in df.collect())), f"{tmp_path}/at", f"{tmp_path}/keys").awaitTermination()
+
+    batch(("p", "n", "key-1"), ("q", "n", "key-2"))
+    batch(("p2", "n", "key-1"), ("r", "n", "key-3"), ("s", "other", "key-2"))
+    assert got == ["p", "q", "r"]
+
+
+def test_bodies_and_rules(spark, base):
+    files = spark.createDataFrame([("f", bytearray(b"one two"))], "file string, content binary")
+    spans = spark.createDataFrame([("character/a", "f", 0, 3), ("promise/k", "f", 4, 7)], "node string, file string, start_off int, end_off int")
+    g = Graph(base.node, base.edge, base.node_alias, base.node_tag, base.visibility, spans)
+    asked = spark.createDataFrame([(1, "character/a"), (2, "promise/k")], "pos long, id string")
+    assert ids(reads.get_body(g, asked, files, 3), "id", "body", "hidden") == [("character/a", "one", False), ("promise/k", None, True)]
+    from talegraph.catalog import rule_dim
+
+    assert rules.rule_spec_check(rule_dim(spark), list(rules.RULES)).count() == 0
+    assert ids(rules.rule_spec_check(rule_dim(spark), [*list(rules.RULES)[1:], "made.up"]), "problem") == ["no query", "not in the catalogue"]
+
+
+def test_manifests(spark, tmp_path):
+    from talegraph.sources.corpus import read_manifests
+
+    (tmp_path / "one.md").write_text("## a\ntext")
+    (tmp_path / "one.story.json").write_text('{"schema_version": 1, "nodes": [{"id": "scene/a", "kind": "Scene", "start_off": 0, "end_off": 9}]}')
+    (tmp_path / "two.md").write_text("none")
+    out = {r.file: r.manifest for r in read_manifests(spark, str(tmp_path)).collect()}
+    assert out["two"] is None and out["one"].nodes[0].end_off == 9
