@@ -20,7 +20,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
     )
     rows = now.count()
-    while True:
+    while rows:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -39,5 +39,6 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         unsettled = now.groupBy("a").count().where("count > 1").select("a").union(now.join(now.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a"))
         if unsettled.limit(1).count() == 0:
             break
+    # without edges nothing appears
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(roots)

@@ -210,8 +210,7 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for t in (left, whole, shared):
         scratch.drop(t)
 
-    links = _bucket_links(common, scratch)
-    label = scratch.save(components(links, scratch))
+    label = _bucket_labels(common, scratch)
     scratch.drop(common)
     named = classes.select("c", "least").join(label.withColumnRenamed("node", "c").hint("merge"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -242,8 +241,8 @@ def multiplied(pairs: DataFrame, common: DataFrame) -> DataFrame:
     return met.select(F.col("c").alias("u"), F.col("u").alias("v"))
 
 
-def _bucket_links(common: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (u, v) between sets: enough of them to join all that are linked."""
+def _bucket_labels(common: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, label): components of the sets by links, found until no pair is open."""
     spark = common.sparkSession
     links = spark.createDataFrame([], "u long, v long")
     members = common.select("c", "n", "own", F.posexplode("prefix").alias("at", "g")).withColumn("left", F.col("n") - F.col("own") - F.col("at"))
@@ -253,7 +252,7 @@ def _bucket_links(common: DataFrame, scratch: Scratch) -> DataFrame:
     # inside a component nothing is open; and if this is the first n-gram that a pair shares, it
     # shares no more than what either side has from here on, which must reach the bound
     can_link = "label != ul and least(left, uleft) * 9 >= (n + un) * 4"
-    upto = 0
+    upto, label = 0, spark.createDataFrame([], "node long, label long")
     while cells:
         if not upto:
             best = open_.groupBy("g").agg(F.min(F.struct("own", "c", "n", "label", "left")).alias("m"))
@@ -286,12 +285,13 @@ def _bucket_links(common: DataFrame, scratch: Scratch) -> DataFrame:
         rest = scratch.save(rest.select("g", "c", "n", "own", "left", "label"), cells)
         apart = rest.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("g")
         kept = scratch.save(rest.join(apart.hint("merge"), "g").select("g", "c", "n", "own", "left", "label"), cells)
-        for t in (rest, label, over or open_):
+        for t in (rest, over or open_):
             scratch.drop(t)
         open_ = kept
         if open_.isEmpty():
             break
-    return links
+        scratch.drop(label)
+    return label
 
 
 def op1_jaccard(spark, sf_dir: str) -> DataFrame:
