@@ -13,6 +13,7 @@ from .op7_lm import op7_lm
 from .op8_lines import OP8_SQL, op8_lines
 from .op9_secrets import op9_secrets
 from .op10_embeddings import op10_embeddings
+from .op12_shards import op12_shards
 
 
 def llm_queries() -> dict:
@@ -27,6 +28,7 @@ def llm_queries() -> dict:
         "op8_lines": op8_lines,
         "op9_secrets": op9_secrets,
         "op10_embeddings": op10_embeddings,
+        "op12_shards": op12_shards,
     }
 
 
