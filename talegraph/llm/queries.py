@@ -13,6 +13,7 @@ from .op7_lm import op7_lm
 from .op8_lines import OP8_SQL, op8_lines
 from .op9_secrets import op9_secrets
 from .op10_embeddings import op10_embeddings
+from .op11_negatives import OP11_SQL, op11_negatives
 from .op12_shards import op12_shards
 
 
@@ -28,6 +29,7 @@ def llm_queries() -> dict:
         "op8_lines": op8_lines,
         "op9_secrets": op9_secrets,
         "op10_embeddings": op10_embeddings,
+        "op11_negatives": op11_negatives,
         "op12_shards": op12_shards,
     }
 
@@ -39,4 +41,5 @@ def llm_oracle_sql() -> dict[str, str]:
         "op5_substring": OP5_SQL,
         "op6_mix": OP6_SQL,
         "op8_lines": OP8_SQL,
+        "op11_negatives": OP11_SQL,
     }
