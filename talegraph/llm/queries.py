@@ -15,6 +15,7 @@ from .op9_secrets import op9_secrets
 from .op10_embeddings import op10_embeddings
 from .op11_negatives import OP11_SQL, op11_negatives
 from .op12_shards import op12_shards
+from .op13_trie import OP13_SQL, op13_trie
 
 
 def llm_queries() -> dict:
@@ -31,6 +32,7 @@ def llm_queries() -> dict:
         "op10_embeddings": op10_embeddings,
         "op11_negatives": op11_negatives,
         "op12_shards": op12_shards,
+        "op13_trie": op13_trie,
     }
 
 
@@ -42,4 +44,5 @@ def llm_oracle_sql() -> dict[str, str]:
         "op6_mix": OP6_SQL,
         "op8_lines": OP8_SQL,
         "op11_negatives": OP11_SQL,
+        "op13_trie": OP13_SQL,
     }
