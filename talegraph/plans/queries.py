@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import KINDS_SQL, POLICIES_SQL, RELS_SQL, RULES_SQL, kind_dim, rel_dim, rule_dim
 from ..functions.columns import MARKED, PLAIN, prop
-from ..operators import apply, cascade, editlog, ingest, projections, reads, rules, search, traverse
+from ..operators import apply, cascade, commit, editlog, ingest, projections, reads, rules, search, traverse
 from ..streaming import leases
 from .retail import checked, graph, source
 
@@ -615,19 +615,56 @@ def _(spark, sf):
     return editlog.branch_track(source(spark, sf, BRANCH_LOG))
 
 
-def _commit_inputs(spark, sf):
-    """A proposal is what one user did in a week; each says which revision of the user it read."""
-    week = "'p' || CAST(user_id AS STRING) || '-' || CAST(CAST(floor(day(ts) / 7) AS INT) AS STRING)"
-    log = OPS_SQL.replace("'p' || CAST(user_id AS STRING) || '-' || CAST(day(ts) AS STRING) AS proposal", f"{week} AS proposal")
-    order = source(spark, sf, f"SELECT {week} AS proposal, min(event_id) AS commit_seq FROM @events GROUP BY 1")
-    current = source(spark, sf, CURRENT).withColumn("fields", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")))
-    mine = f"SELECT DISTINCT {week} AS proposal, 'character/c' || CAST(user_id AS STRING) AS node, CAST(1 + user_id % 3 AS INT) AS rev FROM @events"
-    return source(spark, sf, log), source(spark, sf, mine), order, current
+# the log of events beside one of orders: promises move on, edges that are there are unlinked, parts are invalidated
+WRITES = OPS_SQL + (
+    " UNION ALL SELECT 'w' || CAST(o_orderkey AS STRING), CAST(1 AS INT), 'UNLINK', 'scene/o' || CAST(o_orderkey AS STRING), 'occurs_at', 'location/n' || CAST(o_orderkey % 25 AS STRING), CAST(1 AS INT), 'order-key-' || CAST(o_orderkey AS STRING), CAST(o_orderdate AS TIMESTAMP) FROM @orders WHERE o_orderkey % 4 = 0"
+    " UNION ALL SELECT 'w' || CAST(o_orderkey AS STRING), CAST(2 AS INT), 'LINK', 'scene/o' || CAST(o_orderkey AS STRING), 'occurs_at', 'location/n' || CAST((o_orderkey + 1) % 25 AS STRING), CAST(1 AS INT), 'order-next-' || CAST(o_orderkey AS STRING), CAST(o_orderdate AS TIMESTAMP) FROM @orders WHERE o_orderkey % 8 = 0"
+    " UNION ALL SELECT 'm' || CAST(p_partkey AS STRING), CAST(1 AS INT), 'UPDATE', 'promise/p' || CAST(p_partkey AS STRING), 'props.status', CASE p_size % 3 WHEN 0 THEN 'eligible' WHEN 1 THEN 'prevented' ELSE 'actualized' END, CAST(1 AS INT), 'part-key-' || CAST(p_partkey AS STRING), CAST('2024-03-01 00:00:00' AS TIMESTAMP) FROM @part"
+    " UNION ALL SELECT 'm' || CAST(p_partkey AS STRING), CAST(2 AS INT), 'INVALIDATE', 'promise/p' || CAST(p_partkey AS STRING), NULL, NULL, CAST(1 AS INT), 'part-gone-' || CAST(p_partkey AS STRING), CAST('2024-03-02 00:00:00' AS TIMESTAMP) FROM @part WHERE p_partkey % 3 = 0"
+)
+
+# A proposal is what one user did in a week, each after the revisions of the user that it read; ids of concepts come again, so later ADDs meet earlier ones
+_WEEK = "'p' || CAST(user_id AS STRING) || '-' || CAST(CAST(floor(day(ts) / 7) AS INT) AS STRING)"
+COMMIT_OPS = OPS_SQL.replace("'p' || CAST(user_id AS STRING) || '-' || CAST(day(ts) AS STRING) AS proposal", f"{_WEEK} AS proposal").replace(
+    "'concept/e' || CAST(event_id AS STRING)", "'concept/e' || CAST(event_id % 500 AS STRING)"
+).replace("PARTITION BY user_id, day(ts)", "PARTITION BY user_id, floor(day(ts) / 7)").replace(
+    "CASE WHEN event_type = 'purchase' THEN CAST", "CASE WHEN event_type = 'signup' THEN '{\"title\":\"concept ' || CAST(event_id AS STRING) || '\",\"props\":{\"by\":\"' || CAST(user_id AS STRING) || '\"},\"tags\":[\"signup\"]}' WHEN event_type = 'purchase' THEN CAST"
+)
+COMMIT_OPS += "".join(" UNION ALL " + x for x in WRITES.split(" UNION ALL ")[1:])
+COMMIT_READS = (
+    f"SELECT DISTINCT {_WEEK} AS proposal, 'character/c' || CAST(user_id AS STRING) AS node, CAST(1 + CAST(floor(day(ts) / 7) AS INT) * (user_id % 3) AS INT) AS rev FROM @events WHERE user_id % 2 = 0"
+    " UNION ALL SELECT DISTINCT 'w' || CAST(o_orderkey AS STRING), 'scene/o' || CAST(o_orderkey AS STRING), CAST(1 + o_orderkey % 8 / 4 AS INT) FROM @orders WHERE o_orderkey % 4 = 0"
+)
+COMMIT_ORDER = f"SELECT {_WEEK} AS proposal, max(ts) AS at FROM @events GROUP BY 1 UNION ALL SELECT 'w' || CAST(o_orderkey AS STRING), CAST(o_orderdate AS TIMESTAMP) FROM @orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT 'm' || CAST(p_partkey AS STRING), CAST('2024-03-01 00:00:00' AS TIMESTAMP) FROM @part"
+
+
+def _committed(spark, sf):
+    return commit.commit_log(graph(spark, sf), source(spark, sf, COMMIT_OPS), source(spark, sf, COMMIT_READS), source(spark, sf, COMMIT_ORDER), kind_dim(spark), rel_dim(spark))
 
 
 @query("commit_batch")
 def _(spark, sf):
-    return editlog.commit_batch(*_commit_inputs(spark, sf))
+    return _committed(spark, sf).status.drop("at")
+
+
+@query("commit_revisions")
+def _(spark, sf):
+    return _committed(spark, sf).revisions
+
+
+@query("commit_nodes")
+def _(spark, sf):
+    return _committed(spark, sf).node.drop("tx_from")
+
+
+@query("commit_edges")
+def _(spark, sf):
+    return _committed(spark, sf).edge
+
+
+@query("commit_branches")
+def _(spark, sf):
+    return commit.commit_branches(_committed(spark, sf), source(spark, sf, f"SELECT DISTINCT {_WEEK} AS proposal, 's' || CAST(user_id % 20 AS STRING) AS session FROM @events"))
 
 
 # --- the log applied --------------------------------------------------------------------------------
@@ -643,15 +680,6 @@ _ERRORS = f"""k AS ({KINDS_SQL}), rl AS ({RELS_SQL}), nd AS (SELECT id, kind, lo
       UNION ALL SELECT proposal, seq, 'kind of the other end does not fit' FROM y WHERE verb = 'LINK' AND dst_kind <> okd UNION ALL SELECT proposal, seq, 'an end is locked' FROM y WHERE lk OR olk
       UNION ALL SELECT proposal, seq, 'edge is there already' FROM y WHERE verb = 'LINK' AND linked UNION ALL SELECT proposal, seq, 'edge is not there' FROM y WHERE verb = 'UNLINK' AND NOT linked)"""
 
-# the log of events beside one of orders: promises move on, edges that are there are unlinked, parts are invalidated
-WRITES = OPS_SQL + (
-    " UNION ALL SELECT 'w' || CAST(o_orderkey AS STRING), CAST(1 AS INT), 'UNLINK', 'scene/o' || CAST(o_orderkey AS STRING), 'occurs_at', 'location/n' || CAST(o_orderkey % 25 AS STRING), CAST(1 AS INT), 'order-key-' || CAST(o_orderkey AS STRING), CAST(o_orderdate AS TIMESTAMP) FROM @orders WHERE o_orderkey % 4 = 0"
-    " UNION ALL SELECT 'w' || CAST(o_orderkey AS STRING), CAST(2 AS INT), 'LINK', 'scene/o' || CAST(o_orderkey AS STRING), 'occurs_at', 'location/n' || CAST((o_orderkey + 1) % 25 AS STRING), CAST(1 AS INT), 'order-next-' || CAST(o_orderkey AS STRING), CAST(o_orderdate AS TIMESTAMP) FROM @orders WHERE o_orderkey % 8 = 0"
-    " UNION ALL SELECT 'm' || CAST(p_partkey AS STRING), CAST(1 AS INT), 'UPDATE', 'promise/p' || CAST(p_partkey AS STRING), 'props.status', CASE p_size % 3 WHEN 0 THEN 'eligible' WHEN 1 THEN 'prevented' ELSE 'actualized' END, CAST(1 AS INT), 'part-key-' || CAST(p_partkey AS STRING), CAST('2024-03-01 00:00:00' AS TIMESTAMP) FROM @part"
-    " UNION ALL SELECT 'm' || CAST(p_partkey AS STRING), CAST(2 AS INT), 'INVALIDATE', 'promise/p' || CAST(p_partkey AS STRING), NULL, NULL, CAST(1 AS INT), 'part-gone-' || CAST(p_partkey AS STRING), CAST('2024-03-02 00:00:00' AS TIMESTAMP) FROM @part WHERE p_partkey % 3 = 0"
-)
-
-
 def _writes(spark, sf):
     return source(spark, sf, WRITES), kind_dim(spark), rel_dim(spark)
 
