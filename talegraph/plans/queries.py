@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..catalog import KINDS_SQL, POLICIES_SQL, RELS_SQL, RULES_SQL, kind_dim, rel_dim, rule_dim
 from ..functions.columns import MARKED, PLAIN, prop
 from ..operators import apply, cascade, commit, editlog, ingest, projections, reads, rules, search, traverse
-from ..streaming import leases
+from ..streaming import grants, leases
 from .retail import checked, graph, source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -997,6 +997,11 @@ def _(spark, sf):
     return leases.scope_overlap(s.select(F.col("scope").alias("a"), "scope"), s.select(F.col("scope").alias("b"), "scope"))
 
 
+@query("lease_grants")
+def _(spark, sf):
+    return grants.grant_leases(source(spark, sf, LEASES)).outcomes
+
+
 @query("activity_windows", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(spark, sf):
     return leases.activity_windows(source(spark, sf, "SELECT CAST(ts AS TIMESTAMP) AS ts, event_type FROM @events"))
