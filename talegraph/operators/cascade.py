@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import field_value
 from ..model import Graph, cut
-from .traverse import cycle_pairs, reach
+from .traverse import on_cycles, reach
 
 
 def read_index(proposals: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def propagate_cycles(items: DataFrame, deps: DataFrame) -> DataFrame:
     inner = nodes.withColumnRenamed("node", "source").join(deps.select("source", "target").distinct(), "source")
     inner = inner.join(nodes.withColumnRenamed("node", "target"), ["run", "target"])
     own = [F.struct("run", F.col(c).alias("node")).alias(e) for c, e in (("source", "src"), ("target", "dst"))]
-    return cycle_pairs(inner.select(*own)).select("id.run", "id.node").distinct()
+    return on_cycles(inner.select(*own)).select("id.run", "id.node").distinct()
 
 
 def run_iteration(proposals: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import begun, revealed, suffix
-from ..model import Graph
+from ..model import Graph, cut
 from .ingest import read_span_bytes
+from .search import containing
 
 
 def as_of_node(g: Graph, as_of: int | None) -> DataFrame:
@@ -88,9 +89,13 @@ def address_resolve(g: Graph, requests: DataFrame) -> DataFrame:
 
     exact = equal(nodes, "lid", 0).unionByName(equal(nodes, "tail", 1)).unionByName(equal(nodes, "ltitle", 2)).unionByName(equal(alias, "lalias", 3))
     rest = want.join(exact.select("ref").distinct(), "ref", "left_anti")
-    part = rest.join(nodes, F.col("tail").endswith(F.col("key")) | F.col("ltitle").endswith(F.col("key"))).select("ref", "id", F.lit(4).alias("tier"))
-    part = part.unionByName(rest.join(alias, F.col("lalias").contains(F.col("key"))).select("ref", "id", F.lit(5).alias("tier")))
-    part = part.unionByName(rest.join(nodes, F.col("ltitle").contains(F.col("key")) & ~F.col("ref").rlike(r"\[\d+\]$")).select("ref", "id", F.lit(6).alias("tier")))
+    # an end is a part too: names that hold an open reference come from the runs of characters they share
+    names = nodes.select(F.col("tail").alias("name")).union(nodes.select("ltitle")).union(alias.select("lalias"))
+    holds = cut(rest.join(containing(rest.select(F.col("key").alias("t")), names).withColumnRenamed("t", "key"), "key"))
+    ends = holds.where(F.col("name").endswith(F.col("key")))
+    part = ends.join(nodes.withColumnRenamed("tail", "name"), "name").select("ref", "id").union(ends.join(nodes.withColumnRenamed("ltitle", "name"), "name").select("ref", "id")).withColumn("tier", F.lit(4))
+    part = part.unionByName(holds.join(alias.withColumnRenamed("lalias", "name"), "name").select("ref", "id", F.lit(5).alias("tier")))
+    part = part.unionByName(holds.where(~F.col("ref").rlike(r"\[\d+\]$")).join(nodes.withColumnRenamed("ltitle", "name"), "name").select("ref", "id", F.lit(6).alias("tier")))
     hits = exact.unionByName(part).groupBy("ref", "id").agg(F.min("tier").alias("tier"))
     best = hits.groupBy("ref").agg(F.min("tier").alias("tier"))
     found = hits.join(best, ["ref", "tier"]).groupBy("ref", "tier").agg(F.count("*").alias("n"), F.min("id").alias("id"))

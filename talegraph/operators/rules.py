@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import rule_dim
-from ..functions.columns import FAR, flag, items, overlap, prop, typed
-from ..model import Graph, cut
-from .traverse import cycle_pairs, reach, scope_descendants
+from ..functions.columns import flag, items, prop, typed
+from ..model import Graph
+from .intervals import overlapping
+from .traverse import on_cycles, reach, scope_descendants
 
 RULES: dict[str, Callable[[Graph], DataFrame]] = {}
 
@@ -29,17 +30,11 @@ def _finding(df: DataFrame, node: str, related: list, detail) -> DataFrame:
     return df.select(F.col(node).alias("node"), rel.alias("related"), detail.alias("detail"))
 
 
-def _facts(g: Graph, name: str) -> DataFrame:
-    n = g.live_node.where("kind = 'Fact'")
-    return n.select(
-        F.col("id").alias(f"{name}_id"), prop("subject").alias("subject"), prop("predicate").alias("predicate"), typed("object").alias(f"{name}_object"),
-        F.col("story_from").alias(f"{name}_from"), F.col("story_to").alias(f"{name}_to"),
-    ).where("subject is not null and predicate is not null")
-
-
 def _differing(g: Graph) -> DataFrame:
-    pairs = _facts(g, "a").join(_facts(g, "b"), ["subject", "predicate"])
-    return pairs.where((F.col("a_id") < F.col("b_id")) & (F.col("a_object") != F.col("b_object")) & overlap(F.col("a_from"), F.col("a_to"), F.col("b_from"), F.col("b_to")))
+    """Facts on one subject and predicate that hold at the same time with different objects."""
+    n = g.live_node.where("kind = 'Fact'")
+    facts = n.select("id", prop("subject").alias("subject"), prop("predicate").alias("predicate"), typed("object").alias("object"), "story_from", "story_to")
+    return overlapping(facts.where("subject is not null and predicate is not null"), ["subject", "predicate"], "object")
 
 
 @rule("timeline.absolute")
@@ -50,13 +45,12 @@ def timeline_absolute(g: Graph) -> DataFrame:
 @rule("timeline.simultaneity")
 def timeline_simultaneity(g: Graph) -> DataFrame:
     """One person in two overlapping scenes that occur at different places."""
-    scene = g.live_node.where("kind = 'Scene'").select("id", "story_from", F.coalesce("story_to", "story_from").alias("ends"))
+    scene = g.live_node.where("kind = 'Scene'").select("id", "story_from", F.coalesce("story_to", "story_from").alias("story_to"))
     at = g.live_edge.where("rel = 'occurs_at'").select("src", F.col("dst").alias("place"))
     there = g.live_edge.where("rel = 'present_at'").select("src", F.col("dst").alias("person"))
-    seen = there.join(scene, there["src"] == scene["id"]).drop("src").join(at, F.col("id") == at["src"]).select("person", "id", "story_from", "ends", "place")
-    other = seen.select("person", *(F.col(c).alias(f"o_{c}") for c in ("id", "story_from", "ends", "place")))
-    met = seen.join(other, "person").where((F.col("id") < F.col("o_id")) & (F.col("place") != F.col("o_place")) & overlap(F.col("story_from"), F.col("ends"), F.col("o_story_from"), F.col("o_ends")))
-    return _finding(met, "id", ["o_id", "person", "place", "o_place"], "one person in two places")
+    seen = there.join(scene, there["src"] == scene["id"]).drop("src").join(at, F.col("id") == at["src"]).select("person", "id", "story_from", "story_to", "place")
+    met = overlapping(seen, ["person"], "place")
+    return _finding(met, "a_id", ["b_id", "person", "a_value", "b_value"], "one person in two places")
 
 
 @rule("plot.causeless")
@@ -156,7 +150,7 @@ def promise_premature(g: Graph) -> DataFrame:
 
 @rule("graph.causal_cycle")
 def causal_cycle(g: Graph) -> DataFrame:
-    nodes = cycle_pairs(g.live_edge.where("rel = 'causes'").select("src", "dst"))
+    nodes = on_cycles(g.live_edge.where("rel = 'causes'").select("src", "dst"))
     return _finding(nodes, "id", ["id"], "a cycle of causes")
 
 

@@ -125,18 +125,73 @@ def acyclic_check(g: Graph, rels: DataFrame) -> DataFrame:
     return out.where("stuck_nodes > 0")
 
 
-def cycle_pairs(edges: DataFrame) -> DataFrame:
-    """Nodes on a cycle.  Peeled from both ends first, so the closure runs over what little is left."""
-    left = stuck(edges)
-    left = stuck(left.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    left = cut(left)
-    seen = left
-    frontier = left
-    while not frontier.isEmpty():
-        step = frontier.join(left.select(F.col("src").alias("dst"), F.col("dst").alias("end")), "dst").select("src", F.col("end").alias("dst")).distinct()
-        frontier = cut(step.join(seen, ["src", "dst"], "left_anti"))
-        seen = cut(seen.unionByName(frontier))
-    return seen.where("src = dst").select(F.col("src").alias("id"))
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Without edges from nodes that nothing leads to, and without those to nodes that lead nowhere."""
+    src, dst = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+    return edges.join(src, "src", "left_semi").join(dst, "dst", "left_semi").select("src", "dst")
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """edges (src, dst) -> id, component: nodes that share a cycle; nodes without one do not appear.
+
+    Paths are contracted first: where a node has one way out, half of them by lot go into what they lead
+    to, so a cycle or path of any length is gone in a logarithmic number of rounds, and ends are trimmed.
+    What is left is coloured forward by the least node that reaches each, and backward from those nodes
+    within a colour: that is a component.  At last contracted nodes come back, one round after another:
+    such a node is in the component it leads to if a node of that component leads to it.
+    No round has more rows than there are edges."""
+    left = cut(edges.select("src", "dst").where("src != dst").distinct())
+    n, rounds, gone = left.count(), 0, []
+    while n:
+        rounds += 1
+        left = cut(_trimmed(left))
+        ways = left.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("into")).where("n = 1").select(F.col("src").alias("id"), "into")
+        lot = [F.pmod(F.xxhash64(F.lit(rounds), c), F.lit(2)) for c in ("id", "into")]
+        going = cut(ways.where((lot[0] == 0) & (lot[1] == 1)))
+        m = left.count()
+        if not going.isEmpty():
+            gone.append(cut(left.select(F.col("src").alias("by"), F.col("dst").alias("id")).join(going, "id")))
+            rest = left.join(going.select(F.col("id").alias("src")), "src", "left_anti")
+            moved = rest.join(going.select(F.col("id").alias("dst"), "into"), "dst", "left").select("src", F.coalesce("into", "dst").alias("dst"))
+            left = cut(moved.where("src != dst").distinct())
+            m = left.count()
+        elif m == n and ways.isEmpty():
+            break
+        n = m
+    found = left.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
+    while n:
+        color = cut(left.select(F.col("src").alias("id")).union(left.select("dst")).distinct().withColumn("color", F.col("id")))
+        new = color
+        while not new.isEmpty():
+            told = left.join(new.select(F.col("id").alias("src"), "color"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("color").alias("told"))
+            new = cut(told.join(color, "id").where("told < color").select("id", F.col("told").alias("color")))
+            color = cut(color.join(new.withColumnRenamed("color", "less"), "id", "left").select("id", F.coalesce("less", "color").alias("color")))
+        same = left.join(color.select(F.col("id").alias("src"), "color"), "src").join(color.select(F.col("id").alias("dst"), F.col("color").alias("other")), "dst").where("color = other")
+        same = cut(same.select("src", "dst"))
+        part = front = cut(color.where("id = color"))
+        while not front.isEmpty():
+            back = same.join(front.select(F.col("id").alias("dst"), "color"), "dst").select(F.col("src").alias("id"), "color").distinct()
+            front = cut(back.join(part.select("id"), "id", "left_anti"))
+            part = cut(part.unionByName(front))
+        found = cut(found.unionByName(part.select("id", F.col("color").alias("component"))))
+        left = left.join(part.select(F.col("id").alias("src")), "src", "left_anti").join(part.select(F.col("id").alias("dst")), "dst", "left_anti")
+        left = cut(_trimmed(left.select("src", "dst")))
+        n = left.count()
+    for g in reversed(gone):
+        # a node that is in no component yet is one of its own
+        label = g.join(found.select(F.col("id").alias("into"), F.col("component").alias("c")), "into", "left").join(found.select(F.col("id").alias("by"), F.col("component").alias("d")), "by", "left")
+        label = label.select("id", "into", F.coalesce("c", "into").alias("c"), F.coalesce("d", "by").alias("d")).where("c = d").select("id", "into", F.col("c").alias("component")).distinct()
+        label = cut(label)
+        more = label.select("id", "component").union(label.select(F.col("into").alias("id"), "component")).distinct()
+        found = cut(found.unionByName(more.join(found.select("id"), "id", "left_anti")))
+    sized = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    return found.join(sized, "component", "left_semi").select("id", "component")
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """id of every node on a cycle, a loop included."""
+    loops = edges.where("src = dst").select(F.col("src").alias("id"))
+    return strong_components(edges).select("id").union(loops).distinct()
 
 
 def max_per_dst_check(g: Graph, rels: DataFrame) -> DataFrame:

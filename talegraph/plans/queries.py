@@ -439,9 +439,11 @@ BENCH_WORDS = "SELECT item_id AS q, text FROM @benchmark"
 
 @query(
     "find_lexical",
-    r"""WITH d AS (SELECT doc_id AS id, regexp_extract_all(FOLDED, '[\p{L}\p{N}]+') AS ts FROM documents), q AS (SELECT item_id AS q, unnest(list_distinct(regexp_extract_all(FOLDED, '[\p{L}\p{N}]+'))) AS term FROM benchmark),
-    need AS (SELECT q, count(*) AS need FROM q GROUP BY q), st AS (SELECT count(*) AS n, avg(len(ts)) AS av FROM d), p AS (SELECT id, len(ts) AS l, unnest(ts) AS term FROM d), tf AS (SELECT id, l, term, CAST(count(*) AS DOUBLE) AS f FROM p WHERE term IN (SELECT term FROM q) GROUP BY id, l, term),
-    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), s AS (SELECT q.q, tf.id, sum(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 0.000001::DOUBLE) * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / av))) AS score, count(*) AS got FROM q JOIN tf ON tf.term = q.term JOIN df ON df.term = q.term CROSS JOIN st GROUP BY q.q, tf.id)
+    r"""WITH d AS (SELECT doc_id AS id, regexp_extract_all(FOLDED, '[\p{L}\p{N}]+') AS ts FROM documents), dd AS (SELECT id, ts, ' ' || array_to_string(ts, ' ') || ' ' AS line FROM d),
+    tok AS (SELECT DISTINCT item_id AS q, regexp_extract_all(FOLDED, '[\p{L}\p{N}]+') AS ph FROM (SELECT item_id, unnest(string_split_regex(text, '\s+')) AS text FROM benchmark) z), q AS (SELECT q, ph, array_to_string(ph, ' ') AS s FROM tok WHERE len(ph) > 0),
+    need AS (SELECT q, count(*) AS need FROM q GROUP BY q), st AS (SELECT count(*) AS n, avg(len(ts)) AS av FROM d), p AS (SELECT id, unnest(ts) AS term FROM d), one AS (SELECT id, term AS s, CAST(count(*) AS DOUBLE) AS f FROM p WHERE term IN (SELECT s FROM q WHERE len(ph) = 1) GROUP BY id, term),
+    many AS (SELECT id, u.s, CAST(len(list_filter(range(1, len(ts) + 1), lambda i: ts[i : i + len(u.ph) - 1] = u.ph)) AS DOUBLE) AS f FROM dd JOIN (SELECT DISTINCT s, ph FROM q WHERE len(ph) > 1) u ON contains(line, ' ' || u.s || ' ')), tf AS (SELECT * FROM one UNION ALL SELECT * FROM many),
+    df AS (SELECT s, count(*) AS df FROM tf GROUP BY s), s AS (SELECT q.q, tf.id, sum(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 0.000001::DOUBLE) * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(ts) / av))) AS score, count(*) AS got FROM q JOIN tf ON tf.s = q.s JOIN df ON df.s = q.s JOIN d ON d.id = tf.id CROSS JOIN st GROUP BY q.q, tf.id)
     SELECT q, id, score, CAST(rank AS INT) AS rank FROM (SELECT s.q, s.id, round(s.score, 6) AS score, row_number() OVER (PARTITION BY s.q ORDER BY round(s.score, 6) DESC, s.id) AS rank FROM s JOIN need ON need.q = s.q WHERE got = need) z WHERE rank <= 20""".replace("FOLDED", f"translate(lower(text), '{MARKED}', '{PLAIN}')"),
 )
 def _(spark, sf):
@@ -475,6 +477,14 @@ def _(spark, sf):
     return search.knn_l2(v, v.where("id % 20 = 0").select(F.col("id").alias("q"), "v"))
 
 
+FIND_ASKED = "SELECT q, text FROM (SELECT 'p' || CAST(p_partkey AS STRING) AS q, p_name AS text FROM @part UNION ALL SELECT 'n' || CAST(n_nationkey AS STRING), n_name || ' of' FROM @nation UNION ALL SELECT 'c' || CAST(c_custkey AS STRING), c_name FROM @customer) z"
+
+
+@query("find")
+def _(spark, sf):
+    return search.find(graph(spark, sf), source(spark, sf, FIND_ASKED), kinds=["Object", "Promise", "Character", "Location"], as_of=45, limit=10)
+
+
 @query("rrf_fuse")
 def _(spark, sf):
     g = graph(spark, sf)
