@@ -477,12 +477,12 @@ def _(spark, sf):
     return search.knn_l2(v, v.where("id % 20 = 0").select(F.col("id").alias("q"), "v"))
 
 
-FIND_ASKED = "SELECT q, text FROM (SELECT 'p' || CAST(p_partkey AS STRING) AS q, p_name AS text FROM @part UNION ALL SELECT 'n' || CAST(n_nationkey AS STRING), n_name || ' of' FROM @nation UNION ALL SELECT 'c' || CAST(c_custkey AS STRING), c_name FROM @customer) z"
+FIND_ASKED = "SELECT 'n' || CAST(n_nationkey AS STRING) AS q, n_name || ' of' AS text FROM @nation UNION ALL SELECT 's' || CAST(s_suppkey AS STRING), s_name FROM @supplier"
 
 
 @query("find")
 def _(spark, sf):
-    return search.find(graph(spark, sf), source(spark, sf, FIND_ASKED), kinds=["Object", "Promise", "Character", "Location"], as_of=45, limit=10)
+    return search.find(graph(spark, sf), source(spark, sf, FIND_ASKED), kinds=["Object", "Faction", "Character", "Location"], as_of=45, limit=10)
 
 
 @query("rrf_fuse")
