@@ -160,23 +160,63 @@ def commit_batch(ops: DataFrame, reads: DataFrame, order: DataFrame, current: Da
 
 
 def content_cid(g: Graph) -> DataFrame:
-    """id, cid: hash of a live node's content with its sorted aliases, tags and outgoing edges."""
+    """id, cid: hash of a live node's content as one JSON array, with sorted aliases, tags, viewers, spans and outgoing edges.
 
-    def gathered(side: DataFrame, key: str, value) -> DataFrame:
-        return side.groupBy(F.col(key).alias("id")).agg(F.array_join(F.sort_array(F.collect_list(value)), ",").alias("x"))
+    The outgoing edges of a node, which may be many, are first hashed in parts, by the first two digits of their own hash."""
+
+    def listed(*parts: str):
+        return F.to_json(F.array(*(F.coalesce(F.col(p).cast("string"), F.lit("-")) for p in parts)))
 
-    out = g.live_node.select("id", "kind", "title", "props")
-    parts = [gathered(g.node_alias, "node", F.col("alias")), gathered(g.node_tag, "node", F.col("tag")), gathered(g.live_edge, "src", F.concat_ws(">", "rel", "dst"))]
-    for i, p in enumerate(parts):
-        out = out.join(p.withColumnRenamed("x", f"x{i}"), "id", "left")
-    text = F.concat_ws("|", "id", "kind", "title", "props", *(F.coalesce(f"x{i}", F.lit("")) for i in range(len(parts))))
+    def gathered(side: DataFrame, key: str, value) -> DataFrame:
+        part = side.select(F.col(key).alias("id"), value.alias("x")).groupBy("id", F.substring(F.md5("x"), 1, 2).alias("part")).agg(F.md5(F.array_join(F.sort_array(F.collect_list("x")), ",")).alias("h"))
+        return part.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list(F.concat("part", "h"))), ",").alias("x"))
+
+    out = g.live_node.select("id", "kind", "title", "summary", "props", "story_from", "story_to", "reveal_at", "locked")
+    sides = [(g.node_alias, "node", listed("alias")), (g.node_tag, "node", listed("tag")), (g.live_edge, "src", listed("rel", "dst")), (g.visibility, "fact", listed("viewer", "learned_at", "pathway")), (g.evidence, "node", listed("file", "start_off", "end_off"))]
+    for i, (side, key, value) in enumerate(sides):
+        out = out.join(gathered(side, key, value).withColumnRenamed("x", f"x{i}"), "id", "left")
+    text = listed("id", "kind", "title", "summary", "props", "story_from", "story_to", "reveal_at", "locked", *(f"x{i}" for i in range(len(sides))))
     return out.select("id", F.sha2(text, 256).alias("cid"))
 
 
-def graph_root(cids: DataFrame, digits: int = 2) -> DataFrame:
-    """root: a hash of hashes by the first digits of each node's hash, so no list of all nodes is made in one place."""
-    leaf = cids.groupBy(F.substring(F.sha2("id", 256), 1, digits).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "id", "cid"))), ","), 256).alias("h"))
-    return leaf.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "b", "h"))), ","), 256).alias("root"))
+#: Ids that a leaf of the graph's hash tree should hold.
+LEAF = 1_024
+
+
+def root_digits(n: int) -> int:
+    """Hexadecimal digits that name the leaves of a tree over n ids; fixed for the life of a graph."""
+    digits = 1
+    while n > LEAF << 4 * digits:
+        digits += 1
+    return digits
+
+
+def root_leaves(cids: DataFrame, digits: int) -> DataFrame:
+    """cids (id, cid) -> leaf, hash: ranges of the hashed ids, each with a hash of its sorted ids and contents."""
+    leaf = F.substring(F.sha2("id", 256), 1, digits).alias("leaf")
+    line = F.to_json(F.array("id", "cid"))
+    return cids.groupBy(leaf).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), ","), 256).alias("hash"))
+
+
+def root_update(leaves: DataFrame, cids: DataFrame, changed: DataFrame, digits: int) -> DataFrame:
+    """Leaves after a commit: only those of changed (id) are hashed again; ids that are gone are in changed and not in cids."""
+    mine = changed.select(F.substring(F.sha2("id", 256), 1, digits).alias("leaf")).distinct()
+    here = cids.withColumn("leaf", F.substring(F.sha2("id", 256), 1, digits)).join(mine, "leaf", "left_semi")
+    return leaves.join(mine, "leaf", "left_anti").unionByName(root_leaves(here.select("id", "cid"), digits))
+
+
+def root_of(leaves: DataFrame, digits: int) -> DataFrame:
+    """root: leaves are folded sixteen at a time, a digit a level, so no list has more than sixteen parts."""
+    level = leaves.select("leaf", "hash")
+    for n in range(digits - 1, -1, -1):
+        parts = F.array_join(F.sort_array(F.collect_list(F.to_json(F.array("leaf", "hash")))), ",")
+        level = level.groupBy(F.substring("leaf", 1, n).alias("up")).agg(F.sha2(parts, 256).alias("hash")).withColumnRenamed("up", "leaf")
+    return level.select(F.col("hash").alias("root"))
+
+
+def graph_root(cids: DataFrame, digits: int) -> DataFrame:
+    """root of the whole graph."""
+    return root_of(root_leaves(cids, digits), digits)
 
 
 def branch_track(log: DataFrame) -> DataFrame:

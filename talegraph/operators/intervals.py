@@ -52,3 +52,15 @@ def overlapping(rows: DataFrame, keys: list[str], value: str, start: str = "stor
         *keys, F.least("_id", "i_id").alias("a_id"), F.greatest("_id", "i_id").alias("b_id"),
         F.when(turn, F.col("_value")).otherwise(F.col("i_value")).alias("a_value"), F.when(turn, F.col("i_value")).otherwise(F.col("_value")).alias("b_value"),
     )
+
+
+def within(points: DataFrame, spans: DataFrame, keys: list[str], at: str, first: str, after: str) -> DataFrame:
+    """points (keys, at and more), spans (keys, first, after and more), all at >= 0 -> both rows where first <= at < after; after null is without end.
+
+    As overlapping(): spans are cut into slices, a point is in one slice of each level, and a pair meets once."""
+    last = points.agg(F.max(at)).first()[0]
+    levels = _levels(int(last or 0) + 1)
+    ends = F.least(F.coalesce(F.col(after), F.lit(int(last or 0) + 1)), F.lit(int(last or 0) + 1)).cast("long")
+    cut_up = spans.withColumn("_slice", F.explode(_slices(F.col(first).cast("long"), ends, levels)))
+    lies = F.array(*(F.struct(F.lit(i).alias("level"), F.shiftright(F.col(at).cast("long"), i).alias("at")) for i in range(levels + 1)))
+    return points.withColumn("_slice", F.explode(lies)).join(cut_up, [*keys, "_slice"]).drop("_slice")

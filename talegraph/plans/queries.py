@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import KINDS_SQL, POLICIES_SQL, RELS_SQL, RULES_SQL, kind_dim, rel_dim, rule_dim
 from ..functions.columns import MARKED, PLAIN, prop
-from ..operators import apply, cascade, commit, editlog, ingest, projections, reads, rules, search, traverse
+from ..operators import apply, cascade, commit, editlog, ingest, projections, reads, rules, search, traverse, versions
 from ..streaming import grants, leases
 from .retail import checked, graph, source
 
@@ -607,14 +607,58 @@ def _(spark, sf):
     return editlog.revision_asof(r, F.lit("2024-01-15 00:00:00").cast("timestamp")).select("node", "rev")
 
 
-@query("content_cid", "SELECT n.id, sha256(n.id || '|' || n.kind || '|' || n.title || '|' || n.props || '|' || coalesce((SELECT string_agg(alias, ',' ORDER BY alias) FROM node_alias a WHERE a.node = n.id), '') || '|' || coalesce((SELECT string_agg(tag, ',' ORDER BY tag) FROM node_tag a WHERE a.node = n.id), '') || '|' || coalesce((SELECT string_agg(rel || '>' || dst, ',' ORDER BY rel || '>' || dst) FROM live_edge a WHERE a.src = n.id), '')) AS cid FROM live_node n")
+def _cid_side(table: str, key: str, parts: str) -> str:
+    """Hashes in parts of one side table, as content_cid has them."""
+    listed = "CAST(to_json([" + ", ".join(f"coalesce(CAST({p} AS VARCHAR), '-')" for p in parts.split()) + "]) AS VARCHAR)"
+    return f"(SELECT id, string_agg(p || h, ',' ORDER BY p || h) AS x FROM (SELECT id, p, md5(string_agg(x, ',' ORDER BY x)) AS h FROM (SELECT id, x, substr(md5(x), 1, 2) AS p FROM (SELECT {key} AS id, {listed} AS x FROM {table}) z) y GROUP BY id, p) w GROUP BY id)"
+
+
+_CID_SIDES = [("node_alias", "node", "alias"), ("node_tag", "node", "tag"), ("live_edge", "src", "rel dst"), ("visibility", "fact", "viewer learned_at pathway"), ("evidence", "node", "file start_off end_off")]
+_CID = (
+    "SELECT n.id, sha256(CAST(to_json([" + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in ("n.id", "kind", "title", "summary", "props", "story_from", "story_to", "reveal_at", "locked", *(f"s{i}.x" for i in range(len(_CID_SIDES)))))
+    + "]) AS VARCHAR)) AS cid FROM live_node n" + "".join(f" LEFT JOIN {_cid_side(*side)} s{i} ON s{i}.id = n.id" for i, side in enumerate(_CID_SIDES))
+)
+
+
+@query("content_cid", _CID)
 def _(spark, sf):
     return editlog.content_cid(graph(spark, sf))
 
 
-@query("graph_root")
+def _fold(below: str, digits: int) -> str:
+    return f"SELECT substr(leaf, 1, {digits}) AS leaf, sha256(string_agg(CAST(to_json([leaf, hash]) AS VARCHAR), ',' ORDER BY CAST(to_json([leaf, hash]) AS VARCHAR))) AS hash FROM ({below}) z GROUP BY 1"
+
+
+_LEAVES = f"SELECT leaf, sha256(string_agg(x, ',' ORDER BY x)) AS hash FROM (SELECT substr(sha256(id), 1, 2) AS leaf, CAST(to_json([id, cid]) AS VARCHAR) AS x FROM ({_CID}) c) z GROUP BY leaf"
+
+
+@query("graph_root", f"SELECT hash AS root FROM ({_fold(_fold(_LEAVES, 1), 0)}) q")
+def _(spark, sf):
+    return editlog.graph_root(editlog.content_cid(graph(spark, sf)), 2)
+
+
+# what a user's proposals put into a node, a revision each, and what others read of it before
+VERSIONS = "SELECT target AS node, CAST(row_number() OVER (PARTITION BY target ORDER BY ts, proposal, seq) AS INT) + 1 AS rev, field, to_val AS value FROM (" + OPS_SQL + ") o WHERE verb = 'UPDATE'"
+VERSION_READS = "SELECT DISTINCT 'p' || CAST(event_id AS STRING) AS reader, 'character/c' || CAST(user_id AS STRING) AS node, CAST(1 + event_id % 9 AS INT) AS rev FROM @events WHERE event_id % 3 = 0"
+_ASOF = (
+    "last AS (SELECT node, field, max(rev) AS last, arg_max(value, rev) AS now FROM versions GROUP BY node, field), asked AS (SELECT r.*, l.field, l.now FROM vreads r JOIN last l ON l.node = r.node AND l.last > r.rev), "
+    "c AS (SELECT a.reader, a.node, a.rev, a.field, CASE WHEN count(v.rev) > 0 THEN arg_max(v.value, v.rev) ELSE any_value(CASE WHEN a.field = 'props.segment' THEN n.props->>'$.segment' END) END AS \"then\", any_value(a.now) AS now FROM asked a LEFT JOIN versions v ON v.node = a.node AND v.field = a.field AND v.rev <= a.rev LEFT JOIN live_node n ON n.id = a.node GROUP BY a.reader, a.node, a.rev, a.field)"
+)
+
+
+def _versions(spark, sf):
+    v = source(spark, sf, VERSIONS)
+    return source(spark, sf, VERSION_READS), v, versions.base_value(graph(spark, sf), v.select("node", "field").distinct())
+
+
+@query("asof_content", f"WITH {_ASOF} SELECT * FROM c", versions=VERSIONS, vreads=VERSION_READS)
+def _(spark, sf):
+    return versions.asof_content(*_versions(spark, sf))
+
+
+@query("changed_since", f"WITH {_ASOF} SELECT reader, node, rev, string_agg(DISTINCT field, ',' ORDER BY field) AS fields FROM c WHERE \"then\" IS DISTINCT FROM now GROUP BY reader, node, rev", versions=VERSIONS, vreads=VERSION_READS)
 def _(spark, sf):
-    return editlog.graph_root(editlog.content_cid(graph(spark, sf)))
+    return versions.changed_since(*_versions(spark, sf)).withColumn("fields", F.array_join("fields", ","))
 
 
 BRANCH_LOG = "SELECT 's' || CAST(user_id % 20 AS STRING) AS session, event_id AS commit_seq, ts, CASE WHEN event_type = 'error' THEN 'rejected' ELSE 'accepted' END AS status FROM @events"
