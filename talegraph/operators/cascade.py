@@ -101,12 +101,13 @@ def job_staleness(jobs: DataFrame, current: DataFrame) -> DataFrame:
 def propagate_cycles(items: DataFrame, deps: DataFrame) -> DataFrame:
     """items (run, node), deps (source, target) -> run, node: nodes on a cycle of the edges inside their run.
 
-    The nodes of all runs are told apart by run, so one peeling and closure serves them all."""
+    The nodes of all runs are told apart by run, so one pass serves them all."""
     nodes = items.select("run", "node").distinct()
     inner = nodes.withColumnRenamed("node", "source").join(deps.select("source", "target").distinct(), "source")
     inner = inner.join(nodes.withColumnRenamed("node", "target"), ["run", "target"])
-    own = [F.struct("run", F.col(c).alias("node")).alias(e) for c, e in (("source", "src"), ("target", "dst"))]
-    return on_cycles(inner.select(*own)).select("id.run", "id.node").distinct()
+    own = [F.to_json(F.struct("run", F.col(c).alias("node"))).alias(e) for c, e in (("source", "src"), ("target", "dst"))]
+    found = on_cycles(inner.select(*own)).select(F.from_json("id", f"run {nodes.schema['run'].dataType.simpleString()}, node string").alias("x"))
+    return found.select("x.run", "x.node").distinct()
 
 
 def run_iteration(proposals: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ not visited yet; only ``trace`` carries paths."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,10 @@ from ..functions.columns import begun, token_estimate
 from ..model import Graph, cut
 
 
+#: Edges that one task may hold, to finish what rounds have left.
+FEW_EDGES = 100_000
+
+
 def reach(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
     """edges (src, dst), start (run, id) -> run, id, depth: least depth of all that each run reaches.
 
@@ -131,9 +138,47 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     return edges.join(src, "src", "left_semi").join(dst, "dst", "left_semi").select("src", "dst")
 
 
+def _components_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(src, dst) of a bounded graph -> id, component: two passes of depth-first search, the second against the edges."""
+    ahead: dict = {}
+    back: dict = {}
+    kind = None
+    for b in batches:
+        kind = b.schema.field("src").type
+        for s, d in zip(b.column("src").to_pylist(), b.column("dst").to_pylist(), strict=True):
+            ahead.setdefault(s, []).append(d)
+            back.setdefault(d, []).append(s)
+    seen: set = set()
+    order = []
+    for root in ahead:
+        todo = [(root, iter(ahead[root]))] if root not in seen else []
+        seen.add(root)
+        while todo:
+            node, ways = todo[-1]
+            to = next((x for x in ways if x not in seen), None)
+            if to is None:
+                order.append(node)
+                todo.pop()
+            else:
+                seen.add(to)
+                todo.append((to, iter(ahead.get(to, ()))))
+    part: dict = {}
+    for root in reversed(order):
+        todo = [root] if root not in part else []
+        while todo:
+            node = todo.pop()
+            if node not in part:
+                part[node] = root
+                todo += [x for x in back.get(node, ()) if x not in part]
+    if part:
+        yield pa.RecordBatch.from_arrays([pa.array(part.keys(), kind), pa.array(part.values(), kind)], ["id", "component"])
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """edges (src, dst) -> id, component: nodes that share a cycle; nodes without one do not appear.
 
+    Once no more than FEW_EDGES are left, one task finishes them; until then:
+
     Paths are contracted first: where a node has one way out, half of them by lot go into what they lead
     to, so a cycle or path of any length is gone in a logarithmic number of rounds, and ends are trimmed.
     What is left is coloured forward by the least node that reaches each, and backward from those nodes
@@ -141,14 +186,17 @@ def strong_components(edges: DataFrame) -> DataFrame:
     such a node is in the component it leads to if a node of that component leads to it.
     No round has more rows than there are edges."""
     left = cut(edges.select("src", "dst").where("src != dst").distinct())
-    n, rounds, gone = left.count(), 0, []
+    n, rounds, gone, few = left.count(), 0, [], False
     while n:
         rounds += 1
-        left = cut(_trimmed(left))
+        left = cut(_trimmed(_trimmed(left)))
         ways = left.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("into")).where("n = 1").select(F.col("src").alias("id"), "into")
         lot = [F.pmod(F.xxhash64(F.lit(rounds), c), F.lit(2)) for c in ("id", "into")]
-        going = cut(ways.where((lot[0] == 0) & (lot[1] == 1)))
         m = left.count()
+        if m <= FEW_EDGES:
+            n, few = m, m > 0
+            break
+        going = cut(ways.where((lot[0] == 0) & (lot[1] == 1)))
         if not going.isEmpty():
             gone.append(cut(left.select(F.col("src").alias("by"), F.col("dst").alias("id")).join(going, "id")))
             rest = left.join(going.select(F.col("id").alias("src")), "src", "left_anti")
@@ -159,6 +207,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
             break
         n = m
     found = left.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
+    if few:
+        kind = left.schema["src"].dataType.simpleString()
+        found, n = cut(left.coalesce(1).mapInArrow(_components_here, f"id {kind}, component {kind}")), 0
     while n:
         color = cut(left.select(F.col("src").alias("id")).union(left.select("dst")).distinct().withColumn("color", F.col("id")))
         new = color

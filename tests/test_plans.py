@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from talegraph.operators import traverse
@@ -57,9 +58,11 @@ def components(edges):
     return out, {n for n in nodes if n in far[n]}
 
 
-def test_strong_components(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_strong_components(spark, monkeypatch, few):
+    monkeypatch.setattr(traverse, "FEW_EDGES", few)
     rng = random.Random(9)
-    for n, m in ((30, 36), (40, 70), (12, 40), (5, 0)):
+    for n, m in ((30, 36), (20, 34), (5, 0)):
         edges = [(f"n{rng.randrange(n):02d}", f"n{rng.randrange(n):02d}") for _ in range(m)]
         df = spark.createDataFrame(edges, "src string, dst string")
         want, looped = components(edges)
@@ -76,6 +79,7 @@ def test_one_large_cycle(spark, monkeypatch):
     n = 1_500
     ring = spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"))
     path = spark.range(n).select((F.col("id") + n).alias("src"), (F.col("id") + n + 1).alias("dst"))
+    monkeypatch.setattr(traverse, "FEW_EDGES", 0)
     cuts, cut = [], traverse.cut
     monkeypatch.setattr(traverse, "cut", lambda df: cuts.append(cut(df)) or cuts[-1])
     assert traverse.on_cycles(ring.union(path)).count() == n
