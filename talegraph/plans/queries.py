@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import KINDS_SQL, POLICIES_SQL, RELS_SQL, RULES_SQL, kind_dim, rel_dim, rule_dim
 from ..functions.columns import MARKED, PLAIN, prop
-from ..operators import apply, cascade, commit, editlog, ingest, projections, reads, rules, search, traverse, versions
+from ..operators import apply, cascade, commit, editlog, ingest, payload, projections, reads, rules, search, traverse, versions
 from ..streaming import grants, leases
 from .retail import checked, graph, source
 
@@ -729,7 +729,7 @@ _ERRORS = f"""k AS ({KINDS_SQL}), rl AS ({RELS_SQL}), nd AS (SELECT id, kind, lo
     bad AS (SELECT proposal, seq, 'id is in use' AS error FROM x WHERE verb = 'ADD' AND live UNION ALL SELECT proposal, seq, 'unknown kind' FROM x WHERE verb = 'ADD' AND lower(split_part(target, '/', 1)) NOT IN (SELECT lower(kind) FROM k)
       UNION ALL SELECT proposal, seq, 'target is not there' FROM x WHERE verb <> 'ADD' AND NOT known UNION ALL SELECT proposal, seq, 'target is locked' FROM x WHERE verb IN ('UPDATE', 'INVALIDATE') AND lk
       UNION ALL SELECT proposal, seq, 'field cannot be set' FROM x WHERE verb = 'UPDATE' AND NOT (coalesce(field, '') LIKE 'props.%' OR coalesce(field, '') IN ('title', 'summary'))
-      UNION ALL SELECT proposal, seq, 'no such step of a promise' FROM x WHERE verb = 'UPDATE' AND kd = 'Promise' AND field = 'props.status' AND to_val <> status AND (status, to_val) NOT IN (('hypothetical', 'eligible'), ('hypothetical', 'prevented'), ('eligible', 'actualized'), ('eligible', 'prevented'))
+      UNION ALL SELECT proposal, seq, 'no such step of a promise' FROM x WHERE verb = 'UPDATE' AND kd = 'Promise' AND field = 'props.status' AND to_val <> status AND (status, to_val) NOT IN (('hypothetical', 'eligible'), ('hypothetical', 'prevented'), ('eligible', 'actualized'), ('eligible', 'prevented'), ('actualized', 'prevented'))
       UNION ALL SELECT proposal, seq, 'other end is not there' FROM y WHERE NOT other UNION ALL SELECT proposal, seq, 'unknown relation' FROM y WHERE NOT rk UNION ALL SELECT proposal, seq, 'kind of the target does not fit' FROM y WHERE verb = 'LINK' AND src_kind <> kd
       UNION ALL SELECT proposal, seq, 'kind of the other end does not fit' FROM y WHERE verb = 'LINK' AND dst_kind <> okd UNION ALL SELECT proposal, seq, 'an end is locked' FROM y WHERE lk OR olk
       UNION ALL SELECT proposal, seq, 'edge is there already' FROM y WHERE verb = 'LINK' AND linked UNION ALL SELECT proposal, seq, 'edge is not there' FROM y WHERE verb = 'UNLINK' AND NOT linked)"""
@@ -938,7 +938,14 @@ def _(spark, sf):
     return ingest.scene_split(source(spark, sf, FILES))
 
 
-@query("read_span_bytes")
+# bytes of a text by its hexadecimal form; a character that is cut at either end is U+FFFD, as when the bytes are read
+_BODY = (
+    "SELECT node, string_agg(part, chr(10) || chr(10) ORDER BY file, start_off, part) AS body FROM (SELECT node, file, start_off, repeat(chr(65533), CAST(len(head) / 2 AS INT)) || decode(unhex(substr(h, len(head) + 1, len(h) - len(head) - len(tail)))) || CASE WHEN tail = '' THEN '' ELSE chr(65533) END AS part "
+    "FROM (SELECT *, regexp_extract(substr(h, len(head) + 1), '(?:[CD][0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F])?|F[0-4](?:[89AB][0-9A-F]){0,2})$') AS tail FROM (SELECT *, regexp_extract(h, '^(?:[89AB][0-9A-F])*') AS head FROM (SELECT e.node, e.file, e.start_off, substr(hex(encode(d.text)), 2 * e.start_off + 1, 2 * (e.end_off - e.start_off)) AS h FROM evidence e JOIN documents d ON e.file = 'doc-' || CAST(d.doc_id AS VARCHAR)) x) y) z) w GROUP BY node"
+)
+
+
+@query("read_span_bytes", _BODY)
 def _(spark, sf):
     return ingest.read_span_bytes(source(spark, sf, FILES), graph(spark, sf).evidence)
 
@@ -946,7 +953,7 @@ def _(spark, sf):
 BODIES_ASKED = "SELECT CAST(event_id AS BIGINT) AS pos, 'fact/e' || CAST(event_id AS STRING) AS id FROM @events"
 
 
-@query("get_body")
+@query("get_body", f"SELECT a.pos, n.id, n.title, CASE WHEN n.reveal_at IS NULL OR n.reveal_at <= 15 THEN b.body END AS body, coalesce(n.reveal_at > 15, false) AS hidden FROM (SELECT CAST(event_id AS BIGINT) AS pos, 'fact/e' || CAST(event_id AS VARCHAR) AS id FROM events) a JOIN live_node n ON n.id = a.id LEFT JOIN ({_BODY}) b ON b.node = n.id")
 def _(spark, sf):
     return reads.get_body(graph(spark, sf), source(spark, sf, BODIES_ASKED), source(spark, sf, FILES), 15)
 
@@ -1151,3 +1158,37 @@ def _(spark, sf):
     n = F.substring("file", 5, 20).cast("long")
     made = files.select("file", F.when(n % 5 == 0, F.lit("0")).otherwise(F.sha2("content", 256)).alias("source_sha256"), F.when(n % 3 == 0, F.array(F.lit("someone"))).otherwise(F.array().cast("array<string>")).alias("unresolved"), F.array("file").alias("ids"))
     return ingest.manifest_validate(files, made).withColumn("errors", F.array_join("errors", ","))
+
+
+# --- payloads -------------------------------------------------------------------------------------------
+def _references_sql() -> str:
+    parts = []
+    for kind, name, part, kinds in payload.references():
+        allowed = "[" + ", ".join(f"'{k}'" for k in kinds) + "]::VARCHAR[]"
+        if part == "-":
+            parts.append(f"SELECT id, 'props.{name}' AS path, props->'$.{name}' AS v, {allowed} AS kinds FROM live_node WHERE kind = '{kind}' AND coalesce(json_type(props->'$.{name}'), 'NULL') <> 'NULL'")
+        else:
+            value, tail = ("item", "]") if part == "*" else (f"item->'$.{part}'", f"].{part}")
+            parts.append(f"SELECT id, 'props.{name}[' || CAST(i AS VARCHAR) || '{tail}' AS path, {value} AS v, {allowed} AS kinds FROM (SELECT id, unnest(json_extract(props, '$.{name}[*]')) AS item, unnest(range(0, len(json_extract(props, '$.{name}[*]')))) AS i FROM live_node WHERE kind = '{kind}') z")
+    return " UNION ALL ".join(parts)
+
+
+@query(
+    "reference_errors",
+    f"""WITH k AS ({KINDS_SQL}), r AS (SELECT id, path, kinds, CASE WHEN json_type(v) = 'VARCHAR' AND trim(v->>'$') <> '' THEN regexp_replace(v->>'$', '^story://', '') END AS bare FROM ({_references_sql()}) x),
+    t AS (SELECT *, CASE WHEN contains(bare, '/') AND lower(split_part(bare, '/', 1)) IN (SELECT lower(kind) FROM k) THEN lower(split_part(bare, '/', 1)) || substr(bare, strpos(bare, '/')) END AS "to" FROM r),
+    e AS (SELECT id, path, CASE WHEN bare IS NULL THEN 'a reference is asked for' WHEN "to" IS NULL THEN 'a reference names its kind' WHEN len(kinds) > 0 AND NOT list_contains(kinds, upper(substr("to", 1, 1)) || substr(split_part("to", '/', 1), 2)) THEN 'a reference of another kind' WHEN "to" NOT IN (SELECT id FROM live_node) THEN 'the node is not there' END AS error FROM t)
+    SELECT id, path, error FROM e WHERE error IS NOT NULL""",
+)
+def _(spark, sf):
+    g = graph(spark, sf)
+    return payload.reference_errors(g, g.live_node.select("id", "kind", "props"), kind_dim(spark))
+
+
+@query("validate_payloads")
+def _(spark, sf):
+    g = graph(spark, sf)
+    seen = g.visibility.groupBy(F.col("fact").alias("id")).agg(F.to_json(F.sort_array(F.collect_list(F.struct("viewer", "learned_at", "pathway")))).alias("visible_to"))
+    spans = g.evidence.groupBy(F.col("node").alias("id")).agg(F.to_json(F.collect_list(F.struct("file", F.col("start_off").alias("start"), F.col("end_off").alias("end"), F.lit("").alias("quote")))).alias("evidence"))
+    p = g.live_node.select("id", "kind", "props").join(seen, "id", "left").join(spans, "id", "left")
+    return payload.validate_payloads(g, p, kind_dim(spark))

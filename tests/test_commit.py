@@ -26,7 +26,7 @@ def graph(spark, nodes, edges, aliases=(), tags=()):
     )
 
 
-STEPS = {"hypothetical": ("eligible", "prevented"), "eligible": ("actualized", "prevented")}
+STEPS = {"hypothetical": ("eligible", "prevented"), "eligible": ("actualized", "prevented"), "actualized": ("prevented",)}
 
 
 def serial(nodes, edges, ops, reads, order):
