@@ -147,9 +147,12 @@ def graph_read_model(g: Graph, most: int = 500, as_of: int | None = None) -> Dat
     return out.select("id", "kind", "title", "told", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
-def rollup_response(rows: DataFrame) -> DataFrame:
-    """rows (kind, id) -> kind, ids sorted, n: what is left of an answer that is too long."""
-    return rows.groupBy("kind").agg(F.sort_array(F.collect_set("id")).alias("ids"), F.countDistinct("id").alias("n"))
+def rollup_response(rows: DataFrame, digits: int = 2) -> DataFrame:
+    """rows (kind, id) -> kind, part, ids sorted, n: what is left of an answer that is too long, in parts by a hash of the id.
+
+    digits: hexadecimal digits that name a part, so lists stay short for large kinds."""
+    part = F.substring(F.md5("id"), 1, digits).alias("part")
+    return rows.groupBy("kind", part).agg(F.sort_array(F.collect_set("id")).alias("ids"), F.countDistinct("id").alias("n"))
 
 
 def proposal_state() -> F.Column:

@@ -412,9 +412,9 @@ def _(spark, sf):
     return projections.graph_read_model(graph(spark, sf)).withColumn("tags", F.array_join("tags", ","))
 
 
-@query("rollup_response", "SELECT kind, string_agg(id, ',' ORDER BY id) AS ids, count(*) AS n FROM (SELECT DISTINCT kind, id FROM live_node WHERE kind IN ('Location', 'Faction', 'Rule')) q GROUP BY kind")
+@query("rollup_response", "SELECT kind, substr(md5(id), 1, 2) AS part, string_agg(id, ',' ORDER BY id) AS ids, count(*) AS n FROM (SELECT DISTINCT kind, id FROM live_node) q GROUP BY 1, 2")
 def _(spark, sf):
-    return projections.rollup_response(graph(spark, sf).live_node.where("kind in ('Location', 'Faction', 'Rule')").select("kind", "id")).withColumn("ids", F.array_join("ids", ","))
+    return projections.rollup_response(graph(spark, sf).live_node.select("kind", "id")).withColumn("ids", F.array_join("ids", ","))
 
 
 TOUCHED = "SELECT DISTINCT 'model-' || CAST(o_custkey % 5 AS STRING) AS model, 'scene/o' || CAST(o_orderkey AS STRING) AS scene FROM @orders"
@@ -561,25 +561,31 @@ CHANGES = "SELECT DISTINCT 'character/c' || CAST(user_id AS STRING) AS node, CAS
 CURRENT = "SELECT 'character/c' || CAST(c_custkey AS STRING) AS node, CAST(1 + c_custkey % 3 AS INT) AS rev FROM @customer"
 
 
+_CONFLICTS = """WITH m AS (SELECT proposal, target AS node, bool_and(verb = 'UPDATE') AS upd FROM ops GROUP BY proposal, target), s AS (SELECT DISTINCT r.proposal, r.node FROM reads r JOIN changes c ON c.node = r.node AND c.rev > r.rev JOIN ops o ON o.proposal = r.proposal AND o.target = r.node AND o.field = c.field)
+    SELECT r.proposal, r.node, CASE WHEN c.rev IS NULL THEN 'missing' ELSE 'revision_mismatch' END AS conflict FROM reads r LEFT JOIN cur c ON c.node = r.node LEFT JOIN m ON m.proposal = r.proposal AND m.node = r.node LEFT JOIN s ON s.proposal = r.proposal AND s.node = r.node
+    WHERE c.rev IS NULL OR (c.rev <> r.rev AND NOT (coalesce(m.upd, false) AND s.node IS NULL))"""
+
+
 @query(
     "detect_conflicts",
-    """WITH m AS (SELECT proposal, target AS node, bool_and(verb = 'UPDATE') AS upd FROM ops GROUP BY proposal, target), s AS (SELECT DISTINCT r.proposal, r.node FROM reads r JOIN changes c ON c.node = r.node AND c.rev > r.rev JOIN ops o ON o.proposal = r.proposal AND o.target = r.node AND o.field = c.field)
-    SELECT r.proposal, r.node, CASE WHEN c.rev IS NULL THEN 'missing' ELSE 'revision_mismatch' END AS conflict FROM reads r LEFT JOIN cur c ON c.node = r.node LEFT JOIN m ON m.proposal = r.proposal AND m.node = r.node LEFT JOIN s ON s.proposal = r.proposal AND s.node = r.node
-    WHERE c.rev IS NULL OR (c.rev <> r.rev AND NOT (coalesce(m.upd, false) AND s.node IS NULL))""",
+    _CONFLICTS,
     **LOG, changes=CHANGES, cur=CURRENT,
 )
 def _(spark, sf):
     return editlog.detect_conflicts(read_set(spark, sf), ops(spark, sf), source(spark, sf, CURRENT), source(spark, sf, CHANGES))
 
 
-@query(
-    "risk_assess",
-    f"""WITH p AS ({POLICIES_SQL}), rl AS ({RELS_SQL}), o AS (SELECT o.proposal, o.verb, o.field, coalesce(n.kind, upper(substr(o.target, 1, 1)) || lower(substr(split_part(o.target, '/', 1), 2))) AS kind, coalesce(n.locked, false) AS locked, rl.hard, CASE WHEN verb = 'UPDATE' AND json_extract_string(n.props, '$.' || regexp_replace(o.field, '^props\\.', '')) IS NOT NULL THEN 'set' ELSE 'null' END AS state FROM ops o LEFT JOIN live_node n ON n.id = o.target LEFT JOIN rl ON rl.rel = o.field),
+_RISK = f"""WITH p AS ({POLICIES_SQL}), rl AS ({RELS_SQL}), o AS (SELECT o.proposal, o.verb, o.field, coalesce(n.kind, upper(substr(o.target, 1, 1)) || lower(substr(split_part(o.target, '/', 1), 2))) AS kind, coalesce(n.locked, false) AS locked, rl.hard, CASE WHEN verb = 'UPDATE' AND json_extract_string(n.props, '$.' || regexp_replace(o.field, '^props\\.', '')) IS NOT NULL THEN 'set' ELSE 'null' END AS state FROM ops o LEFT JOIN live_node n ON n.id = o.target LEFT JOIN rl ON rl.rel = o.field),
     h AS (SELECT o.proposal, coalesce(p.policy, lower(o.verb) || '-default') AS reason, CASE p.risk WHEN 'auto' THEN 0 WHEN 'always' THEN 2 ELSE 1 END AS grade, coalesce(p.effect = 'forbid', false) AS no FROM o LEFT JOIN p ON (p.verb IS NULL OR list_contains(string_split(p.verb, '|'), o.verb)) AND coalesce(p.kind = o.kind, p.kind IS NULL) AND (p.field IS NULL OR p.field = o.field)
       AND (p.rel IS NULL OR (o.verb IN ('LINK', 'UNLINK') AND p.rel = o.field)) AND (p.hard IS NULL OR p.hard = o.hard) AND (p.locked IS NULL OR p.locked = o.locked) AND (p.value IS NULL OR p.value = o.state)),
     t AS (SELECT proposal, node FROM (SELECT proposal, target AS node FROM ops UNION SELECT proposal, to_val FROM ops WHERE verb IN ('LINK', 'UNLINK')) q WHERE node IS NOT NULL), w AS (SELECT proposal, count(*) AS n FROM t GROUP BY proposal),
     r AS (SELECT proposal, reason, grade, no FROM h UNION ALL SELECT proposal, CASE WHEN n >= 40 THEN 'cascade-40-plus' ELSE 'cascade-3-plus' END, CASE WHEN n >= 40 THEN 2 ELSE 1 END, false FROM w WHERE n >= 3)
-    SELECT proposal, ['auto', 'review', 'always'][max(grade) + 1] AS risk, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons, count(*) FILTER (WHERE no) AS forbidden FROM r GROUP BY proposal""",
+    SELECT proposal, ['auto', 'review', 'always'][max(grade) + 1] AS risk, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons, count(*) FILTER (WHERE no) AS forbidden FROM r GROUP BY proposal"""
+
+
+@query(
+    "risk_assess",
+    _RISK,
     **LOG,
 )
 def _(spark, sf):
@@ -1008,22 +1014,22 @@ def _(spark, sf):
 
 @query(
     "set_diff",
-    "WITH d AS (SELECT DISTINCT src, rel, CASE WHEN src LIKE '%5' THEN dst || 'x' ELSE dst END AS dst FROM live_edge WHERE rel = 'present_at'), c AS (SELECT DISTINCT src, rel, dst FROM live_edge WHERE rel = 'present_at') SELECT *, 'LINK' AS action FROM (SELECT * FROM d EXCEPT SELECT * FROM (SELECT src, rel, dst FROM c) x) y UNION ALL SELECT *, 'UNLINK' FROM (SELECT src, rel, dst FROM c EXCEPT SELECT src, rel, dst FROM d) z",
+    "WITH d AS (SELECT DISTINCT src, rel, CASE WHEN src LIKE '%5' THEN dst || 'x' ELSE dst END AS dst FROM live_edge), c AS (SELECT DISTINCT src, rel, dst FROM live_edge) SELECT *, 'LINK' AS action FROM (SELECT * FROM d EXCEPT SELECT * FROM (SELECT src, rel, dst FROM c) x) y UNION ALL SELECT *, 'UNLINK' FROM (SELECT src, rel, dst FROM c EXCEPT SELECT src, rel, dst FROM d) z",
 )
 def _(spark, sf):
-    e = graph(spark, sf).live_edge.where("rel = 'present_at'")
+    e = graph(spark, sf).live_edge
     return ingest.edge_diff(e, e.withColumn("dst", F.when(F.col("src").endswith("5"), F.concat("dst", F.lit("x"))).otherwise(F.col("dst"))))
 
 
 @query(
     "corpus_upsert",
-    "SELECT id, CASE WHEN id LIKE '%1' THEN 2 ELSE 1 END AS rev, CASE WHEN id LIKE '%1' THEN 'updated' ELSE 'unchanged' END AS change FROM live_node WHERE kind = 'Character' UNION ALL SELECT id, 1, 'inserted' FROM live_node WHERE kind = 'Faction'",
+    "SELECT id, CASE WHEN id LIKE '%7' THEN 1 WHEN id LIKE '%1' THEN rev + 1 ELSE rev END AS rev, CASE WHEN id LIKE '%7' THEN 'inserted' WHEN id LIKE '%1' THEN 'updated' ELSE 'unchanged' END AS change FROM live_node",
 )
 def _(spark, sf):
-    g = graph(spark, sf)
-    old = g.live_node.where("kind = 'Character'").select("id", F.md5("title").alias("cid"), "rev", "tx_from")
-    new = old.select("id", F.when(F.col("id").endswith("1"), F.md5("cid")).otherwise(F.col("cid")).alias("cid")).union(g.live_node.where("kind = 'Faction'").select("id", F.md5("title")))
-    return ingest.corpus_upsert(old, new, "2024-03-01 00:00:00").select("id", "rev", "change")
+    """Ids that end in 7 are new, in 1 changed, in 8 not loaded again."""
+    n = graph(spark, sf).live_node.select("id", F.md5("title").alias("cid"), "rev", "tx_from")
+    new = n.where("id not like '%8'").select("id", F.when(F.col("id").endswith("1"), F.md5("cid")).otherwise(F.col("cid")).alias("cid"))
+    return ingest.corpus_upsert(n.where("id not like '%7'"), new, "2024-03-01 00:00:00").select("id", "rev", "change")
 
 
 @query(
@@ -1078,16 +1084,18 @@ def _(spark, sf):
     return editlog.provenance(editlog.bump_revisions(ops(spark, sf), source(spark, sf, CURRENT)))
 
 
-@query("review_queue", "SELECT proposal, max(ts) AS last_ts, string_agg(verb || ':' || target, ',' ORDER BY seq) AS ops FROM ops WHERE proposal NOT IN (SELECT proposal FROM reads WHERE rev = 1) GROUP BY proposal", **LOG)
+@query("review_queue", f"SELECT o.proposal, last_ts, ops, r.risk FROM (SELECT proposal, max(ts) AS last_ts, string_agg(verb || ':' || target, ',' ORDER BY seq) AS ops FROM ops WHERE proposal NOT IN (SELECT proposal FROM reads WHERE rev = 1) GROUP BY proposal) o LEFT JOIN ({_RISK}) r ON r.proposal = o.proposal", **LOG)
 def _(spark, sf):
     o = ops(spark, sf)
     out = editlog.review_queue(o, editlog.risk_assess(graph(spark, sf), o, rel_dim(spark)).select("proposal", "risk"), read_set(spark, sf).where("rev = 1"))
-    return out.select("proposal", "last_ts", F.array_join(F.transform("ops", lambda x: F.concat_ws(":", x["verb"], x["target"])), ",").alias("ops"))
+    return out.select("proposal", "last_ts", F.array_join(F.transform("ops", lambda x: F.concat_ws(":", x["verb"], x["target"])), ",").alias("ops"), "risk")
 
 
-@query("proposal_state", "SELECT proposal, CASE WHEN count(*) > 1 THEN 'bad' ELSE 'warn' END AS state FROM reads GROUP BY proposal", **LOG)
+@query("proposal_state", f"SELECT r.proposal, CASE WHEN coalesce(c.n, 0) > 0 THEN 'bad' WHEN r.risk = 'auto' THEN 'ok' WHEN r.risk = 'review' THEN 'warn' ELSE 'bad' END AS state FROM ({_RISK}) r LEFT JOIN (SELECT proposal, count(*) AS n FROM ({_CONFLICTS}) x GROUP BY proposal) c ON c.proposal = r.proposal", **LOG, changes=CHANGES, cur=CURRENT)
 def _(spark, sf):
-    n = read_set(spark, sf).groupBy("proposal").agg((F.count("*") - 1).alias("n_conflicts")).withColumn("risk", F.lit("review"))
+    o = ops(spark, sf)
+    met = editlog.detect_conflicts(read_set(spark, sf), o, source(spark, sf, CURRENT), source(spark, sf, CHANGES)).groupBy("proposal").agg(F.count("*").alias("n_conflicts"))
+    n = editlog.risk_assess(graph(spark, sf), o, rel_dim(spark)).select("proposal", "risk").join(met, "proposal", "left").withColumn("n_conflicts", F.coalesce("n_conflicts", F.lit(0)))
     return n.select("proposal", projections.proposal_state().alias("state"))
 
 
@@ -1101,9 +1109,12 @@ def _(spark, sf):
     return traverse.impact(graph(spark, sf, True), asked, 2).select("run", "affected")
 
 
-@query("agg_open_diag_counts", f"SELECT node, count(*) AS n FROM (SELECT id AS node FROM live_node WHERE kind = 'Promise' AND coalesce(json_extract_string(props, '$.status'), 'hypothetical') = 'hypothetical' UNION ALL SELECT node FROM ({RULE_SQL['plot.causeless']}) c) q GROUP BY node")
+_FINDINGS = " UNION ALL ".join(f"SELECT DISTINCT '{name}' AS rule, node, related, detail FROM ({sql}) z" for name, sql in RULE_SQL.items())
+
+
+@query("agg_open_diag_counts", f"SELECT node, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter(list_prepend(node, string_split(coalesce(related, ''), ',')), lambda x: x <> ''))) AS node FROM ({_FINDINGS}) f) q GROUP BY node")
 def _(spark, sf):
-    return projections.open_diag_counts(rules.check(graph(spark, sf), ["plot.abandoned", "plot.causeless"]))
+    return projections.open_diag_counts(rules.check(graph(spark, sf, True), list(RULE_SQL)))
 
 
 @query(
