@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..catalog import KINDS_SQL, POLICIES_SQL, RELS_SQL, RULES_SQL, kind_dim, rel_dim, rule_dim
 from ..functions.columns import MARKED, PLAIN, prop
 from ..operators import apply, cascade, commit, editlog, ingest, payload, projections, reads, rules, search, traverse, versions
+from ..sources import corpus
 from ..streaming import grants, leases
 from .retail import checked, graph, source
 
@@ -1229,3 +1230,25 @@ def _(spark, sf):
     spans = g.evidence.groupBy(F.col("node").alias("id")).agg(F.to_json(F.collect_list(F.struct("file", F.col("start_off").alias("start"), F.col("end_off").alias("end"), F.lit("").alias("quote")))).alias("evidence"))
     p = g.live_node.select("id", "kind", "props").join(seen, "id", "left").join(spans, "id", "left")
     return payload.validate_payloads(g, p, kind_dim(spark))
+
+
+# --- a corpus of files ------------------------------------------------------------------------------------
+_NL = " || chr(10) || "
+# every customer, supplier and part as a file with a nested header; some are not closed, some name no such edge
+MD_FILES = " UNION ALL ".join(
+    f"SELECT 'bible/{folder}/{short}' || CAST({key} AS STRING) || '.md' AS path, CAST({key} AS BIGINT) AS k, {name} AS name, {group} AS grp, CAST({nation} AS STRING) AS nation, '---'{_NL}'id: {kind}/{short}' || CAST({key} AS STRING){_NL}'aliases:'{_NL}'  - alias-' || CAST({key} AS STRING){_NL}'tags: [' || lower(replace({group}, ' ', '-')) || ', \"#kept\"]'{_NL}'edges:'{_NL}'  - rel: related'{_NL}'    to: location/n' || CAST({nation} AS STRING){_NL}'  - part_of: location/r1'{_NL}'props:'{_NL}'  group: \"' || {group} || '\"'{_NL}'  where:'{_NL}'    nation: ' || CAST({nation} AS STRING){_NL}CASE WHEN {key} % 40 = 0 THEN '' ELSE '---' END{_NL}'# ' || {name}{_NL}''{_NL}'Text   of ' || {name} AS text FROM {table}"
+    for folder, kind, short, key, name, group, nation, table in (("characters", "character", "c", "c_custkey", "c_name", "c_mktsegment", "c_nationkey", "@customer"), ("factions", "faction", "s", "s_suppkey", "s_name", "'SUPPLIER'", "s_nationkey", "@supplier"), ("objects", "object", "p", "p_partkey", "p_name", "p_type", "p_size % 25", "@part"))
+)
+
+
+@query(
+    "load_corpus",
+    """SELECT path, CASE WHEN k % 40 <> 0 THEN regexp_extract(path, '^bible/(.*)s/', 1) || '/' || regexp_extract(path, '([^/]*)[.]md$', 1) END AS id, CASE WHEN contains(path, 'characters') THEN 'Character' WHEN contains(path, 'factions') THEN 'Faction' ELSE 'Object' END AS kind,
+    CASE WHEN k % 40 = 0 THEN regexp_extract(path, '([^/]*)[.]md$', 1) ELSE name END AS title, CASE WHEN k % 40 <> 0 THEN 'Text of ' || name END AS summary, CASE WHEN k % 40 = 0 THEN '' ELSE 'alias-' || CAST(k AS VARCHAR) END AS aliases, CASE WHEN k % 40 = 0 THEN '' ELSE lower(replace(grp, ' ', '-')) || ',#kept' END AS tags,
+    CASE WHEN k % 40 = 0 THEN '' ELSE 'related>location/n' || nation || ',part_of>location/r1' END AS edges, CASE WHEN k % 40 <> 0 THEN '{"group":"' || grp || '","where":{"nation":' || nation || '}}' END AS props, CASE WHEN k % 40 = 0 THEN 'the header is not closed' END AS error FROM md_files""",
+    md_files=MD_FILES,
+)
+def _(spark, sf):
+    files = source(spark, sf, MD_FILES).select("path", F.encode("text", "UTF-8").alias("content"))
+    out = corpus.parse_frontmatter(files)
+    return out.select("path", "id", "kind", "title", "summary", joined("aliases"), joined("tags"), F.array_join(F.transform("edges", lambda e: F.concat_ws(">", e["rel"], e["to"])), ",").alias("edges"), "props", "error")

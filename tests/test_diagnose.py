@@ -12,7 +12,7 @@ from talegraph.streaming import diagnose
 
 def _props(rng, kind):
     if kind == "Fact":
-        return {"subject": f"character/{rng.randrange(4)}", "predicate": rng.choice(["absolute_time", "eyes", "life_state"]), "object": rng.choice(["dead", "1", "2"])}
+        return {"subject": f"character/{rng.randrange(2)}", "predicate": rng.choice(["absolute_time", "eyes", "life_state"]), "object": rng.choice(["dead", "1", "2"])}
     if kind == "Scene":
         return {
             "expect_cause": rng.random() < 0.4, "is_start": rng.random() < 0.2, "is_end": rng.random() < 0.2, "claims": [{"speaker": f"character/{rng.randrange(4)}", "fact": f"fact/{rng.randrange(6)}"}],
@@ -23,7 +23,7 @@ def _props(rng, kind):
     return {"status": rng.choice(["hypothetical", "eligible"])} if kind == "Promise" else {}
 
 
-IDS = [f"{k}/{i}" for k, n in (("character", 4), ("location", 2), ("scene", 7), ("fact", 6), ("promise", 3), ("rule", 2)) for i in range(n)]
+IDS = [f"{k}/{i}" for k, n in (("character", 4), ("location", 2), ("scene", 7), ("fact", 10), ("promise", 4), ("rule", 2)) for i in range(n)]
 ENDS = {"present_at": ("scene", "character"), "occurs_at": ("scene", "location"), "causes": ("scene", "scene"), "focalizes": ("character", "scene"), "pays_off": ("scene", "promise"), "requires_trigger": ("promise", "scene"), "owns": ("character", "location")}
 
 
@@ -31,7 +31,7 @@ class World:
     def __init__(self, seed):
         self.rng = random.Random(seed)
         self.nodes = {i: self.node(i) for i in IDS}
-        self.edges = {self.edge() for _ in range(45)}
+        self.edges = {self.edge() for _ in range(75)}
         self.seen = {(f"fact/{self.rng.randrange(6)}", f"character/{self.rng.randrange(4)}", self.rng.choice([None, 3, 9])) for _ in range(9)}
 
     def node(self, ident):
