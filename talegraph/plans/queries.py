@@ -1252,3 +1252,19 @@ def _(spark, sf):
     files = source(spark, sf, MD_FILES).select("path", F.encode("text", "UTF-8").alias("content"))
     out = corpus.parse_frontmatter(files)
     return out.select("path", "id", "kind", "title", "summary", joined("aliases"), joined("tags"), F.array_join(F.transform("edges", lambda e: F.concat_ws(">", e["rel"], e["to"])), ",").alias("edges"), "props", "error")
+
+
+_VECTOR_HASH = "sha256(CAST(to_json([CAST(rev AS VARCHAR), title || chr(10) || summary, 'hashed-ngram-384']) AS VARCHAR))"
+
+
+@query(
+    "sync_vectors",
+    f"""WITH d AS (SELECT id, tx_to IS NULL AS live, {_VECTOR_HASH} AS hash FROM node), o AS (SELECT id, CASE WHEN id LIKE '%4' THEN 'other' ELSE hash END AS was FROM d WHERE id NOT LIKE '%3'), n AS (SELECT id, hash FROM d WHERE live)
+    SELECT coalesce(n.id, o.id) AS id, CASE WHEN n.hash IS NULL THEN 'remove' WHEN o.was = n.hash THEN 'keep' ELSE 'index' END AS action, n.hash FROM n FULL JOIN o ON o.id = n.id""",
+)
+def _(spark, sf):
+    """Ids that end in 3 have no vector yet, in 4 an old one; nodes that are gone keep theirs until now."""
+    docs = graph(spark, sf).node.select("id", F.col("rev").cast("string").alias("cid"), F.concat_ws("\n", "title", "summary").alias("text"), F.col("tx_to").isNull().alias("live"))
+    first = corpus.sync_vectors(docs.withColumn("live", F.lit(True)), spark.createDataFrame([], "id string, hash string"))
+    old = first.where("id not like '%3'").select("id", F.when(F.col("id").endswith("4"), "other").otherwise(F.col("hash")).alias("hash"))
+    return corpus.sync_vectors(docs, old)

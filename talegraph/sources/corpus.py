@@ -251,11 +251,17 @@ def read_snapshot(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{folder}/v={last.version}/{name}") for name in last.tables}
 
 
-def sync_vectors(docs: DataFrame, old: DataFrame) -> DataFrame:
-    """docs (id, text, live), old (id, hash) -> id, action: index, keep or remove, by the hash of what is embedded."""
-    now = docs.where("live").select("id", F.sha2(F.concat_ws("|", "id", "text"), 256).alias("hash"))
+#: Name of the model that search.embed_blake is.
+MODEL = "hashed-ngram-384"
+
+
+def sync_vectors(docs: DataFrame, old: DataFrame, model: str = MODEL) -> DataFrame:
+    """docs (id, cid, text, live), old (id, hash) -> id, action, hash: index, keep or remove, by the hash of content id, text and model."""
+    text = F.to_json(F.array(*(F.coalesce(c, F.lit("")) for c in (F.col("cid"), F.col("text"))), F.lit(model)))
+    now = docs.where("live").select("id", F.sha2(text, 256).alias("hash"))
     both = now.join(old.select("id", F.col("hash").alias("was")), "id", "full")
-    return both.select("id", F.when(F.col("hash").isNull(), "remove").when(F.col("was").eqNullSafe(F.col("hash")), "keep").otherwise("index").alias("action"))
+    action = F.when(F.col("hash").isNull(), "remove").when(F.col("was").eqNullSafe(F.col("hash")), "keep").otherwise("index")
+    return both.select("id", action.alias("action"), "hash")
 
 
 def read_manifests(spark: SparkSession, folder: str) -> DataFrame:

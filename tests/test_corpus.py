@@ -89,3 +89,31 @@ def test_whole_corpus(spark, tmp_path):
     assert problems == {(n, r.error) for n, r in rows.items() if r.error} | {
         ("scene/two", "id comes twice"), ("scene/key occurs_at location/l", "end is not there"), ("scene/two no_such scene/key", "unknown relation"), ("causes scene/key", "on a cycle"), ("causes scene/two", "on a cycle"),
     }
+
+
+def test_snapshots_and_vectors(spark, tmp_path):
+    """A snapshot is there whole or not at all, the newest is read; vectors follow content id, text and model."""
+    folder = f"{tmp_path}/snap"
+    nodes = spark.createDataFrame([("a", 1), ("b", 1)], "id string, rev int")
+    edges = spark.createDataFrame([("a", "b")], "src string, dst string")
+    docs = spark.createDataFrame([("a", "c1", "x", True), ("b", "c2", "y", True), ("d", "c3", "z", False)], "id string, cid string, text string, live boolean")
+    none = spark.createDataFrame([], "id string, hash string")
+    first = corpus.consolidate(docs, none, {"node": nodes, "edge": edges}, folder, 1)
+    assert {(r.id, r.action) for r in first.collect()} == {("a", "index"), ("b", "index")}
+    later = spark.createDataFrame([("a", 2)], "id string, rev int")
+    (tmp_path / "snap" / "v=3").mkdir(parents=True)  # begun and never ended
+    corpus.write_snapshot({"node": later, "edge": edges}, folder, 2)
+    back = corpus.read_snapshot(spark, folder)
+    assert set(back) == {"node", "edge"} and [(r.id, r.rev) for r in back["node"].collect()] == [("a", 2)] and back["edge"].count() == 1
+    old = first.select("id", "hash").cache()
+    changed = spark.createDataFrame([("a", "c9", "x", True), ("b", "c2", "y", True), ("d", "c3", "z", True)], docs.schema)
+    assert {r.id: r.action for r in corpus.sync_vectors(changed, old).collect()} == {"a": "index", "b": "keep", "d": "index"}
+    assert {r.id: r.action for r in corpus.sync_vectors(docs.where("id = 'a'"), old, "another").collect()} == {"a": "index", "b": "remove"}
+
+
+def test_manifests_beside_chapters(spark, tmp_path):
+    (tmp_path / "one.md").write_text("text")
+    (tmp_path / "two.md").write_text("more")
+    (tmp_path / "one.story.json").write_text(json.dumps({"schema_version": 1, "source_sha256": "x", "unresolved": [], "nodes": [{"id": "scene/a", "kind": "Scene", "title": "A", "start_off": 0, "end_off": 4, "quote": "text"}], "edges": []}))
+    rows = {r.file: r for r in corpus.read_manifests(spark, str(tmp_path)).collect()}
+    assert rows["one"].manifest.nodes[0].id == "scene/a" and bytes(rows["one"].content) == b"text" and rows["two"].manifest is None
