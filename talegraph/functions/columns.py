@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import string
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,11 +67,23 @@ def field_value(path: str, props: str = "props") -> Column:
     return F.when(F.col(path) == "title", F.col("title")).when(F.col(path) == "summary", F.col("summary")).when(F.col(path).startswith("props."), of_props)
 
 
-# Latin letters with diacritics, and without
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįıĵķĺļľłńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccddeeeeegggghhiiiiijkllllnnnooorrrssssttuuuuuuwyzzz"
+# Latin letters whose stroke is no mark of its own, and without
+STROKED, UNSTROKED = "øđħıłŧ", "odhilt"
+
+
+def _marked() -> tuple[str, str]:
+    """Lower-case letters that are a Latin letter with combining marks, their Latin letters, and at the end of the first the marks themselves."""
+    found = {}
+    for c in map(chr, range(0x80, 0x2000)):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if marks and base in string.ascii_lowercase and all(map(unicodedata.combining, marks)):
+            found[c] = base
+    return STROKED + "".join(found) + "".join(map(chr, range(0x300, 0x370))), UNSTROKED + "".join(found.values())
+
+
+MARKED, PLAIN = _marked()
 
 
 def folded(text: Column) -> Column:
-    """Lower case without diacritics of Latin letters, so an accented and a plain spelling are one term."""
+    """Lower case without diacritics of Latin letters, composed or not, so an accented and a plain spelling are one term."""
     return F.translate(F.lower(text), MARKED, PLAIN)

@@ -38,7 +38,7 @@ def promise_ledger(g: Graph, as_of: int | None = None) -> DataFrame:
     none = F.array().cast("array<string>")
     age = F.coalesce(F.greatest(F.lit(0), horizon - F.col("planted_at")), F.lit(0))
     debt = F.coalesce("own_debt", (F.col("age") + 1) * F.when(F.col("status") == "eligible", 1.5).otherwise(1.0))
-    s_eff = F.coalesce("own_s", F.round(1 / (1 + F.greatest(F.lit(0), F.col("trigger_at") - F.col("planted_at"))), 3), F.lit(1.0))
+    s_eff = F.coalesce("own_s", F.bround(1 / (1 + F.greatest(F.lit(0), F.col("trigger_at") - F.col("planted_at"))), 3), F.lit(1.0))
     coh = F.coalesce("own_coh", (F.when(F.size("F") > 0, 0.5).otherwise(0.0) + F.when(F.size("T") > 0, 0.5).otherwise(0.0)))
     out = out.withColumn("age", age)
     for c in ("F", "T", "P"):
@@ -52,7 +52,7 @@ def open_promise(g: Graph) -> DataFrame:
 
 
 def promise_board(g: Graph) -> DataFrame:
-    return promise_ledger(g).groupBy("status").agg(F.count("*").alias("n"), F.round(F.sum("debt"), 6).alias("debt"))
+    return promise_ledger(g).groupBy("status").agg(F.count("*").alias("n"), F.bround(F.sum("debt"), 6).alias("debt"))
 
 
 def flashback(g: Graph) -> DataFrame:
@@ -169,7 +169,7 @@ def ced_by_model(g: Graph, touched: DataFrame, findings: DataFrame) -> DataFrame
     base = t.groupBy("model").agg(F.sum_distinct("words").alias("words"), F.countDistinct("scene").alias("scenes"))
     found = t.join(findings.select("fingerprint", F.col("node").alias("scene")), "scene").groupBy("model").agg(F.countDistinct("fingerprint").alias("n"))
     out = base.join(found, "model", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return out.select("model", "scenes", F.round(F.col("n") * 10000.0 / F.nullif(F.col("words"), F.lit(0)), 6).alias("ced"))
+    return out.select("model", "scenes", F.bround(F.col("n") * 10000.0 / F.nullif(F.col("words"), F.lit(0)), 6).alias("ced"))
 
 
 def open_diag_counts(findings: DataFrame) -> DataFrame:

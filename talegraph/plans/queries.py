@@ -334,7 +334,7 @@ LEDGER = """WITH e AS (SELECT CASE WHEN rel = 'requires_trigger' THEN src ELSE d
  p AS (SELECT id, title, coalesce(json_extract_string(props, '$.status'), 'hypothetical') AS status, CAST(json_extract_string(props, '$.debt') AS DOUBLE) AS own FROM live_node WHERE kind = 'Promise')
  SELECT p.id, p.title, p.status, coalesce(f.F, '') AS F, coalesce(nf, 0) AS n_f, coalesce(nt, 0) AS n_t, coalesce(np, 0) AS n_p, planted_at, trigger_at, CAST(coalesce(greatest(0, last - planted_at), 0) AS BIGINT) AS age,
  CAST(coalesce(own, (coalesce(greatest(0, last - planted_at), 0) + 1) * CASE WHEN status = 'eligible' THEN 1.5 ELSE 1.0 END) AS DOUBLE) AS debt,
- CAST(CASE WHEN trigger_at IS NULL OR planted_at IS NULL THEN 1.0 ELSE round(CAST(1.0 AS DOUBLE) / (1 + greatest(0, trigger_at - planted_at)), 3) END AS DOUBLE) AS s_eff,
+ CAST(CASE WHEN trigger_at IS NULL OR planted_at IS NULL THEN 1.0 ELSE round_even(CAST(1.0 AS DOUBLE) / (1 + greatest(0, trigger_at - planted_at)), 3) END AS DOUBLE) AS s_eff,
  CAST(CASE WHEN coalesce(nf, 0) > 0 THEN 0.5 ELSE 0 END + CASE WHEN coalesce(nt, 0) > 0 THEN 0.5 ELSE 0 END AS DOUBLE) AS delta_coh FROM p LEFT JOIN f ON p.id = f.id CROSS JOIN h"""
 
 
@@ -352,7 +352,7 @@ def _(spark, sf):
     return projections.open_promise(graph(spark, sf))
 
 
-@query("promise_board", f"SELECT status, count(*) AS n, round(sum(debt), 6) AS debt FROM ({LEDGER}) q GROUP BY status")
+@query("promise_board", f"SELECT status, count(*) AS n, round_even(sum(debt), 6) AS debt FROM ({LEDGER}) q GROUP BY status")
 def _(spark, sf):
     return projections.promise_board(graph(spark, sf, True))
 
@@ -424,7 +424,7 @@ TOUCHED = "SELECT DISTINCT 'model-' || CAST(o_custkey % 5 AS STRING) AS model, '
 @query(
     "ced_by_model",
     f"""WITH w AS (SELECT t.model, t.scene, CAST(json_extract_string(n.props, '$.word_count') AS BIGINT) AS words FROM touched t JOIN node n ON n.id = t.scene AND n.kind = 'Scene'), d AS ({RULE_SQL["narrative.perspective"]}),
-    x AS (SELECT w.model, count(DISTINCT d.node) AS n FROM w JOIN d ON d.node = w.scene GROUP BY w.model) SELECT w.model, count(DISTINCT w.scene) AS scenes, round(coalesce(max(x.n), 0) * CAST(10000.0 AS DOUBLE) / sum(DISTINCT words), 6) AS ced FROM w LEFT JOIN x ON x.model = w.model GROUP BY w.model""",
+    x AS (SELECT w.model, count(DISTINCT d.node) AS n FROM w JOIN d ON d.node = w.scene GROUP BY w.model) SELECT w.model, count(DISTINCT w.scene) AS scenes, round_even(coalesce(max(x.n), 0) * CAST(10000.0 AS DOUBLE) / sum(DISTINCT words), 6) AS ced FROM w LEFT JOIN x ON x.model = w.model GROUP BY w.model""",
     touched=TOUCHED,
 )
 def _(spark, sf):
