@@ -21,8 +21,8 @@ def get_brief(g: Graph, requests: DataFrame, as_of: int | None = None) -> DataFr
     return requests.join(as_of_node(g, as_of), "id").select("pos", "id", "kind", "title", "summary", "rev")
 
 
-def get_full(g: Graph, requests: DataFrame, as_of: int | None = None) -> DataFrame:
-    """requests (pos, id) -> brief columns, props, times, and aliases, tags, viewers and evidence as sorted lists.
+def get_full(g: Graph, requests: DataFrame, as_of: int | None = None, cids: DataFrame | None = None) -> DataFrame:
+    """requests (pos, id), cids (id, cid) -> brief columns, props, times, and aliases, tags, viewers and evidence as sorted lists, and the content id.
 
     Each side table is narrowed to the requests before it is grouped."""
     base = requests.join(as_of_node(g, as_of), "id").select("pos", "id", "kind", "title", "summary", "rev", "props", "story_from", "story_to", "reveal_at", "origin", "locked")
@@ -40,7 +40,7 @@ def get_full(g: Graph, requests: DataFrame, as_of: int | None = None) -> DataFra
         (g.evidence, "node", F.concat_ws(":", F.col("file"), F.col("start_off").cast("string"), F.col("end_off").cast("string")), "spans"),
     ):
         out = out.join(gathered(side, key, value, name), "id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
-    return out
+    return out if cids is None else out.join(cids, "id", "left")
 
 
 def refs(g: Graph, requests: DataFrame, direction: str = "in", rels: list[str] | None = None, include_soft: bool = False, as_of: int | None = None) -> DataFrame:

@@ -57,6 +57,19 @@ def read_set(spark, sf):
     return source(spark, sf, READS_SQL)
 
 
+def _cid_side(table: str, key: str, parts: str) -> str:
+    """Hashes in parts of one side table, as content_cid has them."""
+    listed = "CAST(to_json([" + ", ".join(f"coalesce(CAST({p} AS VARCHAR), '-')" for p in parts.split()) + "]) AS VARCHAR)"
+    return f"(SELECT id, string_agg(p || h, ',' ORDER BY p || h) AS x FROM (SELECT id, p, md5(string_agg(x, ',' ORDER BY x)) AS h FROM (SELECT id, x, substr(md5(x), 1, 2) AS p FROM (SELECT {key} AS id, {listed} AS x FROM {table}) z) y GROUP BY id, p) w GROUP BY id)"
+
+
+_CID_SIDES = [("node_alias", "node", "alias"), ("node_tag", "node", "tag"), ("live_edge", "src", "rel dst"), ("visibility", "fact", "viewer learned_at pathway"), ("evidence", "node", "file start_off end_off")]
+_CID = (
+    "SELECT n.id, sha256(CAST(to_json([" + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in ("n.id", "kind", "title", "summary", "props", "story_from", "story_to", "reveal_at", "locked", *(f"s{i}.x" for i in range(len(_CID_SIDES)))))
+    + "]) AS VARCHAR)) AS cid FROM live_node n" + "".join(f" LEFT JOIN {_cid_side(*side)} s{i} ON s{i}.id = n.id" for i, side in enumerate(_CID_SIDES))
+)
+
+
 # --- reads ------------------------------------------------------------------------------------
 @query("live_node", "SELECT id, kind, title, rev FROM live_node")
 def _(spark, sf):
@@ -81,17 +94,24 @@ def _(spark, sf):
     return reads.get_brief(graph(spark, sf), source(spark, sf, ASKED), 60)
 
 
+# facts have viewers and spans, characters aliases and tags
+FULL_ASKED = ASKED + " UNION ALL SELECT CAST(event_id AS BIGINT) + 20000000, 'fact/e' || CAST(event_id AS STRING) FROM @events"
+
+
 @query(
     "get_full",
-    """SELECT a.pos, a.id, n.kind, n.title, n.story_from, n.reveal_at, n.locked,
+    f"""SELECT a.pos, a.id, n.kind, n.title, n.summary, n.rev, n.props, n.story_from, n.story_to, n.reveal_at, n.origin, n.locked, cids.cid,
     coalesce(array_to_string((SELECT list(alias ORDER BY alias) FROM node_alias x WHERE x.node = a.id), ','), '') AS aliases,
-    coalesce(array_to_string((SELECT list(tag ORDER BY tag) FROM node_tag x WHERE x.node = a.id), ','), '') AS tags
-    FROM asked a JOIN live_node n ON a.id = n.id""",
-    asked=ASKED,
+    coalesce(array_to_string((SELECT list(tag ORDER BY tag) FROM node_tag x WHERE x.node = a.id), ','), '') AS tags,
+    coalesce(array_to_string((SELECT list(v ORDER BY v) FROM (SELECT fact, viewer || ':' || coalesce(CAST(learned_at AS VARCHAR), '-') || ':' || pathway AS v FROM visibility) x WHERE x.fact = a.id), ','), '') AS visible_to,
+    coalesce(array_to_string((SELECT list(v ORDER BY v) FROM (SELECT node, file || ':' || CAST(start_off AS VARCHAR) || ':' || CAST(end_off AS VARCHAR) AS v FROM evidence) x WHERE x.node = a.id), ','), '') AS spans
+    FROM asked a JOIN live_node n ON a.id = n.id JOIN ({_CID}) cids ON cids.id = a.id""",
+    asked=FULL_ASKED,
 )
 def _(spark, sf):
-    out = reads.get_full(graph(spark, sf), source(spark, sf, ASKED))
-    return out.select("pos", "id", "kind", "title", "story_from", "reveal_at", "locked", joined("aliases"), joined("tags"))
+    g = graph(spark, sf)
+    out = reads.get_full(g, source(spark, sf, FULL_ASKED), cids=editlog.content_cid(g))
+    return out.select("pos", "id", "kind", "title", "summary", "rev", "props", "story_from", "story_to", "reveal_at", "origin", "locked", "cid", *map(joined, ("aliases", "tags", "visible_to", "spans")))
 
 
 @query(
@@ -614,19 +634,6 @@ def _(spark, sf):
     return editlog.revision_asof(r, F.lit("2024-01-15 00:00:00").cast("timestamp")).select("node", "rev")
 
 
-def _cid_side(table: str, key: str, parts: str) -> str:
-    """Hashes in parts of one side table, as content_cid has them."""
-    listed = "CAST(to_json([" + ", ".join(f"coalesce(CAST({p} AS VARCHAR), '-')" for p in parts.split()) + "]) AS VARCHAR)"
-    return f"(SELECT id, string_agg(p || h, ',' ORDER BY p || h) AS x FROM (SELECT id, p, md5(string_agg(x, ',' ORDER BY x)) AS h FROM (SELECT id, x, substr(md5(x), 1, 2) AS p FROM (SELECT {key} AS id, {listed} AS x FROM {table}) z) y GROUP BY id, p) w GROUP BY id)"
-
-
-_CID_SIDES = [("node_alias", "node", "alias"), ("node_tag", "node", "tag"), ("live_edge", "src", "rel dst"), ("visibility", "fact", "viewer learned_at pathway"), ("evidence", "node", "file start_off end_off")]
-_CID = (
-    "SELECT n.id, sha256(CAST(to_json([" + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in ("n.id", "kind", "title", "summary", "props", "story_from", "story_to", "reveal_at", "locked", *(f"s{i}.x" for i in range(len(_CID_SIDES)))))
-    + "]) AS VARCHAR)) AS cid FROM live_node n" + "".join(f" LEFT JOIN {_cid_side(*side)} s{i} ON s{i}.id = n.id" for i, side in enumerate(_CID_SIDES))
-)
-
-
 @query("content_cid", _CID)
 def _(spark, sf):
     return editlog.content_cid(graph(spark, sf))
