@@ -69,10 +69,28 @@ def topo_order(items: DataFrame, deps: DataFrame) -> DataFrame:
 
 def job_sweep(jobs: DataFrame, now, most: int = 3) -> DataFrame:
     """jobs (job, status, attempts, lease_until) -> with expired running jobs queued again, or failed after the last attempt."""
-    expired = (F.col("status") == "running") & (F.col("lease_until") < now)
+    expired = (F.col("status") == "running") & (F.col("lease_until") <= now)
     return jobs.withColumn("status", F.when(expired & (F.col("attempts") < most), "queued").when(expired, "failed").otherwise(F.col("status")))
 
 
+def job_items(jobs: DataFrame, items: DataFrame, now, most: int = 3) -> DataFrame:
+    """jobs as job_sweep with run and node, items (run, node, status) -> run, node, status, reason: a queued item is blocked
+    if a job of it ran out of attempts and none is left that waits or runs."""
+    swept = job_sweep(jobs, now, most)
+    out_of = jobs.where((F.col("status") == "running") & (F.col("lease_until") <= now) & (F.col("attempts") >= most)).select("run", "node").distinct().withColumn("exhausted", F.lit(True))
+    active = swept.where("status in ('queued', 'running')").select("run", "node").distinct().withColumn("active", F.lit(True))
+    met = items.join(out_of, ["run", "node"], "left").join(active, ["run", "node"], "left")
+    blocked = (F.col("status") == "queued") & F.coalesce("exhausted", F.lit(False)) & F.col("active").isNull()
+    return met.select("run", "node", F.when(blocked, "blocked").otherwise(F.col("status")).alias("status"), F.when(blocked, "a worker's lease ran out").alias("reason"))
+
+
+def job_claims(jobs: DataFrame, workers: int, now, lease_sec: int = 300, most: int = 3) -> DataFrame:
+    """jobs (job, status, attempts, ts) after a sweep -> job, worker, attempts, lease_until: the oldest that wait, one for each of so many workers."""
+    first = jobs.where((F.col("status") == "queued") & (F.col("attempts") < most)).orderBy("ts", "job").limit(workers)
+    at = F.row_number().over(Window.orderBy("ts", "job")) - 1  # no more rows than workers
+    return first.select("job", at.alias("worker"), (F.col("attempts") + 1).alias("attempts"), (F.lit(now).cast("timestamp") + F.make_interval(secs=F.lit(lease_sec))).alias("lease_until"))
+
+
 def job_finish_rollup(jobs: DataFrame) -> DataFrame:
     """jobs (run, node, status) -> run, node, item: proposed, blocked if any failed, cutoff if all were skipped."""
     s = F.col("status")

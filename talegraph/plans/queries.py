@@ -869,7 +869,7 @@ def _(spark, sf):
 JOBS = "SELECT CAST(event_id AS STRING) AS job, 'run-' || CAST(user_id AS STRING) AS run, 'node-' || CAST(day(ts) AS STRING) AS node, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'view' THEN 'skipped' WHEN event_type = 'click' THEN 'running' ELSE 'done' END AS status, CAST(event_id % 5 AS INT) AS attempts, ts AS lease_until FROM @events"
 
 
-@query("job_sweep", "SELECT job, CASE WHEN status = 'running' AND lease_until < TIMESTAMP '2024-01-20 00:00:00' THEN CASE WHEN attempts < 3 THEN 'queued' ELSE 'failed' END ELSE status END AS status FROM jobs", jobs=JOBS)
+@query("job_sweep", "SELECT job, CASE WHEN status = 'running' AND lease_until <= TIMESTAMP '2024-01-20 00:00:00' THEN CASE WHEN attempts < 3 THEN 'queued' ELSE 'failed' END ELSE status END AS status FROM jobs", jobs=JOBS)
 def _(spark, sf):
     return cascade.job_sweep(source(spark, sf, JOBS), F.lit("2024-01-20 00:00:00").cast("timestamp")).select("job", "status")
 
@@ -1275,3 +1275,28 @@ def _(spark, sf):
     first = corpus.sync_vectors(docs.withColumn("live", F.lit(True)), spark.createDataFrame([], "id string, hash string"))
     old = first.where("id not like '%3'").select("id", F.when(F.col("id").endswith("4"), "other").otherwise(F.col("hash")).alias("hash"))
     return corpus.sync_vectors(docs, old)
+
+
+_SWEPT = "SELECT *, CASE WHEN status = 'running' AND lease_until <= TIMESTAMP '2024-01-20 00:00:00' THEN CASE WHEN attempts < 3 THEN 'queued' ELSE 'failed' END ELSE status END AS now FROM jobs"
+
+
+@query(
+    "job_items",
+    f"""WITH s AS ({_SWEPT}), x AS (SELECT DISTINCT run, node FROM s WHERE status = 'running' AND now = 'failed'), a AS (SELECT DISTINCT run, node FROM s WHERE now IN ('queued', 'running')), i AS (SELECT DISTINCT run, node FROM jobs)
+    SELECT i.run, i.node, CASE WHEN x.run IS NOT NULL AND a.run IS NULL THEN 'blocked' ELSE 'queued' END AS status, CASE WHEN x.run IS NOT NULL AND a.run IS NULL THEN 'a worker''s lease ran out' END AS reason FROM i LEFT JOIN x ON x.run = i.run AND x.node = i.node LEFT JOIN a ON a.run = i.run AND a.node = i.node""",
+    jobs=JOBS,
+)
+def _(spark, sf):
+    jobs = source(spark, sf, JOBS)
+    return cascade.job_items(jobs, jobs.select("run", "node").distinct().withColumn("status", F.lit("queued")), F.lit("2024-01-20 00:00:00").cast("timestamp"))
+
+
+@query(
+    "job_claims",
+    f"WITH s AS ({_SWEPT}) SELECT job, CAST(n - 1 AS INT) AS worker, attempts + 1 AS attempts, TIMESTAMP '2024-01-20 00:05:00' AS lease_until FROM (SELECT *, row_number() OVER (ORDER BY lease_until, job) AS n FROM s WHERE now = 'queued' AND attempts < 3) q WHERE n <= 64",
+    jobs=JOBS,
+)
+def _(spark, sf):
+    now = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    swept = cascade.job_sweep(source(spark, sf, JOBS), now).withColumn("ts", F.col("lease_until"))
+    return cascade.job_claims(swept, 64, now)
