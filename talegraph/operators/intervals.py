@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import overlap
+from ..model import cut
 
 
 def _levels(last: int) -> int:
@@ -33,6 +34,7 @@ def overlapping(rows: DataFrame, keys: list[str], value: str, start: str = "stor
     """rows (keys, ident, start, end, value) -> keys, a_id, b_id, a_value, b_value: pairs of a key that overlap and differ in value, a_id < b_id.
 
     Ends are inclusive, null is without bound.  Keys with one value are left out before anything meets."""
+    rows = cut(rows.select(*keys, ident, start, end, value))
     many = rows.groupBy(*keys).agg(F.min(value).alias("_least"), F.max(value).alias("_most")).where("_least != _most").select(*keys)
     rows = rows.select(*keys, F.col(ident).alias("_id"), F.col(start).alias("_from"), F.col(end).alias("_to"), F.col(value).alias("_value")).join(many, keys, "left_semi")
     low, high = rows.agg(F.min(F.least("_from", "_to")), F.max(F.greatest("_from", "_to"))).first()
