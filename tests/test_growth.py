@@ -1,5 +1,7 @@
 """Work that must not grow faster than its input, and the same results as plain versions."""
 
+import random
+
 from talegraph.operators import traverse
 
 from test_graph import build, edge, node
@@ -14,3 +16,39 @@ def test_ways_to_a_target_do_not_spread_over_a_hub(spark):
     assert steps.count() == 3 * len(leaves)
     out = traverse.trace(g, asked, ["contains"], 4).collect()
     assert sorted((r.target, r.path, r.n, r.depth) for r in out) == sorted((x, ["location/r", "location/n", x], 1, 2) for x in leaves)
+
+
+def _impact(edges, asked, most):
+    back = {}
+    for s, d in edges:
+        back.setdefault(d, set()).add(s)
+    out = {}
+    for run in {r for r, _ in asked}:
+        starts = {i for r, i in asked if r == run}
+        depth = dict.fromkeys(starts, 0)
+        for d in range(1, most + 1):
+            depth |= {s: d for at in [x for x, y in depth.items() if y == d - 1] for s in back.get(at, ()) if s not in depth}
+        loop = any(s in starts for at, d in depth.items() if d < most for s in back.get(at, ()))
+        out[run] = (len(depth), max(depth.values()), loop)
+    return out
+
+
+def test_impact_behind_hubs(spark, monkeypatch):
+    """Hubs, single requests and several: as plain breadth-first search; a hub's neighbours are not spread for each run."""
+    rnd = random.Random(3)
+    names = [f"fact/{i}" for i in range(60)]
+    edges = {(rnd.choice(names), names[int(60 * rnd.random() ** 3)]) for _ in range(150)}
+    g = build(spark, [node(x, "Fact", x) for x in names], [edge(s, "causes", d) for s, d in edges])
+    asked = {(f"r{i}", x) for i, x in enumerate(names)} | {(f"s{i}", x) for i, x in enumerate(names)} | {(f"m{i}", rnd.choice(names)) for i in range(20) for _ in range(3)}
+    for most in (1, 2, 3):
+        for hub in (2, 5, 1000):
+            out = traverse.impact(g, spark.createDataFrame(sorted(asked), "run string, id string"), most, hub).collect()
+            assert {r.run: (r.affected, r.max_depth, r.cyclic) for r in out} == _impact(edges, asked, most)
+            assert all(r.tokens == 4 * r.affected or r.tokens > 0 for r in out)
+    rows = []
+    plain = traverse.reach
+    monkeypatch.setattr(traverse, "reach", lambda *a: (lambda df: (rows.append(df.count()), df)[1])(plain(*a)))
+    many = [f"scene/{i}" for i in range(200)]
+    g = build(spark, [node(x, "Scene", x) for x in many] + [node("location/n", "Location", "n")], [edge(x, "occurs_at", "location/n") for x in many] + [edge("location/n", "contains", x) for x in many])
+    out = traverse.impact(g, spark.createDataFrame([(x, x) for x in many], "run string, id string"), 2, 100).collect()
+    assert {r.affected for r in out} == {201} and sum(rows) == 2 * len(many)
