@@ -2,7 +2,9 @@
 
 import random
 
-from talegraph.operators import traverse
+import numpy as np
+
+from talegraph.operators import search, traverse
 
 from test_graph import build, edge, node
 
@@ -52,3 +54,19 @@ def test_impact_behind_hubs(spark, monkeypatch):
     g = build(spark, [node(x, "Scene", x) for x in many] + [node("location/n", "Location", "n")], [edge(x, "occurs_at", "location/n") for x in many] + [edge("location/n", "contains", x) for x in many])
     out = traverse.impact(g, spark.createDataFrame([(x, x) for x in many], "run string, id string"), 2, 100).collect()
     assert {r.affected for r in out} == {201} and sum(rows) == 2 * len(many)
+
+
+def test_hits_are_merged_when_they_are_many():
+    """Small blocks that all hit: merges follow the hits kept, not the blocks; hits are those of a whole sort."""
+    rng = np.random.default_rng(5)
+    asked, rows, k = rng.normal(size=(300, 6)), rng.normal(size=(6000, 6)), 20
+    best = search._Nearest(list(range(300)), asked, rows[:4], k, 100.0)
+    to = np.sqrt(((rows - rows[0]) ** 2).sum(1))
+    for s in range(0, 6000, 10):
+        best.offer(0, np.array([f"x{i}" for i in range(s, s + 10)], object), rows[s : s + 10], to[s : s + 10])
+    best.merge()
+    assert best.merges < 60
+    for q in range(0, 300, 37):
+        score = np.round(1 / (1 + np.sqrt(((rows - asked[q]) ** 2).sum(1))), 6)
+        want = sorted(zip(-score, (f"x{i}" for i in range(6000)), strict=True))[:k]
+        assert [(-s, i) for s, i in zip(best.score[best.at == q], best.ids[best.at == q], strict=True)] == want
