@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..model import cut
 from ..operators.editlog import ops_idempotency
 
+#: Sessions of a scope that meet others at once.
+SESSIONS = 500
+
 
 def scope_prefixes(scope: Column) -> Column:
     """Every scope that holds this one: each part before a '.' or '/', as 'x.*', and 'book'."""
@@ -38,11 +42,23 @@ def lease_state(actions: DataFrame, now) -> DataFrame:
     return held.where(F.col("expires_at") > now).select("session", "scope", "expires_at")
 
 
-def lease_conflicts(leases: DataFrame) -> DataFrame:
-    """Pairs of sessions whose scopes overlap."""
-    a = leases.select(F.struct("session", "scope").alias("a"), "scope")
-    b = leases.select(F.struct("session", "scope").alias("b"), "scope")
-    return scope_overlap(a, b).where("a.session < b.session").select(F.col("a.session").alias("left"), F.col("b.session").alias("right"), F.col("a.scope").alias("left_scope"), F.col("b.scope").alias("right_scope"))
+def lease_conflicts(leases: DataFrame, most: int = SESSIONS) -> DataFrame:
+    """Pairs of sessions whose scopes overlap.
+
+    Scopes meet once each; the sessions of a scope are dealt into blocks of some ``most``, and pairs of blocks are
+    spread before they are opened, so no task holds the sessions of a scope."""
+    held = cut(leases.select("session", "scope").distinct())
+    sizes = held.groupBy("scope").agg(F.count("*").alias("n"))
+    scopes = sizes.select("scope")
+    pairs = cut(scope_overlap(scopes.select(F.col("scope").alias("a"), "scope"), scopes.select(F.col("scope").alias("b"), "scope")))
+    dealt = held.join(sizes, "scope")
+    block = F.pmod(F.xxhash64("session"), F.ceil(F.col("n") / most)).alias("block")
+    blocks = cut(dealt.groupBy("scope", block).agg(F.collect_list("session").alias("sessions")))
+    left = blocks.select(F.col("scope").alias("a"), F.col("block").alias("left_block"), F.col("sessions").alias("lefts"))
+    right = blocks.select(F.col("scope").alias("b"), F.col("block").alias("right_block"), F.col("sessions").alias("rights"))
+    met = pairs.join(left, "a").join(right, "b").repartition("a", "left_block", "b", "right_block")
+    one = met.select("a", "b", F.explode("lefts").alias("left"), "rights")
+    return one.select("left", F.explode(F.filter("rights", lambda x: x > F.col("left"))).alias("right"), F.col("a").alias("left_scope"), F.col("b").alias("right_scope"))
 
 
 def op_stream(ops: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, keys: str) -> StreamingQuery:

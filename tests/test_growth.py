@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 from talegraph.operators import search, traverse
+from talegraph.streaming import leases
 
 from test_graph import build, edge, node
 
@@ -70,3 +71,15 @@ def test_hits_are_merged_when_they_are_many():
         score = np.round(1 / (1 + np.sqrt(((rows - asked[q]) ** 2).sum(1))), 6)
         want = sorted(zip(-score, (f"x{i}" for i in range(6000)), strict=True))[:k]
         assert [(-s, i) for s, i in zip(best.score[best.at == q], best.ids[best.at == q], strict=True)] == want
+
+
+def test_conflicts_of_a_hot_scope(spark):
+    """Sessions of one scope meet in blocks; pairs are those of a plain product."""
+    rows = [(f"s{i:03}", x) for i in range(90) for x in ("scene/A.*", "scene/A.C1" if i % 3 else "scene/B") if i % 7]
+    held = spark.createDataFrame([*rows, rows[0], (None, "scene/A.*"), ("s1", None)], "session string, scope string")
+    over = {("scene/A.*", "scene/A.*"), ("scene/A.*", "scene/A.C1"), ("scene/A.C1", "scene/A.*"), ("scene/A.C1", "scene/A.C1"), ("scene/B", "scene/B")}
+    want = sorted((s, t, x, y) for s, x in rows for t, y in rows if s < t and (x, y) in over)
+    for most in (500, 7):
+        out = leases.lease_conflicts(held, most)
+        assert sorted(tuple(r) for r in out.collect()) == want
+    assert out.columns == ["left", "right", "left_scope", "right_scope"]
