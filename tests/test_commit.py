@@ -260,3 +260,16 @@ def test_catalogue_of_the_given_relations(spark):
     ops = spark.createDataFrame([("p", 0, "LINK", "location/a", "occurs_at", None, "scene/s", "k1"), ("q", 0, "LINK", "scene/s", "occurs_at", None, "location/a", "k2"), ("r", 0, "ADD", "nothing/x", None, None, '{"title": "x"}', "k3")], OPS)
     wrong = {(r.proposal, r.error) for r in commit.refused(g, ops, kind_dim(spark), rel_dim(spark)).collect()}
     assert wrong == {("p", "kind of the target does not fit"), ("p", "kind of the other end does not fit"), ("r", "unknown kind")}
+
+
+def test_later_rounds_fold_only_what_counts_otherwise(spark, monkeypatch):
+    """30 proposals apart from each other beside one that is refused and one that builds on it: the 30 are folded once."""
+    tables, write = [], commit.cut
+    monkeypatch.setattr(commit, "cut", lambda df: tables.append(write(df)) or tables[-1])
+    nodes = [(f"character/{i}", {"v": "a"}, False, 1, False) for i in range(31)]
+    ops = [(f"p{i:02d}", 0, "UPDATE", f"character/{i}", "props.v", None, "b", f"k{i}") for i in range(30)]
+    ops += [("q", 0, "UPDATE", "character/30", "props.v", None, "x", "kq"), ("q", 1, "UPDATE", "character/none", "props.v", None, "x", "kn"), ("r", 0, "UPDATE", "character/30", "props.v", "x", "y", "kr")]
+    got = _run(spark, nodes, [], ops, [], [(p, _at(i)) for i, p in enumerate(dict.fromkeys(o[0] for o in ops))])
+    assert {r.proposal for r in got.status.where("status = 'rejected'").collect()} == {"q", "r"} and got.rounds >= 2
+    folds = [t.where("what = 'verdict' and ok").count() for t in tables if {"what", "ok", "rev"} <= set(t.columns)]
+    assert sum(n >= 30 for n in folds) == 2  # the first round, and what all rounds gave
