@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from talegraph.operators import search, traverse
+from talegraph.operators import cascade, search, traverse
 from talegraph.streaming import leases
 
 from test_graph import build, edge, node
@@ -83,3 +83,22 @@ def test_conflicts_of_a_hot_scope(spark):
         out = leases.lease_conflicts(held, most)
         assert sorted(tuple(r) for r in out.collect()) == want
     assert out.columns == ["left", "right", "left_scope", "right_scope"]
+
+
+def test_iterations_of_long_cascades_double(spark, monkeypatch):
+    """A chain of 40 is not reached step by step; a cycle, what hangs on it and several triggers still count as before."""
+    rows = [(f"a{i:02d}", f"a{i - 1:02d}" if i else None) for i in range(40)]
+    rows += [("x", "y"), ("y", "z"), ("z", "x"), ("w", "x"), ("m", "a01"), ("m", "a05"), ("n", "m"), ("o", "gone")]
+    started = []
+    reach = cascade.reach
+    monkeypatch.setattr(cascade, "reach", lambda edges, start: started.append({r.run for r in start.collect()}) or reach(edges, start))
+    got = {r.proposal: r.iteration for r in cascade.run_iteration(spark.createDataFrame(rows, "proposal string, trigger string")).collect()}
+    back, want = {}, {}
+    for p, t in rows:
+        back.setdefault(p, set()).update({t} - {None})
+    for p in back:
+        far, now, seen = 0, {p}, {p}
+        while now := {t for q in now for t in back.get(q, ())} - seen:
+            far, seen = far + 1, seen | now
+        want[p] = far + 1
+    assert got == want and started == [{"x", "y", "z", "w", "m", "n"}]
