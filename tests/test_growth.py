@@ -102,3 +102,26 @@ def test_iterations_of_long_cascades_double(spark, monkeypatch):
             far, seen = far + 1, seen | now
         want[p] = far + 1
     assert got == want and started == [{"x", "y", "z", "w", "m", "n"}]
+
+
+def test_reached_walks_single_ways_by_doubling(spark, monkeypatch):
+    """Forward sets as plain search, over chains, loops that nothing enters and nodes with several ways in; a chain takes no round a step."""
+    rnd = random.Random(8)
+    for n in (12, 90):
+        edges = {(i, i + 1) for i in range(60)} | {(rnd.randrange(120), rnd.randrange(120)) for _ in range(n)} | {(200, 201), (201, 202), (202, 200), (202, 203)}
+        start = {0, 7, *rnd.sample(range(120), 3)}
+        want, todo = set(start), list(start)
+        while todo:
+            at = todo.pop()
+            more = {d for s, d in edges if s == at} - want
+            want |= more
+            todo += more
+        names = spark.createDataFrame([(f"scene/{s}", f"scene/{d}") for s, d in sorted(edges)], "src string, dst string")
+        out = traverse.reached(names, spark.createDataFrame([(f"scene/{i}",) for i in sorted(start)], "id string")).collect()
+        assert sorted(r.id for r in out) == sorted(f"scene/{i}" for i in want)
+    written = []
+    plain = traverse.cut
+    monkeypatch.setattr(traverse, "cut", lambda df: (written.append(1), plain(df))[1])
+    chain = spark.range(300).selectExpr("'s' || id AS src", "'s' || (id + 1) AS dst")
+    assert traverse.reached(chain, spark.createDataFrame([("s0",)], "id string")).count() == 301
+    assert len(written) < 20
