@@ -4,7 +4,8 @@ import random
 
 import numpy as np
 
-from talegraph.operators import cascade, search, traverse
+from talegraph import model
+from talegraph.operators import cascade, projections, search, traverse, versions
 from talegraph.streaming import leases
 
 from test_graph import build, edge, node
@@ -125,3 +126,22 @@ def test_reached_walks_single_ways_by_doubling(spark, monkeypatch):
     chain = spark.range(300).selectExpr("'s' || id AS src", "'s' || (id + 1) AS dst")
     assert traverse.reached(chain, spark.createDataFrame([("s0",)], "id string")).count() == 301
     assert len(written) < 20
+
+
+def test_rows_that_cannot_meet_are_left_out_before_a_shuffle(spark):
+    """Only edges and nodes whose kind is asked for are read; many kinds, or null, change nothing."""
+    g = build(spark, [node(x, x.split("/")[0].title(), x) for x in ("fact/1", "scene/1", "promise/1")], [edge("scene/1", "plants", "promise/1"), edge("fact/1", "causes", "scene/1")])
+    ids = spark.createDataFrame([("promise/1",), (None,)], "id string")
+    assert [r.id for r in model.among(g.live_node, model.head("id"), ids.select(model.head("id"))).collect()] == ["promise/1"]
+    assert model.among(g.live_node, model.head("id"), spark.range(3).selectExpr("'k' || id"), 2).count() == 3
+    seeds = spark.createDataFrame([("r", "promise/1", 1.0)], "run string, id string, score double")
+    assert [(r.run, r.packed, r.dropped) for r in search.neighborhood(g, seeds).collect()] == [("r", ["promise/1", "scene/1"], 0)]
+    asked = spark.createDataFrame([("scene/1", "edge:plants:promise/1"), ("scene/1", "title"), ("gone/1", "title")], "node string, field string")
+    assert {(r.node, r.field): r.value for r in versions.base_value(g, asked).collect()} == {("scene/1", "edge:plants:promise/1"): "open", ("scene/1", "title"): "scene/1", ("gone/1", "title"): None}
+    assert {r.id: (r.n_in, r.n_out) for r in projections.node_detail(g).collect()} == {"fact/1": (0, 1), "scene/1": (1, 1), "promise/1": (1, 0)}
+
+
+def test_tasks_are_as_many_as_the_rows_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(model, "TASK_ROWS", 10)
+    assert model.dealt(spark.range(5), 5, "id").rdd.getNumPartitions() == 4
+    assert model.dealt(spark.range(95), 95, "id").rdd.getNumPartitions() == 10
