@@ -1,11 +1,16 @@
 """Work that must not grow faster than its input, and the same results as plain versions."""
 
+import hashlib
+import json
+import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from talegraph import model
-from talegraph.operators import cascade, projections, search, traverse, versions
+from talegraph.functions.columns import folded
+from talegraph.operators import cascade, editlog, projections, rules, search, traverse, versions
 from talegraph.streaming import leases
 
 from test_graph import build, edge, node
@@ -145,3 +150,15 @@ def test_tasks_are_as_many_as_the_rows_ask_for(spark, monkeypatch):
     monkeypatch.setattr(model, "TASK_ROWS", 10)
     assert model.dealt(spark.range(5), 5, "id").rdd.getNumPartitions() == 4
     assert model.dealt(spark.range(95), 95, "id").rdd.getNumPartitions() == 10
+
+
+def test_facts_meet_only_those_of_the_predicates_asked_for(spark, monkeypatch):
+    def fact(i, predicate, value):
+        return node(f"fact/{i}", "Fact", "f", props=json.dumps({"subject": "character/a", "predicate": predicate, "object": value}))
+
+    g = build(spark, [fact(1, "absolute_time", 1), fact(2, "absolute_time", 2), fact(3, "hand", 1), fact(4, "hand", 2), fact(5, "hand", 2)], [])
+    met, plain = [], rules.overlapping
+    monkeypatch.setattr(rules, "overlapping", lambda rows, *a: (met.append(rows.count()), plain(rows, *a))[1])
+    assert [(r.node, r.related) for r in rules.timeline_absolute(g).collect()] == [("fact/1", ["fact/2", "character/a"])]
+    assert sorted((r.node, r.related[0]) for r in rules.detail_appearance(g).collect()) == [("fact/3", "fact/4"), ("fact/3", "fact/5")]
+    assert met == [2, 3]
