@@ -162,3 +162,11 @@ def test_facts_meet_only_those_of_the_predicates_asked_for(spark, monkeypatch):
     assert [(r.node, r.related) for r in rules.timeline_absolute(g).collect()] == [("fact/1", ["fact/2", "character/a"])]
     assert sorted((r.node, r.related[0]) for r in rules.detail_appearance(g).collect()) == [("fact/3", "fact/4"), ("fact/3", "fact/5")]
     assert met == [2, 3]
+
+
+def test_lost_ends_are_found_once(spark, monkeypatch):
+    g = build(spark, [node("scene/1", "Scene", "s"), node("scene/2", "Scene", "s")], [edge("scene/1", "causes", "scene/2"), edge("scene/1", "causes", "gone/1"), edge("gone/1", "causes", "scene/1"), edge("gone/1", "causes", "gone/2"), edge("scene/1", "causes", "gone/1")])
+    lost, plain = [], rules.cut
+    monkeypatch.setattr(rules, "cut", lambda df: (lost.append(sorted(r.id for r in df.collect())), plain(df))[1])
+    assert sorted((r.node, r.related) for r in rules.orphan_edge(g).collect()) == [("gone/1", ["gone/2", "causes"]), ("gone/1", ["scene/1", "causes"]), ("scene/1", ["gone/1", "causes"])]
+    assert lost == [["gone/1", "gone/2"]]
