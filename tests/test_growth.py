@@ -170,3 +170,18 @@ def test_lost_ends_are_found_once(spark, monkeypatch):
     monkeypatch.setattr(rules, "cut", lambda df: (lost.append(sorted(r.id for r in df.collect())), plain(df))[1])
     assert sorted((r.node, r.related) for r in rules.orphan_edge(g).collect()) == [("gone/1", ["gone/2", "causes"]), ("gone/1", ["scene/1", "causes"]), ("scene/1", ["gone/1", "causes"])]
     assert lost == [["gone/1", "gone/2"]]
+
+
+def test_peeling_and_counting_are_dealt_to_more_tasks(spark, monkeypatch):
+    edges = [edge(f"scene/{i}", "causes", f"scene/{i + 1}") for i in range(40)] + [edge("scene/40", "causes", "scene/30")]
+    g = build(spark, [node(f"scene/{i}", "Scene", "s") for i in range(41)], edges)
+    rels = spark.createDataFrame([("causes", True), ("contains", True)], "rel string, acyclic boolean")
+    tasks, plain = [], traverse.dealt
+    monkeypatch.setattr(model, "TASK_ROWS", 5)
+    monkeypatch.setattr(traverse, "dealt", lambda *a: (lambda df: (tasks.append(df.rdd.getNumPartitions()), df)[1])(plain(*a)))
+    assert [tuple(r) for r in traverse.acyclic_check(g, rels).collect()] == [("causes", 11)]
+    assert max(tasks) == 9
+    within, cut = [], projections.cut
+    monkeypatch.setattr(projections, "cut", lambda df: (within.append(spark.conf.get("spark.sql.shuffle.partitions")), cut(df))[1])
+    assert {r.id: (r.n_in, r.n_out) for r in projections.node_detail(g).collect()}["scene/30"] == (2, 1)
+    assert within == ["9"] and spark.conf.get("spark.sql.shuffle.partitions") == "4"
