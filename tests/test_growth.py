@@ -185,3 +185,30 @@ def test_peeling_and_counting_are_dealt_to_more_tasks(spark, monkeypatch):
     monkeypatch.setattr(projections, "cut", lambda df: (within.append(spark.conf.get("spark.sql.shuffle.partitions")), cut(df))[1])
     assert {r.id: (r.n_in, r.n_out) for r in projections.node_detail(g).collect()}["scene/30"] == (2, 1)
     assert within == ["9"] and spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_content_ids_are_dealt_once_and_hashed_as_a_stream(spark):
+    """As a plain version: nodes within a batch and over several, many lines in a part, text to escape."""
+    dst = [f'object/{i}"' if i % 9 == 0 else f"object/{i}" for i in range(700)]
+    rnd = random.Random(2)
+    ways = [("hub/1", "owns", x) for x in dst] + [(f"hub/{rnd.randrange(2, 60)}", "owns", x) for x in dst] + [("gone/1", "owns", "hub/1")]
+    g = build(spark, [node(f"hub/{i}", "Faction", f't"{i}') for i in range(1, 61)], [edge(*w) for w in ways])
+    want = {}
+    for r in g.live_node.collect():
+        parts = {}
+        for s, rel, d in ways:
+            if s == r.id:
+                x = json.dumps([rel, d], separators=(",", ":"))
+                parts.setdefault(hashlib.md5(x.encode()).hexdigest()[:2], []).append(x)
+        out = ",".join(sorted(p + hashlib.md5(",".join(sorted(x)).encode()).hexdigest() for p, x in parts.items()))
+        own = ["-" if v is None else str(v).lower() if isinstance(v, bool) else str(v) for v in (r.id, r.kind, r.title, r.summary, r.props, r.story_from, r.story_to, r.reveal_at, r.locked)]
+        want[r.id] = hashlib.sha256(json.dumps([*own, "-", "-", out or "-", "-", "-"], separators=(",", ":")).encode()).hexdigest()
+    for rows in (3, 50, 10_000):
+        with model.batch_rows(spark, rows):
+            out = editlog.content_cid(g)
+            assert {r.id: r.cid for r in out.collect()} == want
+    assert _exchanges(editlog.content_cid(g)) == 1
