@@ -212,3 +212,21 @@ def test_content_ids_are_dealt_once_and_hashed_as_a_stream(spark):
             out = editlog.content_cid(g)
             assert {r.id: r.cid for r in out.collect()} == want
     assert _exchanges(editlog.content_cid(g)) == 1
+
+
+def test_ngrams_are_counted_within_the_row(spark):
+    """What is shuffled are texts; vectors as by a plain count, texts of one id together."""
+    rows = [("a", "Order  12"), ("a", "Or\té\U0001F600x"), ("b", " "), ("c", None), ("d", "x"), (None, "order"), ("e", "abc " * 50)]
+    docs = spark.createDataFrame(rows, "id string, text string")
+    want = {}
+    for i, t in rows:
+        words = (t or "").lower().split()
+        bare = "".join(words)
+        for gram in words + [bare[k : k + n] for n in (2, 3) for k in range(len(bare) - n + 1)]:
+            at = (i, int(hashlib.md5(gram.encode()).hexdigest()[:15], 16) % 384)
+            want[at] = want.get(at, 0) + 1
+    norm = {i: math.sqrt(sum(n * n for (j, _), n in want.items() if j == i)) for i, _ in rows}
+    assert {(r.id, r.dim): r.weight for r in search.embed_ngram(docs).collect()} == {(i, d): round(n / norm[i], 8) for (i, d), n in want.items() if i}
+    out = search.embed_ngram(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert _exchanges(out) == 1 and plan.index("Generate") < plan.index("Exchange")
