@@ -230,3 +230,14 @@ def test_ngrams_are_counted_within_the_row(spark):
     out = search.embed_ngram(docs)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert _exchanges(out) == 1 and plan.index("Generate") < plan.index("Exchange")
+
+
+def test_terms_are_found_once(spark, monkeypatch):
+    """Terms are written and read again; accents are folded as before."""
+    texts = spark.createDataFrame([("Ünïcode ÀB",), ("Plain",), (None,), ("e\u0301",)], "t string")
+    assert [r[0] for r in texts.select(folded(F.col("t"))).collect()] == ["unicode ab", "plain", None, "e"]
+    docs = spark.createDataFrame([("a", "red door", "x"), ("b", "door red", "red door")], "id string, title string, summary string")
+    written, plain = [], search.cut
+    monkeypatch.setattr(search, "cut", lambda df: (written.append(df.columns), plain(df))[1])
+    out = search.find_lexical(docs, spark.createDataFrame([("q", "red")], "q string, text string")).collect()
+    assert sorted(r.id for r in out) == ["a", "b"] and ["id", "title", "summary", "len"] in written
