@@ -3,8 +3,13 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from talegraph.catalog import kind_dim
+from talegraph.operators import projections
+
+from test_graph import build, edge, node
 
 SF = "/root/testdata/sf0.001"
 given = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not there")
@@ -15,3 +20,21 @@ def test_impact_goes_as_deep_as_the_method(spark):
     """Three steps, the default of the method, and not two."""
     deepest = entry.queries()["impact"](spark, SF).agg({"max_depth": "max"}).first()[0]
     assert deepest == 3 and "depth < 3" in entry.oracle_sql()["impact"]
+
+
+def test_node_detail_is_the_whole_page(spark):
+    """The node, its parts, references to public nodes both ways and the newest revisions; internal kinds are hidden."""
+    nodes = [node("scene/1", "Scene", "s"), node("fact/1", "Fact", "f"), node("session/1", "Session", "x")]
+    g = build(spark, nodes, [edge("scene/1", "plants", "fact/1"), edge("session/1", "causes", "fact/1"), edge("fact/1", "causes", "gone/1")], tags=[("fact/1", "t"), ("session/1", "t")])
+    log = [("fact/1", i, f"props.f{i}", f"p{i}") for i in range(2, 55)] + [("session/1", 2, "title", "p")]
+    made = spark.createDataFrame(log, "node string, rev int, field string, proposal string").withColumn("tx_from", F.timestamp_seconds("rev"))
+    cids = g.live_node.select("id", F.concat(F.lit("c"), "id").alias("cid"))
+    bodies = spark.createDataFrame([("fact/1", "told")], "node string, body string")
+    out = projections.node_detail(g, kind_dim(spark), cids, made, bodies).collect()
+    assert {r.id for r in out} == {"scene/1", "fact/1"}
+    mine = [r for r in out if r.id == "fact/1"]
+    (own,) = [r for r in mine if r.section == "node"]
+    assert (own.kind, own.layer, own.title, own.cid, own.n_in, own.n_out) == ("Fact", "device", "f", "cfact/1", 2, 1)
+    assert sorted((r.section, r.item, r.value, r.kind) for r in mine if r.section not in ("node", "revision")) == [("body", None, "told", None), ("in", "scene/1", "plants", "Scene"), ("tag", "t", None, None)]
+    past = sorted((r.rev, r.value, r.item, r.derived_from) for r in mine if r.section == "revision")
+    assert len(past) == 50 and past[0] == (5, "props.f5", "p5", 4) and past[-1] == (54, "props.f54", "p54", 53)
