@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import Graph
+from ..model import Graph, cut
 from .apply import PROMISE_STEPS
 
 # Where references stand in a payload: kind of the node (- any), property, part of an item (- none), kinds that it may name (- any)
@@ -70,9 +71,14 @@ def _items(df: DataFrame, name: str, source: str = "v") -> DataFrame:
     return df.select("*", F.posexplode(F.try_variant_get(source, f"$.{name}" if name else "$", "array<variant>")).alias("i", "item"))
 
 
+def _parsed(payloads: DataFrame) -> DataFrame:
+    """id, kind, v: properties as a variant, parsed before or now."""
+    return payloads.select("id", "kind", "v") if "v" in payloads.columns else payloads.select("id", "kind", F.try_parse_json("props").alias("v"))
+
+
 def payload_references(payloads: DataFrame) -> DataFrame:
     """id, path, ref, kinds: every typed reference inside the properties; ref is null where no text stands."""
-    p = payloads.select("id", "kind", F.try_parse_json("props").alias("v"))
+    p = _parsed(payloads)
     parts = None
     for kind, name, part, kinds in references():
         mine = p.where(F.col("kind") == kind)
@@ -137,7 +143,7 @@ def _keys(v: Column) -> Column:
 def kind_props_errors(g: Graph, payloads: DataFrame) -> DataFrame:
     """What each kind asks of its properties, beside its references: promises and their steps, conditions, scene contracts, fact triples, session lists."""
     was = g.live_node.select("id", F.lit(True).alias("old"), F.coalesce(F.get_json_object("props", "$.status"), F.lit("hypothetical")).alias("was"))
-    p = payloads.select("id", "kind", F.try_parse_json("props").alias("v"))
+    p = _parsed(payloads)
     out = _wrong(p.where("v is null or not coalesce(schema_of_variant(v) like 'OBJECT%', false)"), [(F.lit(True), "props", "an object is asked for")])
     p = p.where("v is not null")
 
@@ -249,7 +255,12 @@ def evidence_errors(payloads: DataFrame) -> DataFrame:
 
 
 def validate_payloads(g: Graph, payloads: DataFrame, kinds: DataFrame) -> DataFrame:
-    """id, path, error: everything that is wrong with payloads, held against the graph and against each other."""
+    """id, path, error: everything that is wrong with payloads, held against the graph and against each other.
+
+    Payloads and what is asked of the graph are written once, payloads parsed and by kind, as each rule reads them anew and most ask for one kind."""
+    g = replace(g, node=cut(g.live_node.select("id", "kind", "props", "tx_to")))
+    payloads = payloads.withColumn("v", F.try_parse_json("props"))
+    payloads = cut(payloads.withColumn("kind", F.concat(F.lit("="), "kind")), "kind").withColumn("kind", F.substring("kind", 2, 1_000_000))
     return reference_errors(g, payloads, kinds).unionByName(kind_props_errors(g, payloads)).unionByName(visibility_errors(g, payloads, kinds)).unionByName(evidence_errors(payloads)).distinct()
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from talegraph.catalog import kind_dim
-from talegraph.operators import cascade, projections
+from talegraph.operators import cascade, payload, projections
 
 from test_graph import build, edge, node
 
@@ -71,3 +71,16 @@ def test_a_run_goes_as_far_as_it_leads(spark):
 def test_propagate_cutoff_has_no_bounds(spark):
     deepest = entry.queries()["propagate_cutoff"](spark, SF).agg({"depth": "max"}).first()[0]
     assert deepest > 3 and "blocked" not in entry.oracle_sql()["propagate_cutoff"]
+
+
+def test_payloads_are_written_once(spark):
+    """What makes the payloads is run once, and each rule reads the files of the kinds that it asks for only; odd kinds stay as they are."""
+    g = build(spark, [node("scene/1", "Scene", "s")])
+    runs = spark.sparkContext.accumulator(0)
+    rows = [("scene/1", "Scene", '{"claims":1}', None), ("x/1", "", "{}", '["reader"]'), ("x/2", None, "{}", '["reader"]'), ("fact/1", "Fact", '{"subject":"scene/1","predicate":"p","object":1}', '["reader"]')]
+    made = spark.createDataFrame(rows, "id string, kind string, props string, visible_to string").withColumn("evidence", F.lit(None).cast("string"))
+    tally = F.udf(lambda x: (runs.add(1), x)[1], "string").asNondeterministic()
+    out = payload.validate_payloads(g, made.withColumn("props", tally("props")), kind_dim(spark))
+    got = {tuple(r) for r in out.collect()}
+    assert got == {("scene/1", "props.claims", "a list is asked for"), ("x/1", "visible_to", "for facts only")}
+    assert runs.value == 4
