@@ -34,8 +34,10 @@ from .scratch import Scratch, join_checked
 COSINE = 0.9
 RECALL = 0.99
 SHARDS = 8
-SHARD_ROWS = 50_000
+SHARD_ROWS = 32_000
 BLOCK_ROWS = 25_000
+#: Blocks of queries at a shard that one task should sort.
+TASK_GROUPS = 4
 #: Slack of single precision, before cosines are verified in double precision.
 SLACK = 1e-5
 
@@ -84,10 +86,18 @@ def _cosines(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.n
     return out
 
 
-def _opened(row: dict) -> tuple[Graph, np.ndarray, np.ndarray]:
-    """A shard's graph, its nodes' keys and exact vectors."""
-    k = np.frombuffer(row["k"], np.int64)
-    return Graph.load(row["graph"]), k, np.frombuffer(row["exact"], np.float64).reshape(len(k), -1)
+def _opened(t: pa.Table) -> tuple[Graph, np.ndarray, np.ndarray]:
+    """The graph of the shard that t holds, its nodes' keys and exact vectors, where they lie in t."""
+    k = _at(t, "k", np.int64)
+    exact = _at(t, "exact", np.float64).reshape(len(k), -1)
+    return Graph.load(_at(t, "graph")), k, exact
+
+
+def _at(t: pa.Table, column: str, kind: type = np.uint8) -> np.ndarray:
+    """The first binary value of a column, not copied."""
+    a = t[column].chunk(0) if isinstance(t[column], pa.ChunkedArray) else t[column]
+    offsets = np.frombuffer(a.buffers()[1], np.int64 if pa.types.is_large_binary(a.type) else np.int32)[a.offset : a.offset + 2]
+    return np.frombuffer(a.buffers()[2].slice(offsets[0], offsets[1] - offsets[0]), kind)
 
 
 def _links(g: Graph, k: np.ndarray, exact: np.ndarray, mine: np.ndarray, q: np.ndarray, cosine: float, ef: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -102,8 +112,7 @@ def _audit(cosine: float, recall: float):
         out = pa.table({"shard": pa.array([], pa.int32()), "dim": pa.array([], pa.int32()), "beam": pa.array([], pa.int32())})
         if not len(left) or not len(right):
             return out
-        row = right.slice(0, 1).to_pylist()[0]
-        g, k, exact = _opened(row)
+        g, k, exact = _opened(right)
         mine, q = left["k"].to_numpy(), _unit(_matrix(left["v"]))
 
         def found(ef: int) -> int:
@@ -112,7 +121,7 @@ def _audit(cosine: float, recall: float):
         true = found(len(k))
         while found(g.ef) < recall * true and g.widen():
             pass
-        return pa.table([pa.array([row["shard"]], pa.int32()), pa.array([row["dim"]], pa.int32()), pa.array([g.ef], pa.int32())], out.schema)
+        return pa.table([right["shard"][:1], right["dim"][:1], pa.array([g.ef], pa.int32())], out.schema)
 
     return run
 
@@ -121,10 +130,9 @@ def _query(cosine: float):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             return pa.table({"k": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "others": pa.array([], pa.list_(pa.int64()))})
-        row = right.slice(0, 1).to_pylist()[0]
-        g, k, exact = _opened(row)
-        g.ef = row["beam"]
-        times, label = (np.frombuffer(row[c], np.int64) for c in ("times", "label"))
+        g, k, exact = _opened(right)
+        g.ef = right["beam"][0].as_py()
+        times, label = (_at(right, c, np.int64) for c in ("times", "label"))
         mine, q = left["k"].to_numpy(), _unit(_matrix(left["v"]))
         links, others = np.zeros(len(mine), np.int64), [None] * len(mine)
         # a node of this shard belongs to its local component, whether or not its own search meets it
@@ -161,7 +169,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     blocks = max(1, -(-n // BLOCK_ROWS))
     shard = F.pmod(F.xxhash64("k", F.lit(1)), F.lit(shards)).cast("int")
     nodes = nodes.withColumn("shard", shard)
-    built = nodes.select("shard", "dim", "k", "times", "v")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    built = nodes.select("shard", "dim", "k", "times", "v").repartition(max(tasks, shards), "shard", "dim")  # files hold a shard or two, as readers hold whole ones
     built = built.groupBy("shard", "dim").applyInArrow(_build(cosine), "shard int, dim int, graph binary, k binary, times binary, label binary, exact binary")
     built = scratch.save(built)
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
@@ -182,6 +191,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     block = F.pmod(F.xxhash64("k", F.lit(2)), F.lit(blocks)).cast("int").alias("block")
     queries = nodes.select("k", "v", "dim", block, every)
     copies = copies(blocks, "times", "label", "beam")
+    queries, copies = (side.repartition(max(tasks, -(-shards * blocks // TASK_GROUPS)), "shard", "dim", "block") for side in (queries, copies))
     found = queries.groupBy("shard", "dim", "block").cogroup(copies.groupBy("shard", "dim", "block")).applyInArrow(_query(cosine), "k long, links long, others array<long>")
     found = scratch.save(found)
     links = found.groupBy("k").agg(F.sum("links").alias("links"))

@@ -3,11 +3,14 @@
 import os
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from talegraph.catalog import kind_dim
+from talegraph.llm import op10_embeddings
 from talegraph.operators import cascade, payload, projections
 
 from test_graph import build, edge, node
@@ -84,3 +87,22 @@ def test_payloads_are_written_once(spark):
     got = {tuple(r) for r in out.collect()}
     assert got == {("scene/1", "props.claims", "a list is asked for"), ("x/1", "visible_to", "for facts only")}
     assert runs.value == 4
+
+
+def test_a_task_holds_few_shards_of_bounded_size(spark, monkeypatch):
+    """Shards are built, and queried, in as many tasks as there are shards and blocks; what a group opens is not copied."""
+    assert op10_embeddings.SHARD_ROWS <= 32_000
+    monkeypatch.setattr(op10_embeddings, "BLOCK_ROWS", 40)
+    dealt, plain = [], type(spark.range(0)).repartition
+    monkeypatch.setattr(type(spark.range(0)), "repartition", lambda self, n, *c: (dealt.append(n), plain(self, n, *c))[1])
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 8))
+    x[100:110] = x[0:10] * 2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = {r.id: r for r in op10_embeddings.near_vectors(df, shards=2, shard_rows=20).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    assert sum(r.n_links for r in out.values()) == int((u @ u.T >= 0.9).sum()) - 200
+    assert dealt == [10, 13, 13]
+    row = pa.table({"k": pa.array([np.arange(2).tobytes()], pa.binary())})
+    k = op10_embeddings._at(row, "k", np.int64)
+    assert k.tolist() == [0, 1] and k.ctypes.data == row["k"].chunk(0).buffers()[2].address
